@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_ids, encode_texts
+from .simhash import near_duplicate_components
 from .substring_dedup import remove_repeated_windows
 
 
@@ -29,8 +31,30 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+def vocabulary(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers; it stays where it is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    rows = decode_ids(encode_texts(_table(spark, folder, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "token_ids"), path)
+    return rows.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = near_duplicate_components(_table(spark, folder, "documents", "doc_id", "text"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLES = {
