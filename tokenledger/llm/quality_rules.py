@@ -23,11 +23,12 @@ COMMON_WORDS = {
 CLASSES = (r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]", r"[\x20\x09-\x0D]")
 SYMBOLS = CLASSES[3]
 
-#: Words a document must have for each histogram to count, and the largest distances that pass.
-LEAST_WORDS_CLASSES = 20
-LEAST_WORDS_COMMON = 60
-MOST_CLASS_DISTANCE = 0.22
-MOST_WORD_DISTANCE = 0.45
+#: Words a document must have for its histograms to count; the two distances that, both exceeded, reject it; and
+#: the class distance beyond which a document has no part in the second references.
+LEAST_WORDS = 60
+MOST_CLASS_DISTANCE = 0.15
+MOST_WORD_DISTANCE = 0.2
+FIRST_CLASS_DISTANCE = 0.2
 
 
 def _let(value: Column, use) -> Column:
@@ -94,26 +95,37 @@ def document_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str |
     )
 
 
+def _references(counts: DataFrame) -> DataFrame:
+    """Summed histograms, one row a language."""
+    longest = max(map(len, COMMON_WORDS.values())) + 1
+    return counts.groupBy(F.col("lang").alias("_lang")).agg(
+        F.array(*(F.sum(F.get("classes", F.lit(i))) for i in range(len(CLASSES) + 1))).alias("all_classes"),
+        F.array(*(F.coalesce(F.sum(F.get("common", F.lit(i))), F.lit(0.0)) for i in range(longest))).alias("all_common"),
+    )
+
+
+def _distances(counts: DataFrame, references: DataFrame) -> DataFrame:
+    both = counts.join(references, counts["lang"].eqNullSafe(references["_lang"]), "left")
+    words = js_distance(F.col("common"), F.slice("all_common", 1, F.size("common")))
+    return both.select(*counts.columns, js_distance(F.col("classes"), F.col("all_classes")).alias("class_distance"), words.alias("word_distance"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
     kept), one row a row of docs.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. Otherwise a document is kept
-    unless it has words enough and a histogram lies too far from its language's. References are sums over all
-    documents of a language (null is one too); one without a list of common words has no word histogram but that
-    of all its words, whose distance is 0. Null and empty texts have no words. Repeated rows are judged alike;
+    unless it has words enough and both histograms lie too far from its language's. References are sums over all
+    documents of a language (null is one too) that did not fail, taken again without those far from the first; a
+    language without any rejects none, nor does one without a list of common words (its word distance is 0). Null and empty texts have no words. Repeated rows are judged alike;
     an empty table gives an empty table.
     """
     counts = cut(document_counts(docs, id_col, text_col, lang_col))
     wide = len(CLASSES) + 1
     longest = max(map(len, COMMON_WORDS.values())) + 1
-    sums = counts.groupBy("lang").agg(
-        F.array(*(F.sum(F.get("classes", F.lit(i))) for i in range(wide))).alias("all_classes"),
-        F.array(*(F.coalesce(F.sum(F.get("common", F.lit(i))), F.lit(0.0)) for i in range(longest))).alias("all_common"),
-    )
-    sums = sums.withColumnRenamed("lang", "_lang")
-    both = counts.join(sums, counts["lang"].eqNullSafe(sums["_lang"]))
-    far = both.withColumn("class_distance", js_distance(F.col("classes"), F.col("all_classes"))).withColumn("word_distance", js_distance(F.col("common"), F.slice("all_common", 1, F.size("common"))))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    odd = (F.col("n_words") >= LEAST_WORDS_CLASSES) & (F.col("class_distance") > MOST_CLASS_DISTANCE) | (F.col("n_words") >= LEAST_WORDS_COMMON) & (F.col("word_distance") > MOST_WORD_DISTANCE)
+    near = _distances(counts, _references(counts.where(~failed)))
+    # once more, without the documents that lie far from the first references
+    far = _distances(counts, _references(near.where(~failed & (F.col("class_distance") <= FIRST_CLASS_DISTANCE))))
+    odd = (F.col("n_words") >= LEAST_WORDS) & (F.col("class_distance") > MOST_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(1.0)) > MOST_WORD_DISTANCE)
     return far.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"))

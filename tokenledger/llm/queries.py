@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import decode_ids, encode_texts
 from .mixing import BLOCK_WORDS, MOST_PASSES, PRIMES, mix_plan
+from .quality_rules import judge
 from .simhash import near_duplicate_components
 from .substring_dedup import remove_repeated_windows
 from .topk import exact_top_k
@@ -40,6 +41,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(_table(spark, folder, "documents", "doc_id", "text", "lang")).drop("class_distance", "word_distance")
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +104,7 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
