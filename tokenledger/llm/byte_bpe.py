@@ -20,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_fields
+from .common import slices, utf8, with_fields
 
-#: Most entries of a worker's caches; beyond, a cache starts anew, that of pieces in two generations
-#: (results are the same).
-MOST_STATES = 150_000
-MOST_PAIRS = 200_000
+#: Most entries of a worker's caches (results don't depend on them): states start anew, pieces are kept in two
+#: generations, and of pairs the first stay.
+MOST_STATES = 120_000
+MOST_PAIRS = 300_000
 MOST_PIECES = 250_000
+#: Below a place in the trie with at most so many tokens, a state keeps which of them don't fit, not the token before.
+FEW_TOKENS = 16
+#: Bytes of text, or ids, that a worker encodes or decodes before it hands them on.
+SLICE_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,6 +39,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: No token stands before, or none that matters.
+NONE = -1
+
+
 class Transducer:
     """Encodes one piece (bytes) at a time; transitions are kept between pieces."""
 
@@ -42,7 +50,7 @@ class Transducer:
         self.ranks = ranks
         self.bytes = {r: b for b, r in ranks.items()}
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.trie: dict[int, int] = {}
         self.ends: list[int] = [-1]
         for b, r in ranks.items():
@@ -56,13 +64,55 @@ class Transducer:
                 node = nxt
             # a token that merges don't make of its own bytes ends no guess
             self.ends[node] = r if len(b) == 1 or self.parts(r) is not None else -1
+        self.children: list[list[int]] = [[] for _ in self.ends]
+        for k, node in self.trie.items():
+            self.children[k >> 8].append(node)
+        self.below = [0] * len(self.ends)
+        for node in range(len(self.ends) - 1, -1, -1):  # a node has a higher number than its parent
+            self.below[node] = (self.ends[node] >= 0) + sum(self.below[c] for c in self.children[node])
         self._reset()
 
     def _reset(self):
-        self.states = [(-1, (((), 0),))]
+        self.states = [(NONE, (((), 0),))]
         self.number = {self.states[0]: 0}
         self.next: dict[int, tuple[int, bytes]] = {}
         self.last: dict[int, bytes] = {}
+        self.barred: list[frozenset[int]] = []
+        self._contexts: dict[tuple[int, int], int] = {}
+        self._barred_number: dict[frozenset[int], int] = {frozenset(): NONE}
+
+    def _tokens_below(self, node: int) -> list[int]:
+        out, todo = [], [node]
+        while todo:
+            x = todo.pop()
+            if self.ends[x] >= 0:
+                out.append(self.ends[x])
+            todo += self.children[x]
+        return out
+
+    def _good(self, before: int, token: int) -> bool:
+        """Whether token may follow: before is a token, NONE, or a set of barred tokens (see _context)."""
+        if before >= 0:
+            known = self._fits.get(before << 32 | token)
+            return self.fits(before, token) if known is None else known
+        return before == NONE or token not in self.barred[-2 - before]
+
+    def _context(self, before: int, node: int) -> int:
+        """What of `before` still matters at this place of the trie: where few tokens are left, only which don't fit.
+
+        Many tokens bar the same ones, mostly none, so states merge.
+        """
+        if before == NONE or self.below[node] > FEW_TOKENS:
+            return before
+        known = self._contexts.get((before, node))
+        if known is None:
+            barred = frozenset(t for t in self._tokens_below(node) if not self._good(before, t))
+            known = self._barred_number.get(barred)
+            if known is None:
+                known = self._barred_number[barred] = -2 - len(self.barred)
+                self.barred.append(barred)
+            self._contexts[before, node] = known
+        return known
 
     def merge(self, piece: bytes, below: float = float("inf")) -> list[bytes]:
         """The merges of ranks below `below`, lowest first and leftmost first, done one by one."""
@@ -100,25 +150,21 @@ class Transducer:
                 before, x = x, left[1]
             else:
                 before, y = y + 1, right[0]
-        if len(self._fits) >= MOST_PAIRS:
-            self._fits.clear()
-        self._fits[a, b] = result
+        if len(self._fits) < MOST_PAIRS:
+            self._fits[a << 32 | b] = result
         return result
 
     def _step(self, state: int, byte: int) -> tuple[int, bytes]:
         certain, guesses = self.states[state]
-        trie, ends, fits, fresh = self.trie, self.ends, self._fits, self.trie[byte]
+        trie, ends, fresh = self.trie, self.ends, self.trie[byte]
         after = []
         for pending, node in guesses:
             on = trie.get(node << 8 | byte)
             if on is not None:
                 after.append((pending, on))
             token = ends[node]
-            if token >= 0:
-                before = pending[-1] if pending else certain
-                good = before < 0 or fits.get((before, token))
-                if good or good is None and self.fits(before, token):
-                    after.append(((*pending, token), fresh))
+            if token >= 0 and self._good(pending[-1] if pending else certain, token):
+                after.append(((*pending, token), fresh))
         first, shared = after[0][0], 0
         if len(after) == 1:
             shared = len(first)
@@ -128,7 +174,8 @@ class Transducer:
                 shared += 1
         if shared:
             certain, after = first[shared - 1], [(p[shared:], node) for p, node in after]
-        key = (certain, tuple(after))
+        # only the first guess can have nothing pending; without such a one, what stands before has had its say
+        key = (NONE if after[0][0] else self._context(certain, after[0][1]), tuple(after))
         number = self.number.setdefault(key, len(self.states))
         if number == len(self.states):
             self.states.append(key)
@@ -140,11 +187,9 @@ class Transducer:
         certain, guesses = self.states[state]
         for pending, node in guesses:
             token = self.ends[node]
-            if token >= 0:
-                before = pending[-1] if pending else certain
-                if before < 0 or self.fits(before, token):
-                    self.last[state] = out = struct.pack(f"<{len(pending) + 1}I", *pending, token)
-                    return out
+            if token >= 0 and self._good(pending[-1] if pending else certain, token):
+                self.last[state] = out = struct.pack(f"<{len(pending) + 1}I", *pending, token)
+                return out
         raise ValueError("a byte has no token")
 
     def encode(self, piece: bytes) -> bytes:
@@ -209,6 +254,13 @@ def _kept(name: str, make):
 
 
 
+def _in_slices(batches, column: str):
+    for batch in batches:
+        _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
+        for first, beyond in slices(offsets, SLICE_BYTES):
+            yield batch.slice(first, beyond - first)
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens (long) and token_ids (binary: little-endian unsigned 32-bit ids) of the whole text.
 
@@ -226,7 +278,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
         find = regex.compile(pattern).findall
         pieces = _kept(name, lambda: Pieces(Transducer(ranks.value)))
         get = pieces.__getitem__
-        for batch in batches:
+        for batch in _in_slices(batches, text_col):
             packed = []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
                 packed.append(b"".join(map(get, find(text))) if text else b"")
@@ -243,7 +295,7 @@ def decode_ids(rows: DataFrame, path: str, ids_col: str = "token_ids", block: in
 
     def run(batches):
         tokens = _kept(f"tokens_{abs(hash(path))}", lambda: {r: b for b, r in ranks.value.items()})
-        for batch in batches:
+        for batch in _in_slices(batches, ids_col):
             texts = []
             for packed in batch.column(batch.schema.get_field_index(ids_col)).to_pylist():
                 decoder = StreamDecoder(tokens)
