@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import decode_ids, encode_texts
 from .mixing import BLOCK_WORDS, MOST_PASSES, PRIMES, mix_plan
+from .quality_classifier import score_quality
 from .quality_rules import judge
 from .simhash import near_duplicate_components
 from .substring_dedup import remove_repeated_windows
+from .toxicity import score_toxicity
 from .topk import exact_top_k
 
 
@@ -41,6 +43,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_quality(_table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "labels", "doc_id", "quality"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(_table(spark, folder, "documents", "doc_id", "text", "lang")).drop("class_distance", "word_distance")
 
@@ -53,6 +60,11 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_toxicity(_table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "labels", "doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted", "toxic_windows")
+
+
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return exact_top_k(_table(spark, folder, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
@@ -104,8 +116,10 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_toxicity": op7_toxicity,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
