@@ -40,14 +40,17 @@ _MARKER = bytes(range(1, 9)) + bytes(range(14, 30))
 
 
 def _contexts(texts: list[str]) -> Counter:
-    """For each segment with which words start, the space before included: in how many contexts (the words around)
-    it occurs, so that what copies of one text repeat counts once."""
+    """For each segment of letters with which words start, the space before included: in how many contexts (the
+    words around) it occurs, so that what copies of one text repeat counts once."""
     seen = set()
     for t in texts:
-        words = t.lower().encode().split()
-        for before, w, after in zip([b"", *words], words, [*words[1:], b""]):
-            padded, around = b" " + w + b" ", hash((before, w, after))
-            seen.update((padded[:n], around) for n in range(LEAST_MATCH, min(len(padded), MOST_SEGMENT) + 1))
+        words = t.lower().split()
+        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
+            around, padded = hash((before, w, after)), f" {w} "
+            for n in range(LEAST_MATCH - 1, min(len(padded), MOST_SEGMENT) + 1):
+                raw = padded[:n].encode()
+                if len(raw) >= LEAST_MATCH and (padded[1 : min(n, len(w) + 1)]).isalpha():
+                    seen.add((raw, around))
     return Counter(segment for segment, _ in seen)
 
 
@@ -57,7 +60,7 @@ def _segments(own: Counter, n_own: int, other: Counter, n_other: int) -> list[by
     least = max(3, LEAST_SHARE * n_own, math.log(CHANCE) / math.log(n_own / (n_own + n_other)))
     good = {g for g, k in own.items() if k >= least and other[g] * n_own <= MOST_ELSEWHERE * k * n_other}
     # the shortest of segments that start alike
-    short = (g for g in good if not any(g[:n] in good for n in range(LEAST_MATCH, len(g))))
+    short = (g for g in good if not any(g[:n] in good for n in range(1, len(g))))
     return sorted(short, key=lambda g: (own[g], g))
 
 
