@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import decode_ids, encode_texts
+from .html_extract import extract_main_text
 from .mixing import BLOCK_WORDS, MOST_PASSES, PRIMES, mix_plan
 from .quality_classifier import score_quality
 from .quality_rules import judge
 from .simhash import near_duplicate_components
 from .substring_dedup import remove_repeated_windows
+from .token_counts import count_tokens
 from .toxicity import score_toxicity
 from .topk import exact_top_k
 
@@ -19,6 +21,30 @@ def _table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def vocabulary(name: str) -> str:
+    """A vocabulary file of the installed public tokenizers; it stays where it is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(_table(spark, folder, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(_table(spark, folder, "documents", "doc_id", "text"), vocabulary("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    scored = score_quality(_table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "labels", "doc_id", "quality"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return judge(_table(spark, folder, "documents", "doc_id", "text", "lang")).drop("class_distance", "word_distance")
+
+
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = remove_repeated_windows(_table(spark, folder, "documents", "doc_id", "text"))
     return docs.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -36,22 +62,6 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-def vocabulary(name: str) -> str:
-    """A vocabulary file of the installed public tokenizers; it stays where it is."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
-    scored = score_quality(_table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "labels", "doc_id", "quality"))
-    return scored.select("doc_id", "held_out", "score", "predicted")
-
-
-def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return judge(_table(spark, folder, "documents", "doc_id", "text", "lang")).drop("class_distance", "word_distance")
-
-
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -116,6 +126,8 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
