@@ -30,7 +30,7 @@ MOST_PIECES = 250_000
 #: Below a place in the trie with at most so many tokens, a state keeps which of them don't fit, not the token before.
 FEW_TOKENS = 16
 #: Bytes of text, or ids, that a worker encodes or decodes before it hands them on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +78,7 @@ class Transducer:
         self.next: dict[int, tuple[int, bytes]] = {}
         self.last: dict[int, bytes] = {}
         self.barred: list[frozenset[int]] = []
-        self._contexts: dict[tuple[int, int], int] = {}
+        self._contexts: dict[int, int] = {}
         self._barred_number: dict[frozenset[int], int] = {frozenset(): NONE}
 
     def _tokens_below(self, node: int) -> list[int]:
@@ -104,14 +104,14 @@ class Transducer:
         """
         if before == NONE or self.below[node] > FEW_TOKENS:
             return before
-        known = self._contexts.get((before, node))
+        known = self._contexts.get(before << 20 | node)
         if known is None:
             barred = frozenset(t for t in self._tokens_below(node) if not self._good(before, t))
             known = self._barred_number.get(barred)
             if known is None:
                 known = self._barred_number[barred] = -2 - len(self.barred)
                 self.barred.append(barred)
-            self._contexts[before, node] = known
+            self._contexts[before << 20 | node] = known
         return known
 
     def merge(self, piece: bytes, below: float = float("inf")) -> list[bytes]:
