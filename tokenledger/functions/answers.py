@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, _nested, extract_answer, strip
+from .text import SPACE, _nested, extract_answer, let, strip
 
 #: Braces in an argument of \frac are followed this deep.
 _ARGUMENT = _nested(3).replace(r"[^{}]", r"[^{}\n]")
@@ -48,7 +48,7 @@ def normalize_answer(s: Column, profile: str = "analysis", strict: bool = False)
     x = F.replace(x, F.lit("\\dfrac"), F.lit("\\frac"))
     x = F.regexp_replace(x, r"\\sqrt([^{\s\x1c-\x1f\x85\p{Z}\\])", r"\\sqrt{$1}")
     x = F.regexp_replace(x, _FRACTION + ("" if strict else ".*"), r"\\frac{$1$2}{$3$4}")
-    x = F.when(x.rlike(r"[()\[\]\\]"), x).otherwise(F.regexp_replace(x, r"(?d)(?<=\p{Nd}),(?=\p{Nd}{3}(?:\P{Nd}|$))", ""))
+    x = let(x, lambda v: F.when(v.rlike(r"[()\[\]\\]"), v).otherwise(F.regexp_replace(v, r"(?d)(?<=\p{Nd}),(?=\p{Nd}{3}(?:\P{Nd}|$))", "")))
     x = strip(F.regexp_replace(x, rf"{SPACE}+", " "))
     return F.when(s.isNull() | (s == "") | (s == "nan"), s).otherwise(x)
 
@@ -57,15 +57,17 @@ def answer_set(s: Column) -> Column:
     """A list at commas, without brackets around it, sorted; null for fewer than two parts, or a part whose braces
     don't balance."""
     inner = F.regexp_replace(F.regexp_replace(strip(s), r"\A[(\[]", ""), r"[)\]]\z", "")
-    parts = F.transform(F.split(inner, ","), strip)
     count = lambda p, b: F.char_length(p) - F.char_length(F.replace(p, F.lit(b), F.lit("")))
-    whole = F.forall(parts, lambda p: count(p, "{") == count(p, "}"))
-    return F.when((F.size(parts) > 1) & whole, F.array_join(F.array_sort(parts), ","))
+    whole = lambda parts: F.forall(parts, lambda p: count(p, "{") == count(p, "}"))
+    return let(F.transform(F.split(inner, ","), strip), lambda parts: F.when((F.size(parts) > 1) & whole(parts), F.array_join(F.array_sort(parts), ",")))
 
 
 def plain_number(s: Column) -> Column:
     """A number as Python's float() reads it: underscores between digits, inf and nan included; else null."""
-    bare = strip(s)
+    return let(strip(s), _float)
+
+
+def _float(bare: Column) -> Column:
     digits = r"\d(?:_?\d)*"
     number = bare.rlike(rf"\A[+-]?(?:{digits}\.?(?:{digits})?|\.{digits})(?:[eE][+-]?{digits})?\z")
     word = F.lower(F.regexp_replace(bare, r"\A[+-]", ""))
@@ -81,8 +83,8 @@ def number_value(s: Column) -> Column:
 
 def same_value(a: Column, b: Column) -> Column:
     """Whether two normalized answers have values less than 1e-9 apart."""
-    x, y = number_value(a), number_value(b)
-    return F.coalesce(~F.isnan(x) & ~F.isnan(y) & (F.abs(x - y) < 1e-9), F.lit(False))
+    near = let(number_value(a) - number_value(b), lambda d: ~F.isnan(d) & (F.abs(d) < 1e-9))
+    return F.coalesce(near, F.lit(False))
 
 
 def equivalent(expected: Column, generated: Column, profile: str = "analysis", strict: bool = False, symbolic=None) -> Column:
@@ -90,23 +92,30 @@ def equivalent(expected: Column, generated: Column, profile: str = "analysis", s
 
     A null is the text "None". symbolic: a function of two columns that decides the rest; by default nothing does.
     """
-    a, b = (normalize_answer(F.coalesce(x.cast("string"), F.lit("None")), profile, strict) for x in (expected, generated))
+    forms = F.struct(*(normalize_answer(F.coalesce(x.cast("string"), F.lit("None")), profile, strict).alias(n) for n, x in (("a", expected), ("b", generated))))
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    same = (bare(a) == bare(b)) | F.coalesce(answer_set(a) == answer_set(b), F.lit(False)) | same_value(a, b)
-    return same if symbolic is None else same | F.coalesce(symbolic(a, b), F.lit(False))
+    same = let(forms, lambda f: (bare(f["a"]) == bare(f["b"])) | F.coalesce(answer_set(f["a"]) == answer_set(f["b"]), F.lit(False)) | same_value(f["a"], f["b"]))
+    if symbolic is None:
+        return same
+    # what decides the rest may be Python's, which a let cannot hold
+    a, b = (normalize_answer(F.coalesce(x.cast("string"), F.lit("None")), profile, strict) for x in (expected, generated))
+    return same | F.coalesce(symbolic(a, b), F.lit(False))
 
 
 def evaluate(expected: Column, generated: Column, profile: str = "analysis", native: bool = False) -> Column:
     """STRUCT<is_correct, expected_value, generated_value>; without an answer on either side it is not correct."""
     a, b = extract_answer(expected, profile, native), extract_answer(generated, profile, native)
-    ok = F.when(a.isNull() | b.isNull(), F.lit(False)).otherwise(equivalent(a, b, profile))
-    return F.struct(ok.alias("is_correct"), a.alias("expected_value"), b.alias("generated_value"))
 
+    def verdict(a: Column, b: Column) -> Column:
+        ok = F.when(a.isNull() | b.isNull(), F.lit(False)).otherwise(equivalent(a, b, profile))
+        return F.struct(ok.alias("is_correct"), a.alias("expected_value"), b.alias("generated_value"))
 
-# The older algorithm. A text on which it fails is null, which makes the comparison one of the raw texts.
+    if native:
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda v: verdict(v["a"], v["b"]))
+    return verdict(a, b)
 
-_BRACED = r"\{"
 
+# The older algorithm. A text on which it fails is null, which makes the comparison one of the raw texts.
 
 def legacy_form(s: Column) -> Column:
     """The older algorithm's form of an answer; null where it fails: with "\\text{ " twice or more, or with nothing
@@ -115,30 +124,29 @@ def legacy_form(s: Column) -> Column:
     x = F.replace(x, F.lit("\\\\"), F.lit("\\"))
     x = F.replace(F.replace(x, F.lit("tfrac"), F.lit("frac")), F.lit("dfrac"), F.lit("frac"))
     x = _drop(x, "\\left", "\\right", "^{\\circ}", "^\\circ", "\\$")
-    units = F.size(F.split(x, r"\\text\{ ")) - 1
-    x = F.when(units <= 1, F.substring_index(x, "\\text{ ", 1))
+    x = let(x, lambda v: F.when(F.size(F.split(v, r"\\text\{ ")) <= 2, F.substring_index(v, "\\text{ ", 1)))
     x = _drop(x, "\\%")
     x = F.replace(F.replace(x, F.lit(" ."), F.lit(" 0.")), F.lit("{."), F.lit("{0."))
-    empty = x == ""
-    x = F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x)
-    sides = F.split(x, "=")
-    x = F.when((F.size(sides) == 2) & (F.char_length(sides[0]) <= 2), F.get(sides, F.lit(1))).otherwise(x)
-    x = F.when(~x.rlike(r"\\sqrt(?:\z|(?=\\sqrt))"), F.regexp_replace(x, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}"))
-    x = F.replace(x, F.lit(" "), F.lit(""))
+    x = F.regexp_replace(x, r"\A\.", "0.")
+    x = let(F.split(x, "="), lambda p: F.when((F.size(p) == 2) & (F.char_length(p[0]) <= 2), F.get(p, F.lit(1))).otherwise(F.array_join(p, "=")))
+    x = let(x, lambda v: F.when(~v.rlike(r"\\sqrt(?:\z|(?=\\sqrt))"), F.regexp_replace(v, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")))
+    x = let(F.replace(x, F.lit(" "), F.lit("")), _legacy_fractions)
+    ratio = r"\A(0|-?[1-9]\d*)/(0|-?[1-9]\d*)\z"
+    return F.regexp_replace(F.regexp_replace(x, r"\A0\.5\z", r"\\frac{1}{2}"), ratio, r"\\frac{$1}{$2}")
+
+
+def _legacy_fractions(x: Column) -> Column:
+    """Every \\frac with its arguments in braces; null with nothing after one; as it is if one has a single character."""
     failed = x.rlike(r"\\frac(?:\z|(?=\\frac))")
-    short = x.rlike(r"(?s)\\frac[^{](?:\z|(?=\\frac))")  # one character for two arguments: left as it was
+    short = x.rlike(r"(?s)\\frac[^{](?:\z|(?=\\frac))")
     full = F.regexp_replace(F.regexp_replace(x, r"(?s)\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"(?s)\\frac([^{])\{", r"\\frac{$1}{")
-    x = F.when(~failed, F.when(short, x).otherwise(full))
-    x = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
-    ratio = r"\A(0|-?[1-9]\d*)/(0|-?[1-9]\d*)\z"
-    x = F.when(x.rlike(ratio), F.regexp_replace(x, ratio, r"\\frac{$1}{$2}")).otherwise(x)
-    return F.when(empty, F.lit("")).otherwise(x)
+    return F.when(~failed, F.when(short, x).otherwise(full))
 
 
 def legacy_equivalent(a: Column, b: Column) -> Column:
     """The older comparison: two nulls are equal, one is not; if either text fails, the raw texts are compared."""
-    x, y = legacy_form(a), legacy_form(b)
-    same = F.when(x.isNull() | y.isNull(), a == b).otherwise(x == y)
+    forms = F.struct(legacy_form(a).alias("x"), legacy_form(b).alias("y"))
+    same = let(forms, lambda f: F.coalesce(f["x"] == f["y"], a == b))
     return F.when(a.isNull() & b.isNull(), F.lit(True)).when(a.isNull() | b.isNull(), F.lit(False)).otherwise(same)
 
 

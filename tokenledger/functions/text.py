@@ -7,11 +7,17 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's str.strip() and \s have it (a Java character class).
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once and written once in the plan."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strip(s: Column) -> Column:
     """Without white space at either end, Unicode's included."""
     return F.regexp_replace(F.regexp_replace(s, rf"^{SPACE}+", ""), rf"{SPACE}+\z", "")
@@ -47,7 +53,7 @@ def balanced_box(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _balanced(s: pd.Series) -> pd.Series:
     return s.map(balanced_box)
 
@@ -70,9 +76,9 @@ def _nested(levels: int) -> str:
 
 def boxed_balanced_native(s: Column) -> Column:
     """As boxed_balanced(), by one regular expression, for boxes in no box and of up to four levels of braces."""
+    wrapped = r"(?d)\A\\text(?:bf|it|rm|sf)?\{(.+)\}\z"
     content = _match(s, rf"\\{{1,2}}boxed\{{({_nested(_LEVELS)})\}}", -1)
-    inner = strip(F.regexp_extract(content, r"(?ds)\A\\text(?:bf|it|rm|sf)?\{(.+)\}\z", 1))
-    return F.when(content.rlike(r"(?d)\A\\text(?:bf|it|rm|sf)?\{.+\}\z"), inner).otherwise(content)
+    return let(content, lambda c: F.when(c.rlike(wrapped), strip(F.regexp_extract(c, wrapped, 1))).otherwise(c))
 
 
 #: What the two profiles allow before and after a marked answer or a lone number: in run-time scoring exactly one blank.
