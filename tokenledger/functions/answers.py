@@ -31,7 +31,7 @@ def normalize_answer(s: Column, profile: str = "analysis", strict: bool = False)
     form; commas between thousands go where there are no brackets; white space becomes one blank. After the second
     argument of a line's first \\frac the rest of the line is lost, and so are units, unless strict.
     """
-    x = F.regexp_replace(s, r"\\{2,}", r"\\\\")
+    x = F.regexp_replace(s, r"\\{2,}", r"\\")
     for side in ("left", "right"):
         x = F.replace(x, F.lit(f"\\{side}"), F.lit(""))
     if not strict:
