@@ -6,7 +6,7 @@ all documents of that language by Jensen-Shannon distance; short documents, whos
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import GAP, cut
@@ -23,12 +23,10 @@ COMMON_WORDS = {
 CLASSES = (r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]", r"[\x20\x09-\x0D]")
 SYMBOLS = CLASSES[3]
 
-#: Words a document must have for its histograms to count; the two distances that, both exceeded, reject it; and
-#: the class distance beyond which a document has no part in the second references.
+#: Words a document must have for its histograms to count; the two distances that, both exceeded, reject it.
 LEAST_WORDS = 60
 MOST_CLASS_DISTANCE = 0.15
 MOST_WORD_DISTANCE = 0.2
-FIRST_CLASS_DISTANCE = 0.2
 
 
 def _let(value: Column, use) -> Column:
@@ -110,13 +108,23 @@ def _distances(counts: DataFrame, references: DataFrame) -> DataFrame:
     return both.select(*counts.columns, js_distance(F.col("classes"), F.col("all_classes")).alias("class_distance"), words.alias("word_distance"))
 
 
+def _nearer_half(near: DataFrame) -> DataFrame:
+    """The rows up to each language's median class distance, by counts in bins of a thousandth."""
+    place = F.floor(F.col("class_distance") * 1000)
+    counts = near.groupBy(F.col("lang").alias("_lang"), place.alias("_bin")).count()
+    mine = Window.partitionBy("_lang")
+    upto = F.sum("count").over(mine.orderBy("_bin"))
+    halves = counts.withColumn("_in", upto * 2 >= F.sum("count").over(mine)).where("_in").groupBy("_lang").agg(F.min("_bin").alias("_half"))
+    return near.join(halves, near["lang"].eqNullSafe(halves["_lang"])).where(place <= F.col("_half")).select(near.columns)
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
     kept), one row a row of docs.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. Otherwise a document is kept
     unless it has words enough and both histograms lie too far from its language's. References are sums over all
-    documents of a language (null is one too) that did not fail, taken again without those far from the first; a
+    documents of a language (null is one too) that did not fail, taken again of the half nearer to the first; a
     language without any rejects none, nor does one without a list of common words (its word distance is 0). Null and empty texts have no words. Repeated rows are judged alike;
     an empty table gives an empty table.
     """
@@ -125,7 +133,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     longest = max(map(len, COMMON_WORDS.values())) + 1
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     near = _distances(counts, _references(counts.where(~failed)))
-    # once more, without the documents that lie far from the first references
-    far = _distances(counts, _references(near.where(~failed & (F.col("class_distance") <= FIRST_CLASS_DISTANCE))))
+    # once more, of the half of each language's documents that lies nearer to the first reference
+    far = _distances(counts, _references(_nearer_half(near.where(~failed & F.col("class_distance").isNotNull()))))
     odd = (F.col("n_words") >= LEAST_WORDS) & (F.col("class_distance") > MOST_CLASS_DISTANCE) & (F.coalesce("word_distance", F.lit(1.0)) > MOST_WORD_DISTANCE)
     return far.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"))
