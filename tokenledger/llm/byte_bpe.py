@@ -12,21 +12,19 @@ from __future__ import annotations
 import base64
 import codecs
 import struct
-import sys
-import types
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, utf8, with_fields
+from .common import forget, kept, slices, utf8, with_fields
 
 #: Most entries of a worker's caches (results don't depend on them): states start anew, pieces are kept in two
 #: generations, and of pairs the first stay.
-MOST_STATES = 120_000
-MOST_PAIRS = 300_000
-MOST_PIECES = 250_000
+MOST_STATES = 250_000
+MOST_PAIRS = 200_000
+MOST_PIECES = 200_000
 #: Below a place in the trie with at most so many tokens, a state keeps which of them don't fit, not the token before.
 FEW_TOKENS = 16
 #: Bytes of text, or ids, that a worker encodes or decodes before it hands them on.
@@ -39,6 +37,23 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _pack(certain: int, guesses: list[tuple[tuple[int, ...], int]]) -> bytes:
+    """A state in few bytes: what stands before, and of each guess the number of pending tokens, these and its place."""
+    flat = [certain]
+    for pending, node in guesses:
+        flat += (len(pending), *pending, node)
+    return struct.pack(f"<{len(flat)}i", *flat)
+
+
+def _unpack(state: bytes) -> tuple[int, list[tuple[tuple[int, ...], int]]]:
+    flat, at, guesses = struct.unpack(f"<{len(state) // 4}i", state), 1, []
+    while at < len(flat):
+        end = at + 1 + flat[at]
+        guesses.append((flat[at + 1 : end], flat[end]))
+        at = end + 1
+    return flat[0], guesses
+
+
 #: No token stands before, or none that matters.
 NONE = -1
 
@@ -73,9 +88,9 @@ class Transducer:
         self._reset()
 
     def _reset(self):
-        self.states = [(NONE, (((), 0),))]
+        self.states = [_pack(NONE, [((), 0)])]
         self.number = {self.states[0]: 0}
-        self.next: dict[int, tuple[int, bytes]] = {}
+        self.next: dict[int, int | tuple[int, bytes]] = {}  # with the ids that become certain, if any do
         self.last: dict[int, bytes] = {}
         self.barred: list[frozenset[int]] = []
         self._contexts: dict[int, int] = {}
@@ -154,8 +169,8 @@ class Transducer:
             self._fits[a << 32 | b] = result
         return result
 
-    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
-        certain, guesses = self.states[state]
+    def _step(self, state: int, byte: int) -> int | tuple[int, bytes]:
+        certain, guesses = _unpack(self.states[state])
         trie, ends, fresh = self.trie, self.ends, self.trie[byte]
         after = []
         for pending, node in guesses:
@@ -175,16 +190,16 @@ class Transducer:
         if shared:
             certain, after = first[shared - 1], [(p[shared:], node) for p, node in after]
         # only the first guess can have nothing pending; without such a one, what stands before has had its say
-        key = (NONE if after[0][0] else self._context(certain, after[0][1]), tuple(after))
+        key = _pack(NONE if after[0][0] else self._context(certain, after[0][1]), after)
         number = self.number.setdefault(key, len(self.states))
         if number == len(self.states):
             self.states.append(key)
-        out = number, struct.pack(f"<{shared}I", *first[:shared])
+        out = (number, struct.pack(f"<{shared}I", *first[:shared])) if shared else number
         self.next[state << 8 | byte] = out
         return out
 
     def _finish(self, state: int) -> bytes:
-        certain, guesses = self.states[state]
+        certain, guesses = _unpack(self.states[state])
         for pending, node in guesses:
             token = self.ends[node]
             if token >= 0 and self._good(pending[-1] if pending else certain, token):
@@ -204,8 +219,12 @@ class Transducer:
         state, out, table = 0, [], self.next
         for byte in piece:
             hit = table.get(state << 8 | byte)
-            state, ids = hit if hit is not None else self._step(state, byte)
-            if ids:
+            if hit is None:
+                hit = self._step(state, byte)
+            if hit.__class__ is int:
+                state = hit
+            else:
+                state, ids = hit
                 out.append(ids)
         last = self.last.get(state)
         out.append(last if last is not None else self._finish(state))
@@ -245,15 +264,6 @@ class StreamDecoder:
         return self.machine.decode(b"", True)
 
 
-def _kept(name: str, make):
-    """make() once for each worker process: functions come anew with every task, the process stays."""
-    home = sys.modules.setdefault("_tokenledger_kept", types.ModuleType("_tokenledger_kept"))
-    if not hasattr(home, name):
-        setattr(home, name, make())
-    return getattr(home, name)
-
-
-
 def _in_slices(batches, column: str):
     for batch in batches:
         _, offsets = utf8(batch.column(batch.schema.get_field_index(column)))
@@ -261,48 +271,51 @@ def _in_slices(batches, column: str):
             yield batch.slice(first, beyond - first)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens (long) and token_ids (binary: little-endian unsigned 32-bit ids) of the whole text.
+def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", decode: bool = False) -> DataFrame:
+    """docs with n_tokens (long) and token_ids (binary: little-endian unsigned 32-bit ids) of the whole text, and, if
+    asked for, decoded: what the ids give again.
 
     Each match of pattern is encoded by itself; special tokens are ordinary text. A null text counts as empty
     and has no tokens. Columns named like a result are replaced. The ranks (one vocabulary file of a fixed size)
     travel with the task.
     """
-    schema = with_fields(docs, ("n_tokens", T.LongType()), ("token_ids", T.BinaryType()))
+    schema = with_fields(docs, ("n_tokens", T.LongType()), ("token_ids", T.BinaryType()), *[("decoded", T.StringType())] * decode)
     names, ranks = schema.names, docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    name = f"pieces_{abs(hash((path, pattern)))}"
+    name = f"{path} {pattern}"
 
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        pieces = _kept(name, lambda: Pieces(Transducer(ranks.value)))
+        pieces = kept(name, lambda: Pieces(Transducer(ranks.value)))
         get = pieces.__getitem__
         for batch in _in_slices(batches, text_col):
             packed = []
             for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
                 packed.append(b"".join(map(get, find(text))) if text else b"")
             new = {"n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()), "token_ids": pa.array(packed, pa.binary())}
+            if decode:
+                new["decoded"] = pa.array([_decoded(x, pieces.transducer.bytes) for x in packed], pa.string())
             yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(batch.schema.get_field_index(n)) for n in names], names)
 
     return docs.mapInArrow(run, schema)
 
 
-def decode_ids(rows: DataFrame, path: str, ids_col: str = "token_ids", block: int = 65_536) -> DataFrame:
+def _decoded(packed: bytes | None, tokens: dict[int, bytes], block: int = 65_536) -> str:
+    decoder, ids = StreamDecoder(tokens), np.frombuffer(packed or b"", "<u4")
+    return "".join(decoder.feed(ids[a : a + block].tolist()) for a in range(0, len(ids), block)) + decoder.finish()
+
+
+def decode_ids(rows: DataFrame, path: str, ids_col: str = "token_ids") -> DataFrame:
     """rows with decoded (string), read back from packed ids in blocks. Null ids give an empty text."""
     schema = with_fields(rows, ("decoded", T.StringType()))
     names, ranks = schema.names, rows.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches):
-        tokens = _kept(f"tokens_{abs(hash(path))}", lambda: {r: b for b, r in ranks.value.items()})
+        forget()
+        tokens = {r: b for b, r in ranks.value.items()}
         for batch in _in_slices(batches, ids_col):
-            texts = []
-            for packed in batch.column(batch.schema.get_field_index(ids_col)).to_pylist():
-                decoder = StreamDecoder(tokens)
-                ids = np.frombuffer(packed or b"", "<u4")
-                out = [decoder.feed(ids[a : a + block].tolist()) for a in range(0, len(ids), block)]
-                texts.append("".join(out) + decoder.finish())
-            new = pa.array(texts, pa.string())
+            new = pa.array([_decoded(x, tokens) for x in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([new if n == "decoded" else batch.column(batch.schema.get_field_index(n)) for n in names], names)
 
     return rows.mapInArrow(run, schema)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -48,6 +50,21 @@ def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*kept, *(T.StructField(n, t) for n, t in fields)])
 
 
+def kept(name: str, make):
+    """make() once for each worker process: functions come anew with every task, the process stays. One thing at a
+    time is kept."""
+    home = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker"))
+    if getattr(home, "name", None) != name:
+        home.value = None
+        home.value, home.name = make(), name
+    return home.value
+
+
+def forget() -> None:
+    """Frees what another operator's tasks have kept in this worker process."""
+    sys.modules.pop("_kept_by_worker", None)
+
+
 def n_words(text):
     """Words of a text column (0 for null or none), by JVM code."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

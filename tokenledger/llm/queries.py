@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import decode_ids, encode_texts
+from .byte_bpe import encode_texts
 from .html_extract import extract_main_text
 from .mixing import BLOCK_WORDS, MOST_PASSES, PRIMES, mix_plan
 from .quality_classifier import score_quality
@@ -65,8 +65,7 @@ FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    path = vocabulary("byte_bpe_50k.tiktoken")
-    rows = decode_ids(encode_texts(_table(spark, folder, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN).select("doc_id", "n_tokens", "token_ids"), path)
+    rows = encode_texts(_table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return rows.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
