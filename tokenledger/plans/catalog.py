@@ -403,10 +403,10 @@ def q_keyword_suppress(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.has_second_thought(F.col("p_name")).alias("suppressed"))
 
 
-@query("SELECT doc_id || '-' || lang AS unique_id, lang || '-' || doc_id AS key, 'qwen_v1_tale' AS run, CASE lower(trim(flag)) WHEN 'true' THEN true WHEN 'false' THEN false END AS flag FROM (SELECT *, [' True ', 'FALSE', 'yes'][doc_id % 3 + 1] AS flag FROM documents)")
+@query("SELECT doc_id || '-' || lang AS unique_id, lang || '-' || doc_id AS key, 'model_v1_tale' AS run, CASE lower(trim(flag)) WHEN 'true' THEN true WHEN 'false' THEN false END AS flag FROM (SELECT *, [' True ', 'FALSE', 'yes'][doc_id % 3 + 1] AS flag FROM documents)")
 def q_keys_and_flags(spark, d):
     flag = F.get(F.array(F.lit(" True "), F.lit("FALSE"), F.lit("yes")), (F.col("doc_id") % 3).cast("int"))
-    return table(spark, d, "documents").select(X.pair_key(F.col("doc_id"), F.col("lang")).alias("unique_id"), X.pair_key(F.col("lang"), F.col("doc_id")).alias("key"), X.run_name(F.lit("org/qwen_v1.gguf"), F.lit("tale")).alias("run"), X.parse_flag(flag).alias("flag"))
+    return table(spark, d, "documents").select(X.pair_key(F.col("doc_id"), F.col("lang")).alias("unique_id"), X.pair_key(F.col("lang"), F.col("doc_id")).alias("key"), X.run_name(F.lit("org/model_v1.bin"), F.lit("tale")).alias("run"), X.parse_flag(flag).alias("flag"))
 
 
 # Vectors and networks.
