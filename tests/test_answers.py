@@ -131,6 +131,7 @@ def test_equivalence_is_reflexive_and_symmetric(spark, rows):
 def test_texts(spark):
     assert over(spark, X.stated_budget, ("Budget: [[12]]",), ("[[ 12 ]]",), ("[[12]] [[30]]",), (None,)) == [12, 100, 12, 100]
     assert over(spark, X.level_text, ("Level 5",), ("Level ?",), ("3",), ("3.0",), (None,)) == ["5", "?", "3", "3", None]
+    assert over(spark, lambda s: X.level_number(X.remap(s, {"aimee": "6"})), ("aimee",), ("Level 2",), ("?",)) == [6, 2, None]
     assert over(spark, X.parse_flag, ("True",), (" false ",), ("yes",), (None,)) == [True, False, None, None]
     assert over(spark, X.has_second_thought, ("know",), ("Wait",), ("cat",)) == [True, True, False]
     assert over(spark, X.think_text, ("a<think> b\nc </think>",), ("a",), ("</think><think>x</think>",)) == ["b\nc", "", "x"]

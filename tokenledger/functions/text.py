@@ -142,6 +142,13 @@ def level_number(s: Column, strict: bool = False) -> Column:
     return bare.cast("int") if strict else bare.try_cast("int")
 
 
+def remap(s: Column, words: dict[str, str]) -> Column:
+    """A text with some words replaced by others, e.g. a level that is named by a number."""
+    for old, new in words.items():
+        s = F.replace(s, F.lit(old), F.lit(new))
+    return s
+
+
 def level_text(s: Column) -> Column:
     """A level as text: "Level 3", 3 and 3.0 are all "3"; null stays null."""
     bare = strip(F.regexp_replace(s, "^Level", ""))
