@@ -21,7 +21,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_blocks_of_a_page():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="ad">Buy</div><div class='cookie-notice'>Cookies</div><aside>Side</aside><form><p>Your name</p></form><article><header><h1>A &amp; B</h1></header><p>one
-    <b>two</b><br>three<p>four &#233;&nbsp;x < y<!-- no --><img src="a>b">.<section id="comments"><p>Troll</p></section><div class="adapter">kept</div></article><footer>&copy;</footer>"""
+    <b>two</b><br>three<p>four &#233;&nbsp;x < y<!-- no --><img src="a>b">.<section id="comments"><p>Troll</p></section><article class="comment"><p>Reader</p></article><div role="alert">Notice</div><div class="adapter">kept</div></article><footer>&copy;</footer>"""
     assert main_texts([blocks(page)]) == ["A & B\none two\nthree\nfour é x < y.\nkept"]
     assert blocks("") == [] and blocks("<p>open <b>never closed") == [("open never closed", False)]
     assert blocks("<nav>a</nav>b</p></div>c") == [("b", False), ("c", False)]
