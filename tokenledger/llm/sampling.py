@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text longer than this many bytes is not sampled for training (it is scored like any other).
+#: A text longer than this many bytes is not sampled for training (it is scored like any other), and of each label
+#: texts are taken, whole, until they have so many bytes together.
 MOST_SAMPLE_BYTES = 20_000
+MOST_LABEL_BYTES = 8 << 20
 
 
 def held_out(id_col: str) -> Column:
@@ -17,7 +19,7 @@ def held_out(id_col: str) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> dict[int, list[str]]:
     """Texts by label: of each label at most most[label] rows of the training fold, those whose ids hash lowest.
 
-    Bounded by most and MOST_SAMPLE_BYTES, whatever the size of docs. Rows without an id, label or text don't count;
+    Bounded by most, MOST_SAMPLE_BYTES and MOST_LABEL_BYTES, whatever the size of docs. Rows without an id, label or text don't count;
     of labels given twice the least counts, and each distinct text is used once.
     """
     once = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("_label"))
@@ -26,7 +28,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: di
         part = once.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(n)
         picked = part if picked is None else picked.unionAll(part)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= MOST_SAMPLE_BYTES).join(F.broadcast(picked), id_col).orderBy(F.xxhash64(id_col), id_col, "_text").limit(2 * sum(most.values())).collect()
-    out = {label: dict() for label in most}
+    out, size = {label: dict() for label in most}, dict.fromkeys(most, 0)
     for r in rows:
-        out[r["_label"]].setdefault(r["_text"], None)
+        label, text = r["_label"], r["_text"]
+        if text not in out[label] and size[label] <= MOST_LABEL_BYTES:
+            out[label][text] = None
+            size[label] += len(text.encode())
     return {label: list(texts) for label, texts in out.items()}

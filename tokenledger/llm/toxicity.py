@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_fields
+from .common import forget, with_fields
 from .sampling import held_out, labelled_sample
 
 #: Words in a window; bytes of a match at least; bytes of a segment at most.
@@ -42,16 +42,17 @@ _MARKER = bytes(range(1, 9)) + bytes(range(14, 30))
 def _contexts(texts: list[str]) -> Counter:
     """For each segment of letters with which words start, the space before included: in how many contexts (the
     words around) it occurs, so that what copies of one text repeat counts once."""
-    seen = set()
+    seen, count = set(), Counter()
     for t in texts:
         words = t.lower().split()
         for before, w, after in zip(["", *words], words, [*words[1:], ""]):
             around, padded = hash((before, w, after)), f" {w} "
             for n in range(LEAST_MATCH - 1, min(len(padded), MOST_SEGMENT) + 1):
                 raw = padded[:n].encode()
-                if len(raw) >= LEAST_MATCH and (padded[1 : min(n, len(w) + 1)]).isalpha():
-                    seen.add((raw, around))
-    return Counter(segment for segment, _ in seen)
+                if len(raw) >= LEAST_MATCH and (padded[1 : min(n, len(w) + 1)]).isalpha() and (key := hash((raw, around))) not in seen:
+                    seen.add(key)
+                    count[raw] += 1
+    return count
 
 
 def _segments(own: Counter, n_own: int, other: Counter, n_other: int) -> list[bytes]:
@@ -132,6 +133,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     names, shared = schema.names, docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches):
+        forget()
         both = compressors(shared.value)
         for batch in batches:
             found = [closer_windows(t, *both) if t else (0, 0) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
