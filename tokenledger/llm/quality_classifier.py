@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, utf8, with_fields, word_hashes, word_spans
+from .common import forget, slices, utf8, with_fields, word_hashes, word_spans
 from .sampling import held_out, labelled_sample
 
 #: Hash buckets (a power of 2), the vectors' length, and the n-grams' lengths in bytes.
@@ -132,6 +132,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     names, shared = schema.names, docs.sparkSession.sparkContext.broadcast((weights, bias))
 
     def run(batches):
+        forget()
         for batch in batches:
             s = scores(*utf8(batch.column(batch.schema.get_field_index(text_col))), *shared.value)
             yield pa.RecordBatch.from_arrays([pa.array(s, pa.float64()) if n == "score" else batch.column(batch.schema.get_field_index(n)) for n in names], names)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, utf8, window_hashes, with_fields, word_hashes, word_spans
+from .common import forget, mix, utf8, window_hashes, with_fields, word_hashes, word_spans
 
 #: Bytes of text in a chunk; counters in a row of the count-min sketch of a block, and its rows.
 CHUNK_BYTES = 4 << 20
@@ -79,6 +79,7 @@ def _split(block: np.ndarray):
 
 def _sketches(id_col, text_col, size, blocks):
     def run(key, table):
+        forget()
         c = _Chunk(table, id_col, text_col, size, blocks)
         keys = np.unique(c.key)
         block = (keys >> np.uint64(32)).astype(np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, utf8, with_fields
+from .common import forget, slices, utf8, with_fields
 
 #: Pre-tokens whose counts a task keeps; beyond, it starts anew (counts are the same).
 MOST_KEPT = 300_000
@@ -109,6 +109,7 @@ def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text") -> Da
     names, shared = schema.names, docs.sparkSession.sparkContext.broadcast(read_pieces(model_path))
 
     def run(batches):
+        forget()
         counter, kept = UnigramCounter(shared.value), {}
         for whole in batches:
             _, offsets = utf8(whole.column(whole.schema.get_field_index(text_col)))
