@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, utf8, with_fields, word_spans
+from .common import cut, forget, slices, utf8, with_fields, word_spans
 from .components import smallest_reachable
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,17 +67,18 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed:
     return out
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed: int = 42) -> DataFrame:
-    """docs with simhash (long: the 64 bits). A-Z count as a-z; a text with fewer words than a shingle is one
-    shingle; a text without words, empty or null, has 0. A column named simhash is replaced."""
-    schema = with_fields(docs, ("simhash", T.LongType()))
+def fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 4, seed: int = 42, name: str = "simhash") -> DataFrame:
+    """docs with a column, simhash unless named otherwise (long: the 64 bits). A-Z count as a-z; a text with fewer words than a shingle is one
+    shingle; a text without words, empty or null, has 0. A column of that name is replaced."""
+    schema = with_fields(docs, (name, T.LongType()))
     names = schema.names
 
     def run(batches):
+        forget()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             h = text_fingerprints(*utf8(column), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h) if n == "simhash" else batch.column(batch.schema.get_field_index(n)) for n in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(h) if n == name else batch.column(batch.schema.get_field_index(n)) for n in names], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -223,6 +224,7 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     links = link_fingerprints(nodes.select("simhash"), nodes.count(), bits)
     found = smallest_reachable(nodes.select(F.col("simhash").alias("node"), "label"), links)
     labels = nodes.join(found.select(F.col("node").alias("simhash"), F.col("label").alias("least")), "simhash", "left").select("simhash", F.coalesce("least", "label").alias("component_id"))
+    labels = cut(labels)  # then both sides of the last join are plain exchanges, and a fingerprint of many rows is split
     return prints.join(labels, "simhash", "left").select(F.col("id").alias(id_col), "simhash", "component_id")
 
 
@@ -238,7 +240,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rank = F.row_number().over(_one(id_col, text_col))
     kept = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     orphans = found.where("component_id is null").select(F.col("simhash").alias("_print")).distinct()
-    lone = fingerprints(docs.where(F.col(id_col).isNull()), text_col, options.get("shingle", 4), options.get("seed", 42)).withColumnRenamed("simhash", "_print")
+    lone = fingerprints(docs.where(F.col(id_col).isNull()), text_col, options.get("shingle", 4), options.get("seed", 42), "_print")
     lone = lone.join(orphans, "_print").drop("_print").select(docs.columns)
     return kept.unionAll(lone)
 
