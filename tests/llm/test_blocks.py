@@ -153,8 +153,8 @@ def test_mix(spark, monkeypatch, bucket):
     assert all(abs(taken[s] - target[s]) <= 0.5 + 1e-6 for s in size)
     assert sum(r["words"] for r in slots.collect()) == sum(taken.values())
     assert sorted(map(repr, mix_plan(df.repartition(3))[0].collect())) == sorted(map(repr, got))
-    texts = mixed_documents(spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, n_chars long"))
-    assert texts.columns == ["doc_id", "text", "source", "n_chars"]
+    texts = mixed_documents(spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("passes", "size", "id")}))
+    assert texts.columns == ["doc_id", "text", "source", "n_chars", "passes", "size", "id"]
     words, want = Counter(), Counter()
     for r in texts.collect():
         assert r["n_chars"] == len(r["text"])

@@ -99,9 +99,10 @@ def test_counts_share_prefixes(words):
 
 
 def test_token_counts(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id int, text string")
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id int, text string, n_tokens string")
     got = [r["n_tokens"] for r in count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()]
     counter = UnigramCounter(PIECES)
     short = [(g, t) for g, t in zip(got, TEXTS) if len(t or "") < 1000]
     assert [g for g, _ in short] == [sum(plain_count(MARK + w, PIECES, counter.byte_score) for w in (t or "").split()) for _, t in short]
+    assert count_tokens(df.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
     assert all(got[i] > 0 for i, t in enumerate(TEXTS) if t and t.strip())

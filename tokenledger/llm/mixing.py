@@ -151,14 +151,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = ["id", "source", "size", "bucket", "place"]
     spans = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_spans"), F.sum(F.col("b") - F.col("a")).alias("_some"))
     plan = place.where("size > 0").select(*keys, "passes").join(spans.select(*(F.col(c).alias(f"_{c}") for c in keys), "_spans", F.col("_some")), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys], "left")
-    plan = plan.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("bucket", "place")).alias("_turn"), "passes", "_spans", F.coalesce("_some", F.lit(0)).alias("_some"))
+    plan = plan.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.row_number().over(Window.partitionBy("id", "source", "size").orderBy("bucket", "place")).alias("_turn"), F.col("passes").alias("_passes"), "_spans", F.coalesce("_some", F.lit(0)).alias("_some"))
     texted = texted.withColumn("_turn_of", F.row_number().over(Window.partitionBy(id_col, source_col, "_words").orderBy(text_col)))
     joined = texted.join(plan, texted[id_col].eqNullSafe(plan["_id"]) & texted[source_col].eqNullSafe(plan["_source"]) & (texted["_words"] == plan["_size"]) & (texted["_turn_of"] == plan["_turn"]))
     split = F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     some = F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice("_cut", (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")))), " ")
     joined = joined.withColumn("_cut", F.when((F.col("_some") > 0) & (F.col("_some") < F.col("_words")), split))
     rest = F.when(F.col("_some") == F.col("_words"), F.array(F.col(text_col))).when(F.col("_some") > 0, F.array(some)).otherwise(F.array().cast("array<string>"))
-    out = joined.withColumn(text_col, F.explode(F.concat(F.array_repeat(F.col(text_col), F.col("passes").cast("int")), rest)))
+    out = joined.withColumn(text_col, F.explode(F.concat(F.array_repeat(F.col(text_col), F.col("_passes").cast("int")), rest)))
     if count_col in columns:
         out = out.withColumn(count_col, F.char_length(text_col).cast(docs.schema[count_col].dataType))
     return out.select(columns)
