@@ -200,7 +200,7 @@ def test_pipeline(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op8_exact_top_k", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op5_quality_rules", "op8_exact_top_k", "op10_mixing"])
 def test_queries_against_sql(spark, name):
     import duckdb
 

@@ -9,7 +9,7 @@ from .byte_bpe import encode_texts
 from .html_extract import extract_main_text
 from .mixing import BLOCK_WORDS, MOST_PASSES, PRIMES, mix_plan
 from .quality_classifier import score_quality
-from .quality_rules import judge
+from .quality_rules import CLASSES, COMMON_WORDS, LEAST_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, judge
 from .simhash import near_duplicate_components
 from .substring_dedup import remove_repeated_windows
 from .token_counts import count_tokens
@@ -62,6 +62,46 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_LISTS = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(map(_quoted, v))}]" for k, v in COMMON_WORDS.items()) + " ELSE [] END"
+
+
+def _distances(name: str, references: str) -> str:
+    """CTEs: the references of a set of documents, and the distances of all documents from them, kind by kind."""
+    return f"""
+{name}_all AS (SELECT lang, kind, bin, sum(v) AS v FROM hist WHERE doc_id IN ({references}) GROUP BY ALL),
+{name}_ref AS (SELECT lang, kind, bin, v / sum(v) OVER (PARTITION BY lang, kind) AS q FROM {name}_all),
+{name} AS (SELECT h.doc_id, h.lang, h.kind, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d
+  FROM shares h JOIN {name}_ref r ON h.lang IS NOT DISTINCT FROM r.lang AND h.kind = r.kind AND h.bin = r.bin GROUP BY ALL)"""
+
+
+_OP5 = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, ws[i:i + 4] AS k FROM d, unnest(range(1, len(ws) - 3)) AS t(i) WHERE len(ws) >= 5),
+twice AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win),
+repeated AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice WHERE n > 1) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (SELECT d.*, CAST(len(ws) AS BIGINT) AS n_words, length(t) AS chars, {", ".join(f"len(regexp_extract_all(t, {_quoted(c)})) AS c{i}" for i, c in enumerate(CLASSES))},
+  CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, {_LISTS} AS own FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+counted AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed, list_transform(own, lambda x: len(list_filter(ws, lambda y: y = x))) AS f FROM base),
+hist AS (
+  SELECT doc_id, lang, 'class' AS kind, unnest(range({len(CLASSES) + 1})) AS bin, CAST(unnest([c0, c1, c2, c3, c4, chars - c0 - c1 - c2 - c3 - c4]) AS DOUBLE) AS v FROM counted
+  UNION ALL SELECT doc_id, lang, 'word', unnest(range(len(f) + 1)), CAST(unnest(list_append(f, n_words - coalesce(list_sum(f), 0))) AS DOUBLE) FROM counted),
+shares AS (SELECT * FROM (SELECT doc_id, lang, kind, bin, v / nullif(sum(v) OVER (PARTITION BY doc_id, kind), 0) AS p FROM hist) WHERE p IS NOT NULL),
+{_distances("near", "SELECT doc_id FROM counted WHERE NOT failed").strip()},
+binned AS (SELECT doc_id, near.lang, floor(d * 1000) AS b FROM near JOIN counted USING (doc_id) WHERE kind = 'class' AND NOT failed),
+ranked AS (SELECT lang, b, sum(count(*)) OVER (PARTITION BY lang ORDER BY b) * 2 >= sum(count(*)) OVER (PARTITION BY lang) AS up FROM binned GROUP BY lang, b),
+half AS (SELECT lang, min(b) AS b FROM ranked WHERE up GROUP BY lang),
+{_distances("far", "SELECT doc_id FROM binned JOIN half ON binned.lang IS NOT DISTINCT FROM half.lang WHERE binned.b <= half.b").strip()},
+apart AS (SELECT doc_id, max(d) FILTER (kind = 'class') AS c, max(d) FILTER (kind = 'word') AS w FROM far GROUP BY doc_id)
+SELECT doc_id, n_words, CAST(chars - c4 AS BIGINT) AS word_chars, CAST(c3 AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT coalesce(n_words >= {LEAST_WORDS} AND c > {MOST_CLASS_DISTANCE} AND coalesce(w, 1) > {MOST_WORD_DISTANCE}, false) AS kept FROM counted LEFT JOIN apart USING (doc_id)
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -138,6 +178,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_substring_dedup": _OP1,
+    "op5_quality_rules": _OP5,
     "op8_exact_top_k": _OP8,
     "op10_mixing": _OP10,
 }
