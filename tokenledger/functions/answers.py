@@ -31,26 +31,35 @@ def normalize_answer(s: Column, profile: str = "analysis", strict: bool = False)
     form; commas between thousands go where there are no brackets; white space becomes one blank. After the second
     argument of a line's first \\frac the rest of the line is lost, and so are units, unless strict.
     """
-    x = F.regexp_replace(s, r"\\{2,}", r"\\")
+    x = let(strip(s), lambda v: F.when(v.contains("\\"), _latex(v, profile, strict)).otherwise(v))
+    x = let(x, lambda v: F.when(v.contains("_"), _cut(v, rf"(?d)_\{{?\p{{Nd}}+\}}?{SPACE}*$")).otherwise(v))
+    x = let(x, lambda v: F.when(v.contains("="), _cut(v, rf"^[a-zA-Z]{SPACE}*={SPACE}*")).otherwise(v))
+    x = let(x, lambda v: F.when(v.startswith("("), F.regexp_replace(v, r"(?d)\A\(([A-Za-z])\)$", "$1")).otherwise(v))
+    x = let(x, lambda v: F.when(v.contains("\\"), _full_forms(v, strict)).otherwise(v))
+    commas = lambda v: F.regexp_replace(v, r"(?d)(?<=\p{Nd}),(?=\p{Nd}{3}(?:\P{Nd}|$))", "")
+    x = let(x, lambda v: F.when(v.contains(",") & ~v.rlike(r"[()\[\]\\]"), commas(v)).otherwise(v))
+    x = strip(F.regexp_replace(x, rf"{SPACE}+", " "))
+    return F.when(s.isNull() | (s == "") | (s == "nan"), s).otherwise(x)
+
+
+def _latex(x: Column, profile: str, strict: bool) -> Column:
+    """The rules up to the degree sign, for a text with a backslash."""
+    x = F.regexp_replace(x, r"\\{2,}", r"\\")
     for side in ("left", "right"):
         x = F.replace(x, F.lit(f"\\{side}"), F.lit(""))
     if not strict:
-        body = "[^}]" if profile == "pipeline" else "[^}]*"
         if profile == "pipeline":
-            x = _cut(x, rf"(?d){SPACE}*{_UNIT}{body}\}}(?:\^\p{{Nd}}+)?{SPACE}$")
+            x = _cut(x, rf"(?d){SPACE}*{_UNIT}[^}}]\}}(?:\^\p{{Nd}}+)?{SPACE}$")
         x = _cut(x, rf"{SPACE}*{_UNIT}[^}}]*\}}(?:\^\p{{Nd}}+)?")
-    x = _drop(x, "\\$", "\\!", "\\,")
+    x = strip(_drop(x, "\\$", "\\!", "\\,"))
     x = _cut(x, rf"^[a-zA-Z]{SPACE}*\\in{SPACE}*")
-    x = _cut(x, rf"(?d)\^\\circ{SPACE}*$")
-    x = _cut(x, rf"(?d)_\{{?\p{{Nd}}+\}}?{SPACE}*$")
-    x = _cut(x, rf"^[a-zA-Z]{SPACE}*={SPACE}*")
-    x = F.regexp_replace(x, r"(?d)\A\(([A-Za-z])\)$", "$1")
+    return _cut(x, rf"(?d)\^\\circ{SPACE}*$")
+
+
+def _full_forms(x: Column, strict: bool) -> Column:
     x = F.replace(x, F.lit("\\dfrac"), F.lit("\\frac"))
     x = F.regexp_replace(x, r"\\sqrt([^{\s\x1c-\x1f\x85\p{Z}\\])", r"\\sqrt{$1}")
-    x = F.regexp_replace(x, _FRACTION + ("" if strict else ".*"), r"\\frac{$1$2}{$3$4}")
-    x = let(x, lambda v: F.when(v.rlike(r"[()\[\]\\]"), v).otherwise(F.regexp_replace(v, r"(?d)(?<=\p{Nd}),(?=\p{Nd}{3}(?:\P{Nd}|$))", "")))
-    x = strip(F.regexp_replace(x, rf"{SPACE}+", " "))
-    return F.when(s.isNull() | (s == "") | (s == "nan"), s).otherwise(x)
+    return F.regexp_replace(x, _FRACTION + ("" if strict else ".*"), r"\\frac{$1$2}{$3$4}")
 
 
 def answer_set(s: Column) -> Column:

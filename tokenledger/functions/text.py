@@ -18,9 +18,13 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+#: The same characters, one by one.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(s: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.regexp_replace(F.regexp_replace(s, rf"^{SPACE}+", ""), rf"{SPACE}+\z", "")
+    return F.btrim(s, F.lit(SPACES))
 
 
 def _match(s: Column, pattern: str, place: int) -> Column:

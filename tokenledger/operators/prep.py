@@ -25,6 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame, below: int = 128 << 20) -> DataFrame:
+    """df dealt to all cores if it comes from less than a split's bytes: a file of one row group is one task
+    otherwise, which counts where each row takes long. Larger tables stay as they are scanned, without a shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < below else df
+
+
 def union_sources(sources: list[DataFrame], order: str = "row_idx") -> DataFrame:
     """All rows by name, missing columns null, with source_rank: the place of a row's source."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (s.withColumn("source_rank", F.lit(i)) for i, s in enumerate(sources)))

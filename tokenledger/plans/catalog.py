@@ -265,7 +265,7 @@ SELECT dataset, count(*) AS num_total, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT)
 """)
 def q_model_dataset_summary(spark, d):
     """Texts are scored anew and rolled up for each data set (answers over 9 characters count as hallucinated here)."""
-    scored = views.answers(spark, d).withColumn("e", A.evaluate(F.col("solution"), F.col("generated"), "analysis", native=True))
+    scored = views.answers(spark, d, dealt=True).withColumn("e", A.evaluate(F.col("solution"), F.col("generated"), "analysis", native=True))
     scored = scored.select("dataset", "token_count", "e.is_correct", X.long_answer(F.col("e.generated_value"), 9).alias("hallucinated"))
     s = metrics.model_dataset_summary(scored, "dataset")
     return s.select("dataset", "num_total", "num_correct", *(F.round(c, 9).alias(c) for c in ("accuracy", "avg_tokens", "avg_tokens_clean")), "num_hallucinations")
@@ -337,22 +337,22 @@ def q_boxed_simple(spark, d):
 
 @query(f"SELECT row_idx, CASE WHEN k IN (0, 1, 2, 3, 8) THEN value END AS value FROM ({_EXTRACTED})")
 def q_boxed_balanced(spark, d):
-    return views.answers(spark, d).select("row_idx", X.boxed_balanced(F.col("generated")).alias("value"))
+    return views.answers(spark, d, dealt=True).select("row_idx", X.boxed_balanced(F.col("generated")).alias("value"))
 
 
 @query(f"SELECT row_idx, CASE WHEN k IN (0, 1, 2, 3, 8) THEN value END AS value FROM ({_EXTRACTED})")
 def q_boxed_balanced_native(spark, d):
-    return views.answers(spark, d).select("row_idx", X.boxed_balanced_native(F.col("generated")).alias("value"))
+    return views.answers(spark, d, dealt=True).select("row_idx", X.boxed_balanced_native(F.col("generated")).alias("value"))
 
 
 @query(f"SELECT row_idx, CASE WHEN k IN (4, 7) THEN generated ELSE value END AS value FROM ({_EXTRACTED})")
 def q_extract_pipeline(spark, d):
-    return views.answers(spark, d).select("row_idx", X.extract_answer(F.col("generated"), "pipeline").alias("value"))
+    return views.answers(spark, d, dealt=True).select("row_idx", X.extract_answer(F.col("generated"), "pipeline").alias("value"))
 
 
 @query(f"SELECT row_idx, value FROM ({_EXTRACTED})")
 def q_extract_analysis(spark, d):
-    return views.answers(spark, d).select("row_idx", X.extract_answer(F.col("generated"), "analysis", native=True).alias("value"))
+    return views.answers(spark, d, dealt=True).select("row_idx", X.extract_answer(F.col("generated"), "analysis", native=True).alias("value"))
 
 
 @query(f"SELECT row_idx, CASE WHEN k = 6 THEN n END AS dollars, CASE WHEN k IN (4, 5) THEN n END AS marked, CASE WHEN k = 7 THEN n END AS number FROM ({_EXTRACTED})")
@@ -372,7 +372,7 @@ def q_think_text(spark, d):
 @query(r"SELECT row_idx, CASE WHEN k = 1 THEN '\frac{' || n || '}{7}' ELSE n END AS form FROM (SELECT *, row_idx % 6 AS k, CAST(1000 + row_idx % 97 AS VARCHAR) AS n FROM answers)")
 def q_normalize_steps(spark, d):
     n = (1000 + F.col("row_idx") % 97).cast("string")
-    a = views.answers(spark, d).select("row_idx", (F.col("row_idx") % 6).alias("k"), n.alias("n"), F.concat(F.substring(n, 1, 1), F.lit(","), F.substring(n, 2, 3)).alias("t"))
+    a = views.answers(spark, d, dealt=True).select("row_idx", (F.col("row_idx") % 6).alias("k"), n.alias("n"), F.concat(F.substring(n, 1, 1), F.lit(","), F.substring(n, 2, 3)).alias("t"))
     text = F.when(F.col("k") == 0, F.concat(F.lit("x="), "n")).when(F.col("k") == 1, F.concat(F.lit("\\dfrac{"), "n", F.lit("}7x"))).when(F.col("k") == 2, F.concat("n", F.lit(" \\mbox{ inches}^2"))).when(F.col("k") == 3, F.col("t")).when(F.col("k") == 4, F.concat("n", F.lit("^\\circ "))).otherwise(F.concat(F.lit("\\$"), "n", F.lit("_{8}")))
     return a.select("row_idx", A.normalize_answer(text).alias("form"))
 
@@ -380,7 +380,7 @@ def q_normalize_steps(spark, d):
 @query("SELECT row_idx, true AS as_set, token_count % 2 = 0 AS as_number, token_count % 2 = 1 AS as_half FROM answers")
 def q_set_and_number_equiv(spark, d):
     t, n = F.col("token_count"), F.col("token_count").cast("string")
-    return views.answers(spark, d).select(
+    return views.answers(spark, d, dealt=True).select(
         "row_idx", A.equivalent(F.concat(F.lit("("), n, F.lit(", -1)")), F.concat(F.lit("[-1,"), n, F.lit("]"))).alias("as_set"),
         A.equivalent(F.concat(F.lit("\\frac{"), n, F.lit("}{2}")), F.floor(t / 2).cast("string")).alias("as_number"),
         A.equivalent(F.concat(F.lit("\\frac{"), n, F.lit("}{2}")), F.concat(F.floor(t / 2).cast("string"), F.lit(".5"))).alias("as_half"))
@@ -388,14 +388,14 @@ def q_set_and_number_equiv(spark, d):
 
 @query(f"SELECT row_idx, ok AS is_correct, wanted AS expected_value, value AS generated_value FROM {_VERDICT}")
 def q_evaluate_answer(spark, d):
-    return views.answers(spark, d).select("row_idx", A.evaluate(F.col("solution"), F.col("generated")).alias("e")).select("row_idx", "e.*")
+    return views.answers(spark, d, dealt=True).select("row_idx", A.evaluate(F.col("solution"), F.col("generated")).alias("e")).select("row_idx", "e.*")
 
 
 @query(r"""
 SELECT row_idx, CASE WHEN k IN (0, 8, 2, 1, 3) THEN CASE k WHEN 0 THEN n WHEN 8 THEN '\text{' || n || ' cm' WHEN 2 THEN '1' WHEN 1 THEN '\frac{' || n ELSE '3' END = CASE WHEN solution LIKE '%frac%' THEN regexp_extract(solution, '\\boxed\{([^}]*)\}', 1) ELSE wanted END ELSE false END AS ok FROM ("""
  + _EXTRACTED + ")")
 def q_legacy_equiv(spark, d):
-    return views.answers(spark, d).select("row_idx", A.legacy_correct(F.col("solution"), F.col("generated")).alias("ok"))
+    return views.answers(spark, d, dealt=True).select("row_idx", A.legacy_correct(F.col("solution"), F.col("generated")).alias("ok"))
 
 
 @query("SELECT part.p_partkey AS id, " + " OR ".join(f"contains(lower(trim(p_name)), '{w}')" for w in X.SECOND_THOUGHTS) + " AS suppressed FROM part")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.functions.vectors import BUDGETS
+from tokenledger.operators.prep import spread
 
 DATASETS = ("gsm8k", "math-500", "aime", "aime-250", "olympiad")
 
@@ -14,9 +15,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def answers(spark: SparkSession, folder: str) -> DataFrame:
-    """Generated texts of every shape an answer comes in, and solutions."""
-    rows = table(spark, folder, "lineitem").select(
+def answers(spark: SparkSession, folder: str, dealt: bool = False) -> DataFrame:
+    """Generated texts of every shape an answer comes in, and solutions. dealt: spread over all cores, for work that
+    takes long a row."""
+    rows = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")) if dealt else table(spark, folder, "lineitem")
+    rows = rows.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_idx"), (F.col("l_orderkey") % 5).alias("d"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 10).alias("k"),
         (F.col("l_partkey") % 100).cast("string").alias("n"), (F.col("l_partkey") % 100 + 1).cast("string").alias("m"), (F.col("l_linenumber") % 3).alias("s"),
         (F.col("l_suppkey") % 997 + F.col("l_linenumber") * 100).alias("token_count"))
