@@ -139,11 +139,17 @@ def span_sums(values: np.ndarray, step: int, starts: np.ndarray, ends: np.ndarra
     return (total[ends] - total[starts]) * back[starts]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    return mix(span_sums(_BYTE_TABLE[data], _BYTE_STEP, starts, ends) + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; worked out in blocks of so many bytes, to need little memory at once."""
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        base = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, base + block, "right")))
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix(span_sums(_BYTE_TABLE[data[base : ends[j - 1]]], _BYTE_STEP, a, b) + (b - a).astype(np.uint64))
+        i = j
+    return out
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
