@@ -234,14 +234,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows with a null id stay only where their whole component has no id. Columns are those of docs.
     """
     found = near_duplicate_components(docs, id_col, text_col, **options)
+    orphans = found.where("component_id is null").select(F.col("simhash").alias("_print")).distinct()
+    lone = fingerprints(docs.where(F.col(id_col).isNull()), text_col, options.get("shingle", 4), options.get("seed", 42), "_print")
+    lone = lone.join(orphans, "_print").drop("_print").select(docs.columns)
+    return rows_of_components(docs, found, lone, id_col, text_col)
+
+
+def rows_of_components(docs: DataFrame, found: DataFrame, lone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The row of docs with the smallest id of each component of found, and the rows of lone."""
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
     # a short list of ids beside the texts: the texts alone are shuffled once, by id
     kept = docs.join(keep, docs[id_col] == keep["_keep"]).drop("_keep")
     rank = F.row_number().over(_one(id_col, text_col))
     kept = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    orphans = found.where("component_id is null").select(F.col("simhash").alias("_print")).distinct()
-    lone = fingerprints(docs.where(F.col(id_col).isNull()), text_col, options.get("shingle", 4), options.get("seed", 42), "_print")
-    lone = lone.join(orphans, "_print").drop("_print").select(docs.columns)
     return kept.unionAll(lone)
 
 
