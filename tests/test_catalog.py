@@ -54,3 +54,15 @@ def test_plans(spark):
     assert "LeftAnti" in plan(catalog.QUERIES["q_exact_decontam"](spark, FOLDER))
     assert "Python" not in plan(catalog.QUERIES["q_model_dataset_summary"](spark, FOLDER))
     assert "Python" not in plan(catalog.QUERIES["q_label_matrix"](spark, FOLDER))
+
+
+def test_whole_texts(spark, duck):
+    from tokenledger.operators import providers
+
+    texts = dict(duck.sql("select doc_id, text from documents").fetchall())
+    got = {r["id"]: r["value"] for r in catalog.QUERIES["q_provider_stub"](spark, FOLDER).collect()}
+    assert max(map(len, texts.values())) > 200
+    assert got == {i: providers.stub_generate([t])[0].rsplit("{", 1)[1].rstrip("}") for i, t in texts.items()}
+    rows = catalog.QUERIES["q_think_text_whole"](spark, FOLDER).collect()
+    assert len(rows) == duck.sql("select count(*) from conversations where text is not null").fetchall()[0][0]
+    assert max(len(r["think"]) for r in rows) > 40

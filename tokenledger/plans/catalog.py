@@ -369,6 +369,15 @@ def q_think_text(spark, d):
     return c.select("conv_id", "turn", X.think_text(t).alias("think"), X.stated_budget(t).alias("budget"), X.prompt_budget(t).alias("asked"))
 
 
+@query("SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS think, turn % 3 * 50 AS budget, turn % 3 * 50 AS asked FROM conversations WHERE text IS NOT NULL")
+def q_think_text_whole(spark, d):
+    """q_think_text over whole texts and every turn; a budget of 0 is one of them."""
+    c = table(spark, d, "conversations").where("text is not null")
+    n = (F.col("turn") % 3 * 50).cast("string")
+    t = F.concat(F.lit("<think>"), "text", F.lit("</think> [["), n, F.lit("]] Think for "), n, F.lit(" tokens."))
+    return c.select("conv_id", "turn", X.think_text(t).alias("think"), X.stated_budget(t).alias("budget"), X.prompt_budget(t).alias("asked"))
+
+
 @query(r"SELECT row_idx, CASE WHEN k = 1 THEN '\frac{' || n || '}{7}' ELSE n END AS form FROM (SELECT *, row_idx % 6 AS k, CAST(1000 + row_idx % 97 AS VARCHAR) AS n FROM answers)")
 def q_normalize_steps(spark, d):
     n = (1000 + F.col("row_idx") % 97).cast("string")
@@ -564,7 +573,7 @@ def q_preference_pairs(spark, d):
 
 @query()
 def q_provider_stub(spark, d):
-    p = views.problems(spark, d).select("id", F.substring("problem", 1, 200).alias("prompt"))
+    p = views.problems(spark, d).select("id", F.col("problem").alias("prompt"))
     g = providers.generated(p, lambda: providers.stub_generate)
     return g.select("id", X.extract_answer(F.col("generated")).alias("value"), providers.stub_token_count(F.col("generated")).alias("tokens"))
 
