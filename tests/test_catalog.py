@@ -66,3 +66,9 @@ def test_whole_texts(spark, duck):
     rows = catalog.QUERIES["q_think_text_whole"](spark, FOLDER).collect()
     assert len(rows) == duck.sql("select count(*) from conversations where text is not null").fetchall()[0][0]
     assert max(len(r["think"]) for r in rows) > 40
+
+
+def test_whole_trajectories(spark, duck):
+    rows = catalog.QUERIES["q_traj_whole"](spark, FOLDER).collect()
+    assert sum(len(r["values"]) for r in rows) == duck.sql("select count(*) from events").fetchall()[0][0]
+    assert max(len(r["values"]) for r in rows) > 8

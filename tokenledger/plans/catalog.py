@@ -510,6 +510,12 @@ def q_traj_pivot(spark, d):
     return trajectory.pivot_steps(_numbered(spark, d), 8, "question_id", "s", "v")
 
 
+@query(f"SELECT question_id, list(v ORDER BY s) AS values FROM {_TRAJECTORY} GROUP BY question_id")
+def q_traj_whole(spark, d):
+    """q_traj_pivot over all steps, however many a trajectory has."""
+    return trajectory.trajectories(_numbered(spark, d), "question_id", "s", "v")
+
+
 @query(f"""
 SELECT question_id, CAST(lag AS INTEGER) AS lag, round(c / nullif(t, 0), 6) AS acf FROM (
   SELECT a.question_id, a.s - b.s AS lag, sum(a.d * b.d) AS c, any_value(a.t) AS t FROM (SELECT *, sum(d * d) OVER (PARTITION BY question_id) AS t FROM (SELECT *, v - avg(v) OVER (PARTITION BY question_id) AS d FROM {_TRAJECTORY})) a
