@@ -72,3 +72,11 @@ def test_whole_trajectories(spark, duck):
     rows = catalog.QUERIES["q_traj_whole"](spark, FOLDER).collect()
     assert sum(len(r["values"]) for r in rows) == duck.sql("select count(*) from events").fetchall()[0][0]
     assert max(len(r["values"]) for r in rows) > 8
+
+
+def test_whole_budget_grid(spark, duck):
+    from tokenledger.functions import vectors
+
+    n = catalog.QUERIES["q_budget_cross_prompt_whole"](spark, FOLDER).count()
+    documents = duck.sql("select count(*) from documents").fetchall()[0][0]
+    assert n == documents * len(vectors.BUDGETS) and documents > 100

@@ -122,6 +122,19 @@ def q_budget_cross_prompt(spark, d):
     return e.select("unique_id", "target_think_tokens", prompt.alias("prompt"), F.ltrim(X.budget_prompt(F.lit(""), F.col("target_think_tokens"), "sentence")).alias("sentences"))
 
 
+@query("""
+SELECT id || '-' || dataset AS unique_id, CAST(b AS INTEGER) AS target_think_tokens,
+  CASE WHEN dataset = 'aime-250' THEN problem ELSE problem || chr(10) || 'Let''s think step by step and output the final answer within boxed{}.' END || ' Think for ' || b || ' tokens.' AS prompt,
+  'Use less than ' || b // 60 || ' sentences.' AS sentences
+FROM problems CROSS JOIN (SELECT unnest([""" + ", ".join(map(str, V.BUDGETS)) + """]) AS b)
+""")
+def q_budget_cross_prompt_whole(spark, d):
+    """q_budget_cross_prompt over every problem."""
+    e = prep.expand_budgets(views.problems(spark, d), V.BUDGETS)
+    prompt = X.budget_prompt(X.problem_prompt(F.col("problem"), F.col("dataset")), F.col("target_think_tokens"), "token")
+    return e.select("unique_id", "target_think_tokens", prompt.alias("prompt"), F.ltrim(X.budget_prompt(F.lit(""), F.col("target_think_tokens"), "sentence")).alias("sentences"))
+
+
 @query("SELECT p.id, l.t AS target FROM problems p JOIN (SELECT question_id, arg_max(target_think_tokens, row_idx) AS t FROM runs GROUP BY question_id) l ON p.id = l.question_id")
 def q_strict_lookup(spark, d):
     r = views.runs(spark, d).select(F.col("question_id").alias("id"), F.col("target_think_tokens").alias("target"), "row_idx")
