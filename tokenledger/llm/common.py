@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,16 +24,18 @@ SEPARATORS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
 _IS_GAP = np.zeros(256, bool)
 _IS_GAP[list(SEPARATORS)] = True
 
-#: Seeds of the rolling hashes (odd multipliers and the byte table's seed).
+#: Odd multipliers of the rolling hashes.
 _BYTE_STEP = 0x9E3779B97F4A7C15 | 1
 _WORD_STEPS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_BYTE_TABLE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Take the shared folder from spark.checkpoint.dir; only where that is unset (tests), use a local one."""
+    """Take the shared folder from spark.checkpoint.dir. Where that is unset, a local run (as in tests) makes one of its
+    own; a cluster must set it, since a machine's own folder goes with the machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
 
 
@@ -50,6 +52,24 @@ def with_fields(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*kept, *(T.StructField(n, t) for n, t in fields)])
 
 
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """Names for helper columns that df doesn't have (in any case): those given, with underscores as needed."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out[0] if len(out) == 1 else out
+
+
+def with_results(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns added at its end; columns of df named like them (in any case) go."""
+    names = {n.lower() for n in columns}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in names), *(v.alias(n) for n, v in columns.items()))
+
+
 def kept(name: str, make):
     """make() once for each worker process: functions come anew with every task, the process stays. One thing at a
     time is kept."""
@@ -96,6 +116,28 @@ def slices(offsets: np.ndarray, most: int):
         first = beyond
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, text of each): the texts that offsets cut data into, those of more than `most` bytes cut further. A piece
+    ends after the last separator that leaves it short enough, or, without one, after its last whole character. Where a
+    text is cut depends on that text alone."""
+    long = np.flatnonzero(np.diff(offsets) > most)
+    if not len(long):
+        return offsets, np.arange(len(offsets) - 1)
+    more, of = [], []
+    for i in long.tolist():
+        at, end = int(offsets[i]), int(offsets[i + 1])
+        while end - at > most:
+            gaps = np.flatnonzero(_IS_GAP[data[at : at + most]])
+            step = int(gaps[-1]) + 1 if len(gaps) else most
+            while not len(gaps) and step > most - 4 and (data[at + step] & 0xC0) == 0x80:
+                step -= 1
+            at += step
+            more.append(at)
+            of.append(i)
+    cuts = np.sort(np.concatenate([offsets, np.array(more, offsets.dtype)]), kind="stable")
+    return cuts, np.repeat(np.arange(len(offsets) - 1), 1 + np.bincount(np.array(of), minlength=len(offsets) - 1))
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words of the texts that offsets cut data into; words of each text before it (n + 1)."""
     if not len(data):
@@ -139,19 +181,32 @@ def span_sums(values: np.ndarray, step: int, starts: np.ndarray, ends: np.ndarra
     return (total[ends] - total[starts]) * back[starts]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; worked out in blocks of so many bytes, to need little memory at once."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0, block: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: its length and its 8-byte lanes are mixed in one after the other, each by a
+    bijection that isn't linear, so that no two words collide but by chance. Words over 64 bytes are hashed by XXH3.
+    Another seed gives another, independent hash. Works in blocks of so many words, to need little memory at once."""
     out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, base + block, "right")))
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix(span_sums(_BYTE_TABLE[data[base : ends[j - 1]]], _BYTE_STEP, a, b) + (b - a).astype(np.uint64))
-        i = j
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    for i in range(0, len(starts), block):
+        at, left = starts[i : i + block], (ends - starts)[i : i + block]
+        h = mix((left.astype(np.uint64) + np.uint64(seed << 32)) * np.uint64(_BYTE_STEP))
+        where = np.flatnonzero(left <= 64)
+        at, left = at[where], left[where]
+        while len(where):
+            n = np.minimum(left, 8).astype(np.uint64)
+            own = lanes[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * n))
+            h[where] = mix((h[where] ^ own) + np.uint64(_BYTE_STEP))
+            more = left > 8
+            where, at, left = where[more], at[more] + 8, left[more] - 8
+        out[i : i + block] = h
+    for i in np.flatnonzero(ends - starts > 64).tolist():
+        from xxhash import xxh3_64_intdigest
+
+        out[i] = xxh3_64_intdigest(data[starts[i] : ends[i]], seed)
     return out
 
 
-def window_hashes(words: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits, as two arrays, for the window of size word hashes that starts at each of at."""
-    return tuple(mix(span_sums(words, step, at, at + size)) for step in _WORD_STEPS)
+def window_hashes(words: np.ndarray, step: int, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the window of size word hashes that starts at each of at."""
+    return mix(span_sums(words, step, at, at + size))

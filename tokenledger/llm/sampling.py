@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A text longer than this many bytes is not sampled for training (it is scored like any other), and of each label
-#: texts are taken, whole, until they have so many bytes together.
-MOST_SAMPLE_BYTES = 20_000
-MOST_LABEL_BYTES = 8 << 20
+from .common import cut
 
 
 def held_out(id_col: str) -> Column:
@@ -16,22 +13,21 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> dict[int, list[str]]:
-    """Texts by label: of each label at most most[label] rows of the training fold, those whose ids hash lowest.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: dict[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label, place, text): of each label at most most[label] rows of the training fold, those whose ids hash
+    lowest, with whole texts of any length; place is a hash of the id, to order and to part the sample by.
 
-    Bounded by most, MOST_SAMPLE_BYTES and MOST_LABEL_BYTES, whatever the size of docs. Rows without an id, label or text don't count;
-    of labels given twice the least counts, and each distinct text is used once.
+    The number of rows is the only bound, the same whatever the size of docs; the texts stay with the executors, cut
+    in the checkpoint folder. Rows without an id, label or text don't count; of labels given twice the least counts, of
+    rows that share an id the least text, and each distinct text is used once.
     """
-    once = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("_label"))
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
+    once = known.groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("label"))
     picked = None
     for label, n in sorted(most.items()):
-        part = once.where(F.col("_label") == label).orderBy(F.xxhash64(id_col), id_col).limit(n)
+        part = once.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(n)
         picked = part if picked is None else picked.unionAll(part)
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text")).where(F.octet_length("_text") <= MOST_SAMPLE_BYTES).join(F.broadcast(picked), id_col).orderBy(F.xxhash64(id_col), id_col, "_text").limit(2 * sum(most.values())).collect()
-    out, size = {label: dict() for label in most}, dict.fromkeys(most, 0)
-    for r in rows:
-        label, text = r["_label"], r["_text"]
-        if text not in out[label] and size[label] <= MOST_LABEL_BYTES:
-            out[label][text] = None
-            size[label] += len(text.encode())
-    return {label: list(texts) for label, texts in out.items()}
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    first = F.min(F.struct(F.xxhash64("id").alias("place"), "id", "label")).alias("first")
+    return cut(rows.groupBy("text").agg(first).select("first.id", F.col("first.label").cast("int").alias("label"), "first.place", "text"))
