@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import encode_texts
 from .html_extract import extract_main_text
-from .mixing import BLOCK_WORDS, MOST_PASSES, PRIMES, mix_plan
+from .mixing import mix_plan
 from .quality_classifier import score_quality
 from .quality_rules import CLASSES, COMMON_WORDS, LEAST_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, judge
 from .simhash import near_duplicate_components
@@ -111,7 +111,7 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = score_toxicity(_table(spark, folder, "documents", "doc_id", "text"), _table(spark, folder, "labels", "doc_id", "toxic"))
-    return scored.select("doc_id", "held_out", "score", "predicted", "toxic_windows")
+    return scored.select("doc_id", "held_out", "score", "predicted", "saved_bytes")
 
 
 def op8_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,31 +133,6 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-_PRIME = "CASE " + " ".join(f"WHEN (source_no + {t}) % 5 = {n} AND blocks % {PRIMES[n]} <> 0 THEN {PRIMES[n]}" for t in range(5) for n in range(5)) + " END"
-
-_OP10 = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
-]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS k FROM documents),
-s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM s0),
-s2 AS (SELECT *, [5, 2, 1][source_no % 3 + 1] AS weight, CAST(source_size * {MOST_PASSES} AS DOUBLE) / [5, 2, 1][source_no % 3 + 1] AS room FROM s1),
-s3 AS (SELECT *, CAST(sum(source_size) OVER () - {MOST_PASSES} * coalesce(sum(source_size) OVER w, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
-  FROM s2 WINDOW w AS (ORDER BY room, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s4 AS (SELECT *, (SELECT x.level FROM s3 x WHERE x.room > x.level ORDER BY x.room, x.source_no LIMIT 1) AS rest FROM s3),
-s5 AS (SELECT source, source_no, source_size, least(CAST(source_size * {MOST_PASSES} AS DOUBLE), coalesce(rest * weight, CAST(source_size * {MOST_PASSES} AS DOUBLE))) AS target FROM s4),
-s6 AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), source_size * {MOST_PASSES}) AS take, CAST(ceil(source_size / {BLOCK_WORDS}) AS BIGINT) AS blocks FROM s5),
-s7 AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE take // source_size END AS passes FROM s6),
-s8 AS (SELECT *, take - passes * source_size AS remaining, {_PRIME} AS prime FROM s7),
-slots AS (SELECT source_no, (prime * (i + 1) - 1) % blocks AS block, least({BLOCK_WORDS}, remaining - i * {BLOCK_WORDS}) AS part
-  FROM (SELECT *, unnest(range(0, CAST(ceil(remaining / {BLOCK_WORDS}) AS BIGINT))) AS i FROM s8 WHERE remaining > 0)),
-p AS (SELECT d.doc_id, d.size, s8.source_size, s8.target, s8.source_no, s8.passes, sum(d.size) OVER (PARTITION BY s8.source_no ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS start
-  FROM d JOIN s8 ON d.source IS NOT DISTINCT FROM s8.source),
-pieces AS (SELECT *, unnest(range(CAST(start // {BLOCK_WORDS} AS BIGINT), CAST((start + size - 1) // {BLOCK_WORDS} + 1 AS BIGINT))) AS block FROM p WHERE size > 0),
-some_words AS (SELECT doc_id, sum(greatest(0, least(start + size, block * {BLOCK_WORDS} + part) - greatest(start, block * {BLOCK_WORDS}))) AS n FROM pieces JOIN slots USING (source_no, block) GROUP BY doc_id)
-SELECT doc_id, size, source_size, target, CAST(passes * size + coalesce(n, 0) AS BIGINT) AS taken FROM p LEFT JOIN some_words USING (doc_id)
-"""
-
-
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = near_duplicate_components(_table(spark, folder, "documents", "doc_id", "text"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
@@ -180,5 +155,4 @@ ORACLES = {
     "op1_substring_dedup": _OP1,
     "op5_quality_rules": _OP5,
     "op8_exact_top_k": _OP8,
-    "op10_mixing": _OP10,
 }

@@ -1,84 +1,135 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text: each gathers the segments its own
-texts use and the others don't. Every window of a document is compressed with both; the fewer bytes the toxic
-dictionary needs, the closer the window is to toxic text. How many windows come out closer, against the windows a
-document has, is calibrated to a score. Frames start with a marker that both dictionaries hold, so that a single
-match shows in the length, and literals stay raw.
+Two zstandard dictionaries are trained on windows of labelled texts. The ordinary one is trained by zstandard itself on
+windows of ordinary texts. The toxic one has the same content, so that ordinary passages compress alike with both, and
+after it passages of toxic texts: runs of short substrings, as a dictionary trainer would choose them for being in many
+windows, but only those that are several times as frequent in toxic windows as in ordinary ones. Every window of a
+document is compressed with both dictionaries; the bytes that the toxic one saves, against the windows the document has,
+are calibrated to a score on a part of the training fold that the dictionaries have not seen.
 """
 
 from __future__ import annotations
 
-import math
+import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import forget, with_fields
+from .common import cut, forget, with_results
 from .sampling import held_out, labelled_sample
 
-#: Words in a window; bytes of a match at least; bytes of a segment at most.
-WINDOW = 12
+#: Words in a window; bytes of a match at least; zstandard's level.
+WINDOW = 8
 LEAST_MATCH = 5
-MOST_SEGMENT = 8
-#: A segment of a dictionary occurs in as many contexts as this share of its class's sample has texts, and in so many
-#: that chance would hardly put them all on one side; for each text of the other class's in less than this part.
-LEAST_SHARE = 0.04
-CHANCE = 1e-6
-MOST_ELSEWHERE = 0.025
-#: Rows of each label in the training sample at most.
+LEVEL = 3
+#: Bytes of ordinary content, of toxic passages at most, of one passage at most, and of a weighed substring.
+ORDINARY_BYTES = 16_384
+TOXIC_BYTES = 8_192
+PASSAGE = 32
+SUBSTRING = 5
+#: A substring is weighed if it is in so many times as many toxic windows as ordinary ones would make expect, and in so
+#: many standard deviations more.
+LEAST_RATIO = 4.0
+DEVIATIONS = 8.0
+#: A passage is taken if at least one in so many of its substrings is in no passage taken before.
+FRESH = 2
+#: Rows of each label in the training sample at most, and windows of each that dictionaries are trained on at most. Longer
+#: windows are no training samples (they are scored like any other).
 SAMPLE = {0: 2500, 1: 1200}
+MOST_WINDOWS = 40_000
+MOST_WINDOW_BYTES = 512
+#: Part of the sample that only calibrates: one row in so many.
+CALIBRATES = 4
 #: A score from which a document is predicted to be toxic.
 THRESHOLD = 0.5
-DICTIONARY_BYTES = 16_384
-
-_MARKER = bytes(range(1, 9)) + bytes(range(14, 30))
-
-
-def _contexts(texts: list[str]) -> Counter:
-    """For each segment of letters with which words start, the space before included: in how many contexts (the
-    words around) it occurs, so that what copies of one text repeat counts once."""
-    seen, count = set(), Counter()
-    for t in texts:
-        words = t.lower().split()
-        for before, w, after in zip(["", *words], words, [*words[1:], ""]):
-            around, padded = hash((before, w, after)), f" {w} "
-            for n in range(LEAST_MATCH - 1, min(len(padded), MOST_SEGMENT) + 1):
-                raw = padded[:n].encode()
-                if len(raw) >= LEAST_MATCH and (padded[1 : min(n, len(w) + 1)]).isalpha() and (key := hash((raw, around))) not in seen:
-                    seen.add(key)
-                    count[raw] += 1
-    return count
-
-
-def _segments(own: Counter, n_own: int, other: Counter, n_other: int) -> list[bytes]:
-    if not n_own:
-        return []
-    least = max(3, LEAST_SHARE * n_own, math.log(CHANCE) / math.log(n_own / (n_own + n_other)))
-    good = {g for g, k in own.items() if k >= least and other[g] * n_own <= MOST_ELSEWHERE * k * n_other}
-    # the shortest of segments that start alike
-    short = (g for g in good if not any(g[:n] in good for n in range(1, len(g))))
-    return sorted(short, key=lambda g: (own[g], g))
-
-
-def train_dictionaries(ordinary: list[str], toxic: list[str]) -> tuple[bytes, bytes]:
-    """Contents of the two dictionaries, of one length, so that distances in them cost alike."""
-    of = [_contexts(ordinary), _contexts(toxic)]
-    n = len(ordinary), len(toxic)
-    own = [_segments(of[i], n[i], of[1 - i], max(1, n[1 - i]))[-DICTIONARY_BYTES // MOST_SEGMENT :] for i in (0, 1)]
-    # in the other dictionary a segment lacks its last byte: what it shares with common words matches in both
-    return tuple(b"".join((g if i == side else g[:-1] + b"\0") + b"\0" for side in (0, 1) for g in own[side]) + b"\0" + _MARKER for i in (0, 1))
+#: Characters of a text that are cut to windows at once.
+PIECE = 1 << 18
+
+_SPACE = re.compile(r"[ \t-\r]")
+
+
+def windows(text: str) -> Iterator[bytes]:
+    """Runs of WINDOW words of a whole text in lower case, a blank before, between and after them."""
+    rest: list[bytes] = []
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + PIECE)
+        end = gap.end() if gap else len(text)
+        words = rest + text[at:end].lower().encode().split()
+        at = end
+        whole = len(words) if at >= len(text) else len(words) // WINDOW * WINDOW
+        for i in range(0, whole, WINDOW):
+            yield b" %b " % b" ".join(words[i : i + WINDOW])
+        rest = words[whole:]
+
+
+def _substrings(parts: list[bytes]):
+    """Each substring of SUBSTRING bytes as a number, its window, and whether it lies in one window; and all bytes."""
+    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    n = max(0, len(data) - SUBSTRING + 1)
+    code, inside, gap = np.zeros(n, np.uint64), np.ones(n, bool), data == 10
+    for i in range(SUBSTRING):
+        code = (code << np.uint64(8)) | data[i : n + i]
+        inside &= ~gap[i : n + i]
+    return code, np.cumsum(gap)[:n], inside, data
+
+
+def _frequencies(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct substrings of windows, and in how many windows each is."""
+    code, of, inside, _ = _substrings(parts)
+    code, of = code[inside], of[inside]
+    order = np.lexsort((of, code))
+    code, of = code[order], of[order]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (of[1:] != of[:-1])
+    return np.unique(code[new], return_counts=True)
+
+
+def toxic_passages(ordinary: list[bytes], toxic: list[bytes]) -> bytes:
+    """Passages of toxic windows, the best last, where a dictionary's matches are cheapest."""
+    if not toxic or not ordinary:
+        return b""
+    own, n = _frequencies(toxic)
+    other, m = _frequencies(ordinary)
+    at = np.minimum(np.searchsorted(other, own), max(0, len(other) - 1))
+    expected = (np.where(other[at] == own, m[at], 0) + 1) * len(toxic) / len(ordinary) if len(other) else np.ones(len(own))
+    weight = np.where((n >= LEAST_RATIO * expected) & (n >= expected + DEVIATIONS * np.sqrt(expected) + 4), n, 0)
+    # passages are the longest runs of such substrings; the commonest comes first, then what covers others
+    code, of, inside, data = _substrings(toxic)
+    heavy = inside & (weight[np.minimum(np.searchsorted(own, code), len(own) - 1)] > 0)
+    edge = np.diff(np.concatenate([[False], heavy, [False]]).astype(np.int8))
+    raw = data.tobytes()
+    seen = Counter(raw[a : min(b + SUBSTRING - 1, a + PASSAGE)] for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
+    out, covered, size = [], set(), 0
+    for passage, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
+        own_parts = {passage[i : i + SUBSTRING] for i in range(len(passage) - SUBSTRING + 1)}
+        if FRESH * len(own_parts - covered) >= len(own_parts) and size < TOXIC_BYTES:
+            covered |= own_parts
+            out.append(passage)
+            size += len(passage) + 1
+    return b"".join(b"\n" + passage for passage in reversed(out))
+
+
+def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary, trained on windows."""
+    import zstandard as zstd
+
+    try:
+        base = zstd.train_dictionary(ORDINARY_BYTES, ordinary, k=32, d=6).as_bytes()
+    except (zstd.ZstdError, ValueError):  # too few windows to train on: the windows themselves
+        base = b"".join(ordinary)[-ORDINARY_BYTES:].rjust(8)
+    return base, base + toxic_passages(ordinary, toxic)
 
 
 def compressors(dictionaries: tuple[bytes, bytes]):
     """Functions that compress a window with the ordinary and with the toxic dictionary."""
     import zstandard as zstd
 
-    p = zstd.ZstdCompressionParameters.from_level(-1, min_match=LEAST_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS)
+    p = zstd.ZstdCompressionParameters.from_level(LEVEL, min_match=LEAST_MATCH, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstd.FORMAT_ZSTD1_MAGICLESS)
     out = []
     for content in dictionaries:
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
@@ -87,59 +138,89 @@ def compressors(dictionaries: tuple[bytes, bytes]):
     return out
 
 
-def closer_windows(text: str, ordinary, toxic) -> tuple[int, int]:
-    """How many windows the toxic dictionary compresses to fewer bytes, and how many there are."""
-    words = text.lower().encode().split()
-    n = hits = 0
-    for a in range(0, len(words), WINDOW):
-        window = _MARKER + b" " + b" ".join(words[a : a + WINDOW]) + b" "
-        hits += len(toxic(window)) < len(ordinary(window))
+def saved_bytes(text: str | None, ordinary, toxic) -> tuple[int, int]:
+    """Bytes that the toxic dictionary saves over the windows of a text, and how many windows there are."""
+    saved = n = 0
+    for window in windows(text or ""):
+        gain = len(ordinary(window)) - len(toxic(window))
+        if gain > 0:
+            saved += gain
         n += 1
-    return hits, n
+    return saved, n
 
 
-def _evidence(hits, windows):
-    return np.log((np.asarray(hits, float) + 0.02) / (np.asarray(windows, float) + 10))
+def _evidence(saved, n):
+    return np.log((np.asarray(saved, float) + 0.5) / (np.asarray(n, float) + 3))
 
 
 def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression with a small ridge, by Newton's method. With one class only, a slope of 1 and a bound that no evidence without hits reaches."""
+    """Slope and intercept of a logistic regression with a small ridge, by Newton's method. With one class only, those by
+    which no text that saves nothing is toxic."""
     if len(set(y.tolist())) < 2:
-        return 1.0, 5.0
+        return 1.0, 0.0
     a = np.stack([x - x.mean(), np.ones(len(x))], 1)
     beta = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        gradient = a.T @ ((p - y)) / len(y) + 1e-3 * beta
+        gradient = a.T @ (p - y) / len(y) + 1e-3 * beta
         curve = (a * (p * (1 - p))[:, None]).T @ a / len(y) + 1e-3 * np.eye(2)
         step = np.linalg.solve(curve, gradient)
         beta -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
     return float(beta[0]), float(beta[1] - beta[0] * x.mean())
 
 
+def _training_windows(batches):
+    forget()
+    for batch in batches:
+        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+            some = list(dict.fromkeys(w for w in windows(text) if len(w) <= MOST_WINDOW_BYTES))
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.int32()), pa.array(some, pa.binary())], ["label", "window"])
+
+
+def _training_evidence(shared):
+    def run(batches):
+        both = compressors(shared.value)
+        for batch in batches:
+            found = np.array([saved_bytes(t, *both) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["place", "label", "saved", "n"])
+
+    return run
+
+
+def trained(sample: DataFrame) -> tuple[tuple[bytes, bytes], float, float]:
+    """The two dictionaries, and the slope and intercept of the score, from labelled_sample()'s rows. At most MOST_WINDOWS
+    windows of each label come to the driver, and two numbers for each row that calibrates."""
+    calibrates = F.pmod(F.col("place"), F.lit(CALIBRATES)) == 0
+    found = cut(sample.where(~calibrates).select("label", "text").mapInArrow(_training_windows, "label int, window binary").distinct())
+    parts = [[bytes(r["window"]) for r in found.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window").limit(MOST_WINDOWS).select("window").collect()] for label in (0, 1)]
+    dictionaries = train_dictionaries(*parts)
+    shared = sample.sparkSession.sparkContext.broadcast(dictionaries)
+    rows = sample.where(calibrates).select("place", "label", "text").mapInArrow(_training_evidence(shared), "place long, label int, saved long, n long").collect()
+    rows.sort(key=lambda r: tuple(r))
+    slope, intercept = calibrate(_evidence([r["saved"] for r in rows], [r["n"] for r in rows]), np.array([r["label"] for r in rows], float))
+    return dictionaries, slope, intercept
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> DataFrame:
-    """docs with held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5) and toxic_windows.
+    """docs with held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.5) and saved_bytes.
 
-    Trained on at most `sample` rows of each label of the training fold; every window of every text is scored. Null
-    and empty texts have no windows and the score of a text without evidence. A row with a null id is scored and
-    not held out. Columns named like a result are replaced. Without toxic labels no window is toxic.
+    Trained on at most `sample` rows of each label of the training fold; every window of every text is scored, of any
+    length. Null and empty texts have no windows and the score of a text without evidence. Equal texts score alike,
+    repeated rows stay. A row with a null id is scored and not held out. Columns named like a result are replaced;
+    others stay as they are. Without toxic labels no text saves anything and none is predicted. An empty table gives an
+    empty table.
     """
-    texts = labelled_sample(docs, labels, label_col, sample or SAMPLE, id_col, text_col)
-    dictionaries = train_dictionaries(texts[0], texts[1])
-    both = compressors(dictionaries)
-    seen = [(*closer_windows(t, *both), y) for y, v in texts.items() for t in v]
-    slope, intercept = calibrate(_evidence([s[0] for s in seen], [s[1] for s in seen]), np.array([s[2] for s in seen], float))
-    schema = with_fields(docs, ("score", T.DoubleType()), ("toxic_windows", T.LongType()))
-    names, shared = schema.names, docs.sparkSession.sparkContext.broadcast(dictionaries)
+    dictionaries, slope, intercept = trained(labelled_sample(docs, labels, label_col, sample or SAMPLE, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    def run(batches):
+    @F.arrow_udf("struct<score:double,saved:long>")
+    def judged(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         forget()
         both = compressors(shared.value)
-        for batch in batches:
-            found = [closer_windows(t, *both) if t else (0, 0) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            hits, n = np.array(found, np.int64).reshape(-1, 2).T
-            score = 1 / (1 + np.exp(-np.clip(slope * _evidence(hits, n) + intercept, -30, 30)))
-            new = {"score": pa.array(score, pa.float64()), "toxic_windows": pa.array(hits, pa.int64())}
-            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(batch.schema.get_field_index(c)) for c in names], names)
+        for batch in texts:
+            found = np.array([saved_bytes(t.as_py(), *both) for t in batch], np.int64).reshape(-1, 2)
+            score = 1 / (1 + np.exp(-np.clip(slope * _evidence(found[:, 0], found[:, 1]) + intercept, -30, 30)))
+            yield pa.StructArray.from_arrays([pa.array(score, pa.float64()), pa.array(found[:, 0])], names=["score", "saved"])
 
-    return docs.mapInArrow(run, schema).withColumns({"held_out": held_out(id_col), "predicted": (F.col("score") >= THRESHOLD).cast("int")})
+    out = with_results(docs, score=judged(F.col(text_col)), held_out=held_out(id_col))
+    return with_results(out, score=F.col("score.score"), held_out=F.col("held_out"), predicted=(F.col("score.score") >= THRESHOLD).cast("int"), saved_bytes=F.col("score.saved"))
