@@ -3,62 +3,97 @@
 Each word that a repeated window covers goes, except in the first document (by id) that has the window.
 Every window of every document takes part:
 
-1. Documents are dealt to chunks by hash, copies included, so that one text held by a third of all rows is
-   spread; each chunk builds a partition sketch: the distinct counters its windows touch, packed by sketch block.
-2. Each sketch block merges the partition sketches into a count-min array (depth rows; the estimate is the
-   smallest counter) of in how many chunks a window occurs. Estimates are never too low. One bit for each counter
-   a chunk touched goes back to that chunk.
-3. Only windows with an estimate of 2 or more leave their chunk, once a chunk and with the smallest id there;
-   they are grouped exactly by 128 bits. One bit each goes back: a smaller id has this window elsewhere.
-   Windows with an estimate of 1 occur in their chunk alone, which decides them itself. None is lost.
-
-Chunks and blocks grow in number with the bytes of text, so that each stays at a few MB. Texts are shuffled
-once (the exchange is reused); 4 bytes a window and 20 a window in several chunks are shuffled besides.
+1. Documents are dealt to chunks by hash, copies included, so that one text held by a third of all rows is spread. Each
+   chunk builds a partition sketch, the count-min counters that its distinct windows raise by one (a cell in each of
+   the sketch's rows), and sends each block of the sketch its part: sorted cells, as 2-byte gaps.
+2. Each block adds the partition sketches up. The least counter of a window is its estimate: in how many chunks it
+   occurs, never too low. One bit for each counter a chunk raised goes back to it: whether it stands at 2 or more.
+3. Only windows all of whose counters do leave their chunk, once a chunk and with the smallest id there; they are
+   grouped exactly by 128 bits: two 64-bit hashes that share nothing, of word hashes with different seeds (among 1e13
+   windows some two agree by chance with a probability of 2e-13). One bit each goes back: a smaller id has this
+   window elsewhere. Windows with an estimate of 1 occur in their chunk alone, which decides them itself. None is lost.
+
+There are as many blocks as chunks. A chunk has 4 MB of text, from 37 GB on more, as the square root of the input
+(20 MB at 1 TB, 200 MB at 100 TB), so that a message has some 64 counters or more at any size: 4 bytes a window are
+sent, in 2.5e9 messages at 1 TB; and 20 bytes for a window in several chunks. Texts are shuffled once (the exchange is
+reused).
 """
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, mix, utf8, window_hashes, with_fields, word_hashes, word_spans
+from .common import _WORD_STEPS, GAP, forget, mix, n_words, unused, utf8, window_hashes, with_fields, with_results, word_hashes, word_spans
 
-#: Bytes of text in a chunk; counters in a row of the count-min sketch of a block, and its rows.
+#: Bytes of text in a chunk at least, and by how many bytes of input the square of a chunk's bytes grows.
 CHUNK_BYTES = 4 << 20
-SKETCH_WIDTH = 1 << 21
-SKETCH_DEPTH = 3
+MESSAGE_BYTES = 430
+#: Rows of the count-min sketch; counters of a row that are added up at once.
+SKETCH_DEPTH = 2
+SKETCH_SLICE = 1 << 22
+
+_ROW_STEP = 0x9E3779B97F4A7C15
+_REPLY = "chunk int, kind int, block int, bits binary"
+
+
+class _Sketch:
+    """Sizes that all chunks and blocks share: words of a window, blocks, and the counters of a block's rows."""
+
+    def __init__(self, size: int, blocks: int, width: int, depth: int):
+        self.size, self.blocks, self.width, self.depth = size, blocks, width, depth
+
+    def cells(self, h1: np.ndarray) -> list[np.ndarray]:
+        """The counter of each window in each row: its block, then its place in the block."""
+        key = mix(h1)
+        block = ((key >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)
+        places = (mix(key ^ np.uint64((row + 1) * _ROW_STEP % 2**64)) & np.uint64(self.width - 1) for row in range(self.depth))
+        return [block * np.uint64(self.width) + place for place in places]
+
+    def split(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The blocks of distinct cells in order, and the bounds of their runs."""
+        block = (cells // np.uint64(self.width)).astype(np.int64)
+        cuts = _split(block)
+        return block[cuts[:-1]], cuts
+
+
+def _packed(places: np.ndarray) -> bytes:
+    """Rising numbers as gaps of 2 bytes, or, where a gap is too wide, as they are in 4."""
+    gaps = np.diff(places, prepend=0)
+    return gaps.astype("<u2").tobytes() if gaps.max(initial=0) < 1 << 16 else places.astype("<u4").tobytes()
+
 
-_REPLY = "_chunk int, kind int, block int, bits binary"
+def _unpacked(raw: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(raw, "<u2"), dtype=np.int64) if len(raw) == 2 * n else np.frombuffer(raw, "<u4").astype(np.int64)
 
 
 class _Chunk:
     """The windows of a chunk's documents, in an order that does not depend on how rows arrived."""
 
-    def __init__(self, table: pa.Table, id_col: str, text_col: str, size: int, blocks: int):
+    def __init__(self, table: pa.Table, id_col: str, text_col: str, sketch: _Sketch):
         table = table.combine_chunks().sort_by([(id_col, "ascending"), (text_col, "ascending")])
-        self.table = table
-        ids = table.column(id_col).combine_chunks()
-        self.known = np.asarray(ids.is_valid())
-        self.ids = np.asarray(ids.fill_null(0).cast(pa.int64()))
+        self.table, self.sketch = table, sketch
+        self.ids = np.asarray(table.column(id_col).combine_chunks().cast(pa.int64()))
         self.data, self.offsets = utf8(table.column(text_col))
         self.starts, self.ends, self.before = word_spans(self.data, self.offsets)
         counts = np.diff(self.before)
-        windows = np.where(self.known, np.maximum(counts - size + 1, 0), 0)
+        windows = np.maximum(counts - sketch.size + 1, 0)
         self.doc = np.repeat(np.arange(len(counts)), windows)
         skipped = np.cumsum(windows) - windows
         self.at = np.arange(windows.sum()) - np.repeat(skipped, windows) + np.repeat(self.before[:-1], windows)
-        self.h1, self.h2 = window_hashes(word_hashes(self.data, self.starts, self.ends), self.at, size)
-        key = mix(self.h1)
-        # the upper half picks the block, the lower half the counters in it
-        block = ((key >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        self.key = (block << np.uint64(32)) | (key & np.uint64(0xFFFFFFFF))
+        self.h1 = self.hashes(0)
 
-    def exact(self, of: np.ndarray, blocks: int):
+    def hashes(self, kind: int) -> np.ndarray:
+        return window_hashes(word_hashes(self.data, self.starts, self.ends, kind), _WORD_STEPS[kind], self.at, self.sketch.size)
+
+    def exact(self, of: np.ndarray, h2: np.ndarray):
         """Windows `of` grouped by all 128 bits: the group of each; of each group its bits, smallest id and block."""
-        h1, h2 = self.h1[of], self.h2[of]
+        h1, h2 = self.h1[of], h2[of]
         order = np.argsort(h1, kind="stable")  # rows stand in order of id, so a group's first has its smallest
         new = np.ones(len(of), bool)
         new[1:] = h1[order][1:] != h1[order][:-1]
@@ -67,9 +102,9 @@ class _Chunk:
             new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
         group = np.empty(len(of), np.int64)
         group[order] = np.cumsum(new) - 1
-        firsts = of[order[new]]
-        block = ((mix(self.h2[firsts]) >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-        return group, self.h1[firsts], self.h2[firsts], self.ids[self.doc[firsts]], block.astype(np.int64)
+        firsts = order[new]
+        block = ((mix(h2[firsts]) >> np.uint64(32)) * np.uint64(self.sketch.blocks)) >> np.uint64(32)
+        return group, h1[firsts], h2[firsts], self.ids[self.doc[of[firsts]]], block.astype(np.int64)
 
 
 def _split(block: np.ndarray):
@@ -77,57 +112,74 @@ def _split(block: np.ndarray):
     return np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
 
 
-def _sketches(id_col, text_col, size, blocks):
+def _sketches(id_col, text_col, sketch):
+    """A chunk's partition sketch: for each block the cells that its windows raise, row after row."""
+
     def run(key, table):
         forget()
-        c = _Chunk(table, id_col, text_col, size, blocks)
-        keys = np.unique(c.key)
-        block = (keys >> np.uint64(32)).astype(np.int64)
-        cuts = _split(block)
-        low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
-        n = len(cuts) - 1
-        return pa.table({"block": pa.array(block[cuts[:-1]], pa.int32()), "chunk": pa.array([key[0].as_py()] * n, pa.int32()), "counters": pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+        c = _Chunk(table, id_col, text_col, sketch)
+        parts: dict[int, list] = {}
+        for row, cells in enumerate(sketch.cells(c.h1)):
+            cells = np.unique(cells)
+            blocks, cuts = sketch.split(cells)
+            places = (cells % np.uint64(sketch.width)).astype(np.int64)
+            for block, a, b in zip(blocks.tolist(), cuts[:-1], cuts[1:]):
+                parts.setdefault(block, []).append((_packed(places[a:b]), int(b - a)))
+        return pa.table({
+            "block": pa.array(list(parts), pa.int32()),
+            "chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()),
+            "cells": pa.array([[p for p, _ in rows] for rows in parts.values()], pa.list_(pa.binary())),
+            "n": pa.array([[n for _, n in rows] for rows in parts.values()], pa.list_(pa.int32())),
+        })
 
     return run
 
 
-def _merge(width, depth):
+def _merge(sketch):
+    """Adds the partition sketches of a block up, and tells every chunk which of its counters stand at 2 or more."""
+
     def run(key, table):
-        parts = [np.frombuffer(x, "<u4").astype(np.uint64) for x in table.column("counters").to_pylist()]
-        low = np.concatenate(parts)
-        least = None
-        for row in range(depth):
-            at = (mix(low + np.uint64(row << 33)) & np.uint64(width - 1)).astype(np.int64)
-            count = np.bincount(at, minlength=width)[at]
-            least = count if least is None else np.minimum(least, count)
-        again = least >= 2
-        cuts = np.cumsum([0, *map(len, parts)])
-        n = len(parts)
-        return pa.table({"_chunk": table.column("chunk").cast(pa.int32()), "kind": pa.array([0] * n, pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "bits": pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+        cells, n = table.column("cells").to_pylist(), np.array(table.column("n").to_pylist(), np.int64).reshape(-1, sketch.depth)
+        again = []
+        for row in range(sketch.depth):
+            places = np.concatenate([_unpacked(part[row], k) for part, k in zip(cells, n[:, row])])
+            found = np.zeros(len(places), bool)
+            for low in range(0, sketch.width, SKETCH_SLICE):
+                at = np.flatnonzero((places >= low) & (places < low + SKETCH_SLICE)) if sketch.width > SKETCH_SLICE else slice(None)
+                own = places[at] - low
+                found[at] = np.bincount(own, minlength=1)[own] >= 2
+            again.append(np.split(found, np.cumsum(n[:-1, row])))
+        bits = [np.packbits(np.concatenate(rows)).tobytes() for rows in zip(*again)]
+        return pa.table({"chunk": table.column("chunk").cast(pa.int32()), "kind": pa.array([0] * len(bits), pa.int32()), "block": pa.array([key[0].as_py()] * len(bits), pa.int32()), "bits": pa.array(bits, pa.binary())})
 
     return run
 
 
-def _replies(table: pa.Table, kind: int, sizes: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    """The bits of all entries of a chunk, block after block; blocks with no reply (no row came back) count as 0."""
-    got = {b: x for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "bits"))) if k == kind}
-    out = [np.unpackbits(np.frombuffer(got[b], np.uint8), count=n).astype(bool) if b in got else np.zeros(n, bool) for b, n in zip(blocks.tolist(), sizes.tolist())]
-    return np.concatenate(out) if out else np.zeros(0, bool)
+def _replies(table: pa.Table, kind: int) -> dict[int, bytes]:
+    """What came back to a chunk, by block."""
+    return {b: x for k, b, x in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "bits"))) if k == kind}
 
 
 def _estimated(c: _Chunk, replies: pa.Table) -> np.ndarray:
-    """Which windows of the chunk are estimated to occur in other chunks too."""
-    keys, back = np.unique(c.key, return_inverse=True)
-    block = (keys >> np.uint64(32)).astype(np.int64)
-    cuts = _split(block)
-    return _replies(replies, 0, np.diff(cuts), block[cuts[:-1]])[back] if len(keys) else np.zeros(0, bool)
-
-
-def _requests(id_col, text_col, size, blocks):
+    """Which windows of the chunk are estimated to occur in other chunks too: those all of whose counters say so."""
+    got, out, skip = _replies(replies, 0), np.ones(len(c.at), bool), {}
+    for cells in c.sketch.cells(c.h1):
+        cells, back = np.unique(cells, return_inverse=True)
+        bits = np.zeros(len(cells), bool)
+        blocks, cuts = c.sketch.split(cells)
+        for block, a, b in zip(blocks.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+            first = skip.get(block, 0)
+            skip[block] = first + b - a
+            bits[a:b] = np.unpackbits(np.frombuffer(got[block], np.uint8), count=first + b - a)[first:]
+        out &= bits[back]
+    return out
+
+
+def _requests(id_col, text_col, sketch):
     def run(key, docs, replies):
-        c = _Chunk(docs, id_col, text_col, size, blocks)
+        c = _Chunk(docs, id_col, text_col, sketch)
         of = np.flatnonzero(_estimated(c, replies))
-        _, h1, h2, ids, block = c.exact(of, blocks)
+        _, h1, h2, ids, block = c.exact(of, c.hashes(1))
         order = np.argsort(block, kind="stable")
         cuts = _split(block[order])
         rows = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
@@ -154,31 +206,31 @@ def _group_exactly(key, table):
     later[order] = least[np.cumsum(new) - 1] < ids[order]
     cuts = np.cumsum([0, *map(len, parts)])
     n = len(parts)
-    return pa.table({"_chunk": table.column("chunk").cast(pa.int32()), "kind": pa.array([1] * n, pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "bits": pa.array([np.packbits(later[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
+    return pa.table({"chunk": table.column("chunk").cast(pa.int32()), "kind": pa.array([1] * n, pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "bits": pa.array([np.packbits(later[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
 
-def _remove(id_col, text_col, size, blocks, names):
+def _remove(id_col, text_col, sketch, names):
     def run(key, docs, replies):
-        from itertools import compress
-
-        c = _Chunk(docs, id_col, text_col, size, blocks)
+        c = _Chunk(docs, id_col, text_col, sketch)
         goes = np.zeros(len(c.at), bool)
         if len(c.at):
-            every = np.arange(len(c.at))
+            h2 = c.hashes(1)
             # within the chunk: a smaller id has the window
-            group, _, _, least, _ = c.exact(every, blocks)
+            group, _, _, least, _ = c.exact(np.arange(len(c.at)), h2)
             goes = c.ids[c.doc] > least[group]
             of = np.flatnonzero(_estimated(c, replies))
             if len(of):
-                group, _, _, _, block = c.exact(of, blocks)
+                group, _, _, _, block = c.exact(of, h2)
                 order = np.argsort(block, kind="stable")
-                cuts = _split(block[order])
+                cuts, got = _split(block[order]), _replies(replies, 1)
                 bits = np.empty(len(block), bool)
-                bits[order] = _replies(replies, 1, np.diff(cuts), block[order][cuts[:-1]])
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    bits[order[a:b]] = np.unpackbits(np.frombuffer(got[int(block[order[a]])], np.uint8), count=b - a).astype(bool)
                 goes[of] |= bits[group]
+            del h2, group
         step = np.zeros(len(c.starts) + 1, np.int64)
         np.add.at(step, c.at[goes], 1)
-        np.add.at(step, c.at[goes] + size, -1)
+        np.add.at(step, c.at[goes] + sketch.size, -1)
         kept = np.cumsum(step[:-1]) == 0
         raw = c.data.tobytes()
         texts, counts = [], np.diff(c.before)
@@ -192,24 +244,32 @@ def _remove(id_col, text_col, size, blocks, names):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, chunk_bytes: int = CHUNK_BYTES, width: int = SKETCH_WIDTH, depth: int = SKETCH_DEPTH) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 13, chunk_bytes: int = CHUNK_BYTES, width: int | None = None, depth: int = SKETCH_DEPTH) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the words left, joined by one space) for every row.
 
-    A word goes if one of the windows of `size` words over it also starts in a row with a smaller id.
-    Null texts have no words; rows with a null id neither lose words nor take any; rows with equal ids
-    don't take words from one another (a repeat inside one document stays). Columns of docs named like a
-    result are replaced. An empty table gives an empty table. Ids are integers.
+    A word goes if one of the windows of `size` words over it also starts in a row with a smaller id. Words are
+    compared as bytes; texts may be of any length (a chunk holds one text at least). Null texts have no words; rows
+    with a null id neither lose words nor take any; rows with equal ids don't take words from one another (a repeat
+    inside one document stays), so repeated rows come back alike. Columns of docs named like a result are replaced,
+    all others stay. An empty table gives an empty table. Ids are whole numbers.
+
+    width: counters of a row of a sketch block, a power of 2; by default about six for each window of a chunk.
     """
     spark = docs.sparkSession
-    names = {"n_words", "n_removed", "kept_text", "_chunk"}
-    docs = docs.select(*(c for c in docs.columns if c == id_col or c == text_col or c.lower() not in names))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    chunk_bytes = max(chunk_bytes, int((MESSAGE_BYTES * total) ** 0.5))
     chunks = max(1, -(-total // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int"))
-    by_chunk = dealt.groupBy("_chunk")
-    sketches = by_chunk.applyInArrow(_sketches(id_col, text_col, size, chunks), "block int, chunk int, counters binary")
-    estimates = sketches.groupBy("block").applyInArrow(_merge(width, depth), _REPLY)
-    requests = by_chunk.cogroup(estimates.groupBy("_chunk")).applyInArrow(_requests(id_col, text_col, size, chunks), "block int, chunk int, h1 binary, h2 binary, ids binary")
+    sketch = _Sketch(size, chunks, width or 1 << max(16, (-(-total // chunks)).bit_length()), depth)
+    names = {"n_words", "n_removed", "kept_text"}
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c in (id_col, text_col) or c.lower() not in names))
+    chunk = unused(docs, "chunk")
+    dealt = docs.where(F.col(id_col).isNotNull()).withColumn(chunk, F.pmod(F.xxhash64(id_col, text_col), F.lit(chunks)).cast("int"))
+    by_chunk = dealt.groupBy(chunk)
+    sketches = by_chunk.applyInArrow(_sketches(id_col, text_col, sketch), "block int, chunk int, cells array<binary>, n array<int>")
+    estimates = sketches.groupBy("block").applyInArrow(_merge(sketch), _REPLY)
+    requests = by_chunk.cogroup(estimates.groupBy("chunk")).applyInArrow(_requests(id_col, text_col, sketch), "block int, chunk int, h1 binary, h2 binary, ids binary")
     verdicts = requests.groupBy("block").applyInArrow(_group_exactly, _REPLY)
     schema = with_fields(docs, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType()))
-    return by_chunk.cogroup(estimates.unionAll(verdicts).groupBy("_chunk")).applyInArrow(_remove(id_col, text_col, size, chunks, schema.names), schema)
+    known = by_chunk.cogroup(estimates.unionAll(verdicts).groupBy("chunk")).applyInArrow(_remove(id_col, text_col, sketch, schema.names), schema)
+    lone = with_results(docs.where(F.col(id_col).isNull()), n_words=n_words(F.col(text_col)), n_removed=F.lit(0).cast("long"), kept_text=F.coalesce(F.btrim(F.regexp_replace(text_col, GAP, " "), F.lit(" ")), F.lit("")))
+    return known.unionAll(lone)
