@@ -3,7 +3,8 @@
 Vectors are packed in blocks whose columns are the posting lists of the dimensions. A query block meets every
 vector block once: each dimension in which queries are not zero scatters its weighted postings into dense score
 arrays; partition selection keeps k of a block, and the k best of all blocks are merged. Query blocks are sent
-to all tasks while they are small, beyond that they are joined by their number; vectors are never all in one place.
+to all tasks while they are small. Beyond that vector blocks are dealt to groups of bounded size, once, and query blocks
+(a few hundredths of the rows) to each group; vectors are never all in one place, and are shuffled once at most.
 """
 
 from __future__ import annotations
@@ -13,10 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block, vectors in a block, and bytes of query blocks up to which they are broadcast.
+#: Queries in a block, vectors in a block, bytes of query blocks up to which they are broadcast, and bytes of the
+#: vector blocks of a group beyond that.
 QUERY_BLOCK = 256
 VECTOR_BLOCK = 4096
 BROADCAST_BYTES = 32 << 20
+GROUP_BYTES = 256 << 20
+
+_MOST = np.iinfo(np.int64).max
 
 _BLOCK = "ids binary, dims int, weights binary"
 
@@ -49,8 +54,18 @@ def _pack_queries(key, table):
     return pa.table({"q": pa.array([key[0].as_py()], pa.int32()), "q_ids": pa.array([p["ids"]], pa.binary()), "q_dims": pa.array([p["dims"]], pa.int32()), "q_weights": pa.array([p["weights"]], pa.binary())})
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(-int(x.min(initial=0)), int(x.max(initial=0)))
+
+
 def block_scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Scores of every query (columns of q, one row a dimension) and vector (columns of v), dimension by dimension."""
+    """Scores of every query (columns of q, one row a dimension) and vector (columns of v), dimension by dimension.
+    Where 64 bits could be too few, by the largest weights, whole numbers of any size are added up, and scores beyond
+    are held at the ends of 64 bits."""
+    dims = min(len(q), len(v))
+    if dims and _largest(q) * _largest(v) * dims > _MOST:
+        wide = sum(np.multiply.outer(q[d].astype(object), v[d].astype(object)) for d in range(dims))
+        return np.clip(wide, -_MOST, _MOST).astype(np.int64)
     scores = np.zeros((q.shape[1], v.shape[1]), np.int64)
     for d in range(min(len(q), len(v))):
         some = np.flatnonzero(q[d])
@@ -94,21 +109,24 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     """(query_id, rank from 1, id_col, score): each query's k highest integer inner products, ties to the smaller id.
 
     A component x counts as floor(scale * x). Vectors that are null or hold a null or non-finite component take no
-    part, nor do rows whose id is null. Dimensions that one of two vectors lacks count as 0; an empty vector scores
+    part, nor do rows whose id is null. Weights and scores beyond 64 bits are held at their ends. Dimensions that one of two vectors lacks count as 0; an empty vector scores
     0. Rows with a query's id are its own and no candidates; of repeated query ids the least vector asks. Other
     repeated rows are candidates each. Fewer than k candidates give fewer rows; no query, or an empty table, none.
     """
     spark = vectors.sparkSession
     x = F.col(vector_col)
-    rows = vectors.where(usable(x) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), is_query.alias("_asks"), F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("weights"))
+    rows = vectors.where(usable(x) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), is_query.alias("_asks"), F.transform(x, lambda c: F.floor(F.greatest(F.least(c.cast("double") * scale, F.lit(9.2e18)), F.lit(-9.2e18)))).alias("weights"))
     asks = rows.where("_asks").groupBy("id").agg(F.min("weights").alias("weights"))
-    n, dims = rows.where("_asks").agg(F.count_distinct("id"), F.max(F.size("weights"))).first()
+    n, total, dims = rows.agg(F.count_distinct(F.when(F.col("_asks"), F.col("id"))), F.count("*"), F.max(F.size("weights"))).first()
     blocks = max(1, -(-n // QUERY_BLOCK))
     queries = asks.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).groupBy("q").applyInArrow(_pack_queries, "q int, q_ids binary, q_dims int, q_weights binary")
-    if n * (dims or 0) * 8 <= BROADCAST_BYTES:
-        queries = F.broadcast(queries)
     packed = rows.select("id", "weights").mapInArrow(_pack(VECTOR_BLOCK), _BLOCK)
-    met = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(queries, "q")
+    if n * (dims or 0) * 8 <= BROADCAST_BYTES:
+        met = packed.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(F.broadcast(queries), "q")
+    else:
+        groups = max(1, -(-total * dims * 8 // GROUP_BYTES))
+        dealt = packed.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+        met = dealt.join(queries.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "g").drop("g")
     best = met.drop("q").mapInArrow(_best(k), "query_id long, id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
