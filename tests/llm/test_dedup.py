@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.llm import simhash
 from tokenledger.llm.simhash import drop_near_duplicates, near_duplicate_components, star_links
-from tokenledger.llm.substring_dedup import remove_repeated_windows
+from tokenledger.llm.substring_dedup import _packed, _unpacked, remove_repeated_windows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,6 +56,31 @@ def test_windows_of_nothing(spark):
     assert [(r["n_words"], r["n_removed"], r["kept_text"]) for r in one] == [(0, 0, "")]
 
 
+def test_words_that_only_a_weak_hash_confuses(spark):
+    """The Thue-Morse word of 1,024 letters and its complement have one polynomial hash modulo 2 ** 64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = "".join("ba"[bin(i).count("1") % 2] for i in range(1024))
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = remove_repeated_windows(spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{other} {tail}")], "doc_id long, text string")).collect()
+    assert [r["n_removed"] for r in rows] == [0, 0]
+
+
+def test_helper_names_and_long_texts(spark):
+    """Columns named like helpers stay; a text of a million words is one document like any other."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    long = " ".join(f"v{i}" for i in range(300_000)) + " " + passage
+    docs = spark.createDataFrame([(1, passage, 7, 8, 9), (2, long, 10, 11, 12), (None, " a  b\n", 13, 14, 15)], "doc_id long, text string, chunk int, block int, _chunk int")
+    got = {r["doc_id"]: r for r in remove_repeated_windows(docs, chunk_bytes=1 << 16).collect()}
+    assert [(got[k]["n_removed"], got[k]["chunk"], got[k]["block"], got[k]["_chunk"]) for k in (1, 2)] == [(0, 7, 8, 9), (20, 10, 11, 12)]
+    assert got[2]["n_words"] == 300_020 and (got[None]["kept_text"], got[None]["n_words"]) == ("a b", 2)
+
+
+def test_counters_are_packed_whole():
+    for places in ([], [0], [5, 6, 70_000], [0, 65_535, 131_070], [65_536], list(range(0, 10**7, 99_991))):
+        a = np.array(places, np.int64)
+        assert _unpacked(_packed(a), len(a)).tolist() == places
+
+
 def brute_print(text, shingle=4):
     w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode(), 42) for i in range(max(1, len(w) - shingle + 1))] if w else []
@@ -102,8 +127,10 @@ def test_components(spark):
 
 def test_one_of_each_component_stays(spark):
     rows = near_copies(3)
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("simhash", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("simhash", "print", "keep", "rank", "_rank", "_keep", "component_id", "id")})
     kept = drop_near_duplicates(df)
+    assert all(set(r[2:]) == {"clash"} for r in kept.collect())
+    assert near_duplicate_components(df.limit(0)).count() == 0
     assert kept.columns == df.columns
     want = {c for _, _, c in brute_components(rows)}
     assert sorted(map(str, (r[0] for r in kept.collect()))) == sorted(map(str, want))

@@ -14,11 +14,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, forget, slices, utf8, with_fields, word_spans
+from .common import cut, forget, slices, unused, utf8, with_fields, word_spans
 from .components import smallest_reachable
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -26,6 +26,8 @@ _LOWER[65:91] += 32
 
 #: Distinct fingerprints under one key that are compared with one another directly.
 DIRECT = 1024
+#: Keys of fingerprints that one task sorts, on average.
+TASK_KEYS = 2_000_000
 
 
 def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
@@ -208,7 +210,8 @@ def link_fingerprints(distinct: DataFrame, count: int, bits: int = 4) -> DataFra
     masks = _masks(_blocks_for(count, bits), bits)
     keyed = distinct.select("simhash", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("simhash").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")).alias("part")) for i, m in enumerate(masks)))).alias("k"))
     keyed = keyed.select(F.xxhash64("k.i", "k.part").alias("key"), "simhash")
-    dealt = keyed.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    parts = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(masks) // TASK_KEYS))
+    dealt = keyed.repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(_links(bits), "a long, b long")
 
 
@@ -217,7 +220,8 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows with equal fingerprints are linked, texts without words (fingerprint 0) included. Rows with a null id
     link others but give no component_id, which is null where a component has no id at all. Repeated rows
-    come back as often as they came. An empty table gives an empty table.
+    come back as often as they came. Texts may be of any length. Other columns of docs don't come back. An empty
+    table gives an empty table.
     """
     prints = cut(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", shingle, seed).select("id", "simhash"))
     nodes = cut(prints.groupBy("simhash").agg(F.min("id").alias("label")))
@@ -231,26 +235,22 @@ def near_duplicate_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of docs for each component: that with the smallest id (of rows that share it, that with the least text).
 
-    Rows with a null id stay only where their whole component has no id. Columns are those of docs.
+    Rows with a null id stay only where their whole component has no id. Columns are those of docs, whatever their
+    names. An empty table gives an empty table.
     """
     found = near_duplicate_components(docs, id_col, text_col, **options)
-    orphans = found.where("component_id is null").select(F.col("simhash").alias("_print")).distinct()
-    lone = fingerprints(docs.where(F.col(id_col).isNull()), text_col, options.get("shingle", 4), options.get("seed", 42), "_print")
-    lone = lone.join(orphans, "_print").drop("_print").select(docs.columns)
+    own = unused(docs, "print")
+    orphans = found.where("component_id is null").select(F.col("simhash").alias(own)).distinct()
+    lone = fingerprints(docs.where(F.col(id_col).isNull()), text_col, options.get("shingle", 4), options.get("seed", 42), own)
+    lone = lone.join(orphans, own).drop(own).select(*(f"`{c}`" for c in docs.columns))
     return rows_of_components(docs, found, lone, id_col, text_col)
 
 
 def rows_of_components(docs: DataFrame, found: DataFrame, lone: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The row of docs with the smallest id of each component of found, and the rows of lone."""
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
+    keep, rank = unused(docs, "keep", "rank")
+    ids = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(keep)).distinct()
     # a short list of ids beside the texts: the texts alone are shuffled once, by id
-    kept = docs.join(keep, docs[id_col] == keep["_keep"]).drop("_keep")
-    rank = F.row_number().over(_one(id_col, text_col))
-    kept = kept.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
-    return kept.unionAll(lone)
-
-
-def _one(id_col: str, text_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
+    kept = docs.join(ids, docs[id_col] == ids[keep]).drop(keep)
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
+    return kept.withColumn(rank, first).where(F.col(rank) == 1).drop(rank).unionAll(lone)
