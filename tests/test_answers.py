@@ -1,5 +1,8 @@
 """Golden cases of extraction, normalization and equivalence."""
 
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tokenledger.functions import answers as A
 from tokenledger.functions import text as X
+from tokenledger.functions.symbolic import symbolic_equal, symbolically_equal
 
 
 def over(spark, make, *rows):
@@ -42,6 +46,110 @@ def test_extraction(spark):
         assert over(spark, lambda s: X.extract_answer(s, "analysis", native), *texts) == [t[3] for t in EXTRACTION]
 
 
+def brute_box(text):
+    """The last box whose braces balance, found character by character from each box on."""
+    for m in reversed(list(re.finditer(r"\\{1,2}boxed\{", text or ""))):
+        depth = 1
+        for i in range(m.end(), len(text)):
+            depth += {"{": 1, "}": -1}.get(text[i], 0)
+            if not depth:
+                inner = text[m.end() : i].strip()
+                wrapped = re.match(r"\\text(?:bf|it|rm|sf)?\{(.+)\}$", inner)
+                return wrapped[1].strip() if wrapped else inner
+    return None
+
+
+def brute_fraction(line):
+    """A line's first \\frac written out, argument by argument."""
+    before, found, rest = line.partition("\\frac")
+    args, i = [], 0
+    for _ in range(2):
+        i += len(rest[i:]) - len(rest[i:].lstrip(" "))
+        if i < len(rest) and rest[i] == "{":
+            j, depth = i, 0
+            while j < len(rest):
+                depth += {"{": 1, "}": -1}.get(rest[j], 0)
+                j += 1
+                if not depth:
+                    break
+            args.append(rest[i:j])
+            i = j
+        elif i < len(rest):
+            args.append("{" + rest[i] + "}")
+            i += 1
+    return before + found + "".join(args) if found and len(args) == 2 else line
+
+
+LONG = [
+    "\\boxed{" + "x" * 200_000 + "}",
+    "\\boxed{" + "x" * 200_000,
+    "\\boxed{" * 4000 + "1",
+    "\\boxed{" * 4000 + "1}",
+    "\\boxed{" + "{" * 50 + "x" + "}" * 50 + "}",
+    "\\boxed{" + "{" * 3000 + "x" + "}" * 3000 + "} tail",
+    "\\boxed{" + "{a}" * 30_000 + "}",
+    "\\boxed{1}" * 3000 + "\\boxed{2",
+    "}" * 50_000 + "\\boxed{7}",
+    r"\boxed{\boxed{3}} \\boxed{4",
+    r"\\\boxed{5} boxed{6}",
+    "\\boxed{{{{{{{x}}}}}}}",
+    "",
+    None,
+]
+
+
+def test_boxes_of_any_length_and_depth(spark):
+    want = [brute_box(t) if len(t or "") < 50_000 or "x" * 9 in t or "a" in t else X.balanced_box(t) for t in LONG]
+    assert [X.balanced_box(t) for t in LONG] == want
+    for native in (X.boxed_balanced, X.boxed_balanced_native):
+        assert over(spark, native, *((t,) for t in LONG)) == want
+
+
+def test_many_unclosed_boxes_take_one_pass():
+    began = time.perf_counter()
+    assert X.balanced_box("\\boxed{" * 100_000) is None
+    assert time.perf_counter() - began < 1
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="\\{}ab \n", max_size=16), st.lists(st.sampled_from(["\\boxed{", "\\\\boxed{", "{", "}", "}", "a", "\\text{", " ", "\n", "é"]), max_size=24).map("".join)), min_size=1, max_size=60))
+def test_both_forms_of_the_box_agree(spark, texts):
+    want = [brute_box(t) for t in texts]
+    assert [X.balanced_box(t) for t in texts] == want
+    assert over(spark, X.boxed_balanced_native, *((t,) for t in texts)) == want
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["\\frac", "{", "}", "{", "}", "1", "x", " ", "\n", "é"]), max_size=20).map("".join), min_size=1, max_size=60))
+def test_fractions_by_brute_force(spark, texts):
+    want = ["\n".join(map(brute_fraction, t.split("\n"))) for t in texts]
+    assert over(spark, lambda s: A._full_forms(s, False), *((t,) for t in texts)) == want
+
+
+def test_fractions_of_any_length_and_depth(spark):
+    deep = "{" * 50 + "x" + "}" * 50
+    long = "y" * 200_000
+    texts = [f"\\frac{{{long}}}{{2}}", f"\\frac{deep}{deep}", f"\\frac{deep}3 tail", f"\\frac{{{long}", f"\\frac1{{{long}", "\\frac{" * 3000 + "1", "9" * 20_000]
+    assert over(spark, lambda s: A._full_forms(s, False), *((t,) for t in texts)) == [brute_fraction(t) for t in texts]
+    strict = over(spark, lambda s: A._full_forms(s, True), (f"\\frac{deep}3 tail",), ("\\frac12 tail",))
+    assert strict == [f"\\frac{deep}{{3}} tail", "\\frac{1}{2} tail"]
+    rows = [("\\boxed{\\frac{" + "z" * 4000 + "}{2}}", "\\boxed{\\frac{" + "z" * 4000 + "}{2}}"), ("\\boxed{" + "9" * 20_000 + "}", "\\boxed{1}")]
+    for native in (False, True):
+        assert [r["is_correct"] for r in over(spark, lambda a, b: A.evaluate(a, b, native=native), *rows)] == [True, False]
+
+
+SYMBOLIC = [
+    (r"\frac{11+9a}{20}", r"\frac{9a+11}{20}", True), ("(x+1)^2", "x^2+2x+1", True), (r"\sqrt{8}", r"2\sqrt{2}", True), (r"\frac{1}{\sqrt{2}}", r"\frac{\sqrt{2}}{2}", True),
+    (r"\frac{x^2-1}{x-1}", "x+1", True), (r"3\pi", r"\pi\cdot 3", True), ("2^{-1}", r"\frac12", True), ("x", "y", False), ("1/0", "2", False), (r"\sin x", "x", False), ("((((", ")", False), ("", "", False), ("x^{100}", "x", False),
+]
+
+
+def test_symbolic_equality(spark):
+    assert [symbolically_equal(a, b) for a, b, _ in SYMBOLIC] == [w for _, _, w in SYMBOLIC]
+    got = over(spark, lambda a, b: A.equivalent(a, b, symbolic=symbolic_equal), (r"\frac{11+9a}{20}", r"\frac{9a+11}{20}"), ("a+b", "b-a"), (None, "x"))
+    assert got == [True, False, False]
+
+
 NORMAL = [
     (r"\left(2,3\right)", "(2,3)"),
     (r"864 \mbox{ inches}^2", "864"),

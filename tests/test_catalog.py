@@ -63,7 +63,7 @@ def test_whole_texts(spark, duck):
     got = {r["id"]: r["value"] for r in catalog.QUERIES["q_provider_stub"](spark, FOLDER).collect()}
     assert max(map(len, texts.values())) > 200
     assert got == {i: providers.stub_generate([t])[0].rsplit("{", 1)[1].rstrip("}") for i, t in texts.items()}
-    rows = catalog.QUERIES["q_think_text_whole"](spark, FOLDER).collect()
+    rows = catalog.QUERIES["q_think_text"](spark, FOLDER).collect()
     assert len(rows) == duck.sql("select count(*) from conversations where text is not null").fetchall()[0][0]
     assert max(len(r["think"]) for r in rows) > 40
 
@@ -77,6 +77,6 @@ def test_whole_trajectories(spark, duck):
 def test_whole_budget_grid(spark, duck):
     from tokenledger.functions import vectors
 
-    n = catalog.QUERIES["q_budget_cross_prompt_whole"](spark, FOLDER).count()
+    n = catalog.QUERIES["q_budget_cross_prompt"](spark, FOLDER).count()
     documents = duck.sql("select count(*) from documents").fetchall()[0][0]
     assert n == documents * len(vectors.BUDGETS) and documents > 100

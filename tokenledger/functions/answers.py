@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SPACE, _nested, extract_answer, let, strip
+from .text import LEVELS, SPACE, extract_answer, let, nested, strip
 
-#: Braces in an argument of \frac are followed this deep.
-_ARGUMENT = _nested(3).replace(r"[^{}]", r"[^{}\n]")
-_FRACTION = rf"(?d)\\frac *(?:\{{({_ARGUMENT})\}}|([^{{ \n])) *(?:\{{({_ARGUMENT})\}}|([^{{ \n]))"
+#: The two arguments of a \frac, each in braces or one character, where braces balance within LEVELS.
+_ARGUMENT = rf"(?:\{{({nested(LEVELS)})\}}|([^{{ ]))"
+_ARGUMENTS = rf"(?s)\A *+{_ARGUMENT} *+{_ARGUMENT}"
 _UNIT = r"\\(?:text|mbox|textbf|mathrm)\{"
 
 
@@ -59,7 +59,47 @@ def _latex(x: Column, profile: str, strict: bool) -> Column:
 def _full_forms(x: Column, strict: bool) -> Column:
     x = F.replace(x, F.lit("\\dfrac"), F.lit("\\frac"))
     x = F.regexp_replace(x, r"\\sqrt([^{\s\x1c-\x1f\x85\p{Z}\\])", r"\\sqrt{$1}")
-    return F.regexp_replace(x, _FRACTION + ("" if strict else ".*"), r"\\frac{$1$2}{$3$4}")
+    return F.when(x.contains("\\frac"), F.array_join(F.transform(F.split(x, "\n"), lambda line: _fraction(line, strict)), "\n")).otherwise(x)
+
+
+def _fraction(line: Column, strict: bool) -> Column:
+    """A line whose first \\frac has both arguments in braces; what follows them is dropped unless strict. A line where
+    it lacks an argument stays."""
+
+    def expanded(rest: Column) -> Column:
+        part = lambda k: F.regexp_extract(rest, _ARGUMENTS, k)
+        tail = F.regexp_replace(rest, _ARGUMENTS, "") if strict else F.lit("")
+        short = F.concat(F.lit("\\frac{"), part(1), part(2), F.lit("}{"), part(3), part(4), F.lit("}"), tail)
+        return F.when(rest.rlike(_ARGUMENTS), short).otherwise(_counted_fraction(rest, strict))
+
+    before = F.substring_index(line, "\\frac", 1)
+    return F.when(line.contains("\\frac"), F.concat(before, let(F.substr(line, F.char_length(before) + 6), expanded))).otherwise(line)
+
+
+def _counted_fraction(rest: Column, strict: bool) -> Column:
+    """What a \\frac and the rest of its line become, braces of any depth counted. A last argument whose brace stays
+    open reaches to the end."""
+    zero = F.struct(*(F.lit(0).alias(n) for n in ("seen", "done", "depth", "from1", "to1", "from2", "to2")))
+
+    def step(a: Column, c: Column) -> Column:
+        seen, idle = a["seen"] + 1, (a["done"] == 2) | ((a["depth"] == 0) & (c == " "))
+        depth = F.when(idle, a["depth"]).when(c == "{", a["depth"] + 1).when((c == "}") & (a["depth"] > 0), a["depth"] - 1).otherwise(a["depth"])
+        ends = ~idle & (depth == 0)
+        begins = ~idle & (a["depth"] == 0)
+        place = lambda n, k, now: F.when(now & (a["done"] == k), seen).otherwise(a[n]).alias(n)
+        return F.struct(seen.alias("seen"), (a["done"] + ends.cast("int")).alias("done"), depth.alias("depth"), place("from1", 0, begins), place("to1", 0, ends), place("from2", 1, begins), place("to2", 1, ends))
+
+    # inner functions use nothing from around them: a Python function's argument may not
+    def written(z: Column) -> Column:
+        rest, a = z["rest"], z["at"]
+        argument = lambda x, y: let(F.substr(rest, x, y - x + 1), lambda t: F.when(t.startswith("{"), t).otherwise(F.concat(F.lit("{"), t, F.lit("}"))))
+        to2 = F.when(a["done"] == 2, a["to2"]).otherwise(a["seen"])
+        tail = F.substr(rest, to2 + 1) if strict else F.lit("")
+        both = (a["done"] == 2) | ((a["done"] == 1) & (a["depth"] > 0))
+        return F.when(both, F.concat(F.lit("\\frac"), argument(a["from1"], a["to1"]), argument(a["from2"], to2), tail)).otherwise(F.concat(F.lit("\\frac"), rest))
+
+    at = F.aggregate(F.regexp_extract_all(rest, F.lit("(?s)."), F.lit(0)), zero, step)
+    return let(F.struct(rest.alias("rest"), at.alias("at")), written)
 
 
 def answer_set(s: Column) -> Column:
@@ -77,7 +117,7 @@ def plain_number(s: Column) -> Column:
 
 
 def _float(bare: Column) -> Column:
-    digits = r"\d(?:_?\d)*"
+    digits = r"\d(?:_?\d)*+"
     number = bare.rlike(rf"\A[+-]?(?:{digits}\.?(?:{digits})?|\.{digits})(?:[eE][+-]?{digits})?\z")
     word = F.lower(F.regexp_replace(bare, r"\A[+-]", ""))
     endless = F.when(bare.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))

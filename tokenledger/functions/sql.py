@@ -1,19 +1,50 @@
-"""The same functions for SQL text."""
+"""Text and vector functions for SQL text.
+
+Functions of plain built-in expressions become temporary SQL functions, which the planner writes out as if they stood in
+the query; the exact box and the symbolic comparison are Arrow functions. Functions with inner functions (normalized
+answers among them) have no SQL text; they are for DataFrames.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .text import balanced_box
-
+from . import text as X
+from . import vectors as V
+from .symbolic import symbolic_equal
 
-def register(spark: SparkSession) -> None:
-    """balanced_box(text) as a function of SQL."""
+#: Name -> (parameters, the function of their columns).
+NATIVE = {
+    "boxed_first": ("s STRING", X.boxed_first),
+    "marked_answer": ("s STRING", X.marked_answer),
+    "last_dollars": ("s STRING", X.last_dollars),
+    "lone_number": ("s STRING", X.lone_number),
+    "think_text": ("s STRING", X.think_text),
+    "think_span": ("s STRING", X.think_span),
+    "stated_budget": ("s STRING", X.stated_budget),
+    "prompt_budget": ("s STRING", X.prompt_budget),
+    "id_part": ("s STRING", X.id_part),
+    "level_text": ("s STRING", X.level_text),
+    "level_number": ("s STRING", X.level_number),
+    "parse_flag": ("s STRING", X.parse_flag),
+    "has_second_thought": ("s STRING", X.has_second_thought),
+    "long_answer": ("s STRING", X.long_answer),
+    "pair_key": ("a STRING, b STRING", X.pair_key),
+    "run_name": ("path STRING, mode STRING", X.run_name),
+    "sigmoid": ("x DOUBLE", V.sigmoid),
+    "sigmoid_loss": ("logit DOUBLE, y DOUBLE", V.sigmoid_loss),
+    "first_correct_class": ("y ARRAY<INT>", V.first_correct_class),
+    "stops": ("actual BIGINT, target BIGINT, tolerance BIGINT, ended BOOLEAN", V.stops),
+}
 
-    @F.pandas_udf("string")
-    def box(s: pd.Series) -> pd.Series:
-        return s.map(balanced_box)
 
-    spark.udf.register("balanced_box", box)
+def register(spark: SparkSession) -> None:
+    """All of NATIVE, balanced_box and symbolic_equal as functions of SQL."""
+    spark.udf.register("balanced_box", X._balanced)
+    spark.udf.register("symbolic_equal", symbolic_equal)
+    for name, (parameters, make) in NATIVE.items():
+        names, kinds = zip(*(p.split(" ", 1) for p in parameters.split(", ")))
+        row = spark.range(1).select(*(F.lit(None).cast(k).alias(n) for n, k in zip(names, kinds)))
+        body = row.select(make(*map(F.col, names)).alias("x"))._jdf.queryExecution().analyzed().expressions().head().child().sql()
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURN {body}")

@@ -37,24 +37,25 @@ def boxed_first(s: Column) -> Column:
     return _match(s, r"\\boxed\{([^}]*)\}", 1)
 
 
-_OPEN = re.compile(r"\\{1,2}boxed\{")
-_BRACE = re.compile(r"[{}]")
+_BRACE = re.compile(r"\\{1,2}boxed\{|[{}]")
 _WRAPPED = re.compile(r"\\text(?:bf|it|rm|sf)?\{(.+)\}$")
 
 
 def balanced_box(text: str | None) -> str | None:
-    """The content of the last \\boxed{...} whose braces balance, a \\text{...} around all of it taken off."""
+    """The content of the last \\boxed{...} whose braces balance, a \\text{...} around all of it taken off. One pass."""
     if not text or "boxed{" not in text:
         return None
-    for start in reversed([m.end() for m in _OPEN.finditer(text)]):
-        depth = 1
-        for brace in _BRACE.finditer(text, start):
-            depth += 1 if brace[0] == "{" else -1
-            if not depth:
-                inner = text[start : brace.start()].strip()
-                wrapped = _WRAPPED.match(inner)
-                return wrapped[1].strip() if wrapped else inner
-    return None
+    open_at, best, end = [], -1, -1
+    for brace in _BRACE.finditer(text):
+        if brace[0] != "}":
+            open_at.append(brace.end() if len(brace[0]) > 1 else -1)
+        elif open_at and (start := open_at.pop()) > best:
+            best, end = start, brace.start()
+    if best < 0:
+        return None
+    inner = text[best:end].strip()
+    wrapped = _WRAPPED.match(inner)
+    return wrapped[1].strip() if wrapped else inner
 
 
 @F.pandas_udf(T.StringType())
@@ -67,24 +68,59 @@ def boxed_balanced(s: Column) -> Column:
     return _balanced(F.when(s.contains("boxed{"), s))
 
 
-#: A text with at most this many levels of braces in its box needs no Python.
-_LEVELS = 4
-
-
-def _nested(levels: int) -> str:
-    inner = r"[^{}]*"
+def nested(levels: int, plain: str = "[^{}]") -> str:
+    """A pattern of a text whose braces balance within some levels. All repeats are possessive, which Java's engine
+    follows by loops and not by calls, so that no length of text exhausts the stack."""
+    inner = f"{plain}*+"
     for _ in range(levels):
-        inner = rf"(?:[^{{}}]|\{{{inner}\}})*"
+        inner = rf"{plain}*+(?:\{{{inner}\}}{plain}*+)*+"
     return inner
 
 
+#: Levels of braces that one regular expression follows. Deeper ones are counted token by token.
+LEVELS = 4
+
+
 def boxed_balanced_native(s: Column) -> Column:
-    """As boxed_balanced(), by one regular expression, for boxes in no box and of up to four levels of braces."""
+    """As boxed_balanced(), by built-in functions: what follows the last box is matched at once if its braces balance
+    within LEVELS; else all braces of the text are counted, of whatever depth."""
     wrapped = r"(?d)\A\\text(?:bf|it|rm|sf)?\{(.+)\}\z"
-    content = _match(s, rf"\\{{1,2}}boxed\{{({_nested(_LEVELS)})\}}", -1)
+    closed = rf"\A({nested(LEVELS)})\}}"
+    last = F.substring_index(s, "\\boxed{", -1)
+    box = F.when(last.rlike(closed), F.regexp_extract(last, closed, 1)).otherwise(_counted_box(s))
+    content = let(F.when(s.contains("\\boxed{"), box), strip)
     return let(content, lambda c: F.when(c.rlike(wrapped), strip(F.regexp_extract(c, wrapped, 1))).otherwise(c))
 
 
+def _counted_box(s: Column) -> Column:
+    """The content of the last box whose braces balance: from the right, an opening brace is closed if a closing one to
+    its right is still free; from the left, the box ends where its depth is 0 again. Both are one pass."""
+
+    def backward(a: Column, t: Column) -> Column:
+        free = F.when(t == "}", a["free"] + 1).when(t.endswith("{") & (a["free"] > 0), a["free"] - 1).otherwise(a["free"])
+        at = F.when((a["at"] == 0) & (a["free"] > 0) & t.endswith("boxed{"), a["seen"] + 1).otherwise(a["at"])
+        return F.struct(free.alias("free"), (a["seen"] + 1).alias("seen"), at.alias("at"))
+
+    def forward(a: Column, t: Column) -> Column:
+        depth = F.when(t == "}", a["depth"] - 1).when(t.endswith("{"), a["depth"] + 1).otherwise(a["depth"])
+        end = F.when((a["end"] == 0) & (t == "}") & (a["depth"] == 1), a["seen"] + 1).otherwise(a["end"])
+        return F.struct(depth.alias("depth"), (a["seen"] + 1).alias("seen"), end.alias("end"))
+
+    def after(tokens: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("free"), F.lit(0).alias("seen"), F.lit(0).alias("at"))
+        at = F.aggregate(F.reverse(tokens), zero, backward, lambda a: a["at"])
+        both = F.struct(tokens.alias("t"), at.alias("n"))
+        return let(both, lambda z: F.when(z["n"] > 0, F.slice(z["t"], F.size(z["t"]) - z["n"] + 2, z["n"] - 1)))
+
+    def inner(tokens: Column) -> Column:
+        zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
+        end = F.aggregate(tokens, zero, forward, lambda a: a["end"])
+        return F.array_join(F.slice(tokens, F.lit(1), end - 1), "")
+
+    tokens = F.regexp_extract_all(s, F.lit(r"\\{1,2}boxed\{|[{}]|[^{}\\]++|\\"), F.lit(0))
+    return let(let(tokens, after), lambda t: F.when(t.isNotNull(), inner(t)))
+
+
 #: What the two profiles allow before and after a marked answer or a lone number: in run-time scoring exactly one blank.
 PROFILES = {"pipeline": ("[ \\t]", "[ \\t]"), "analysis": ("[ \\t]*", "[ \\t]*")}
 

@@ -155,3 +155,10 @@ def class_metrics(df: DataFrame, predicted: str, actual: str, n: int) -> DataFra
     grouped = df.groupBy(F.col(actual).alias("class")).agg(F.count(F.lit(1)).alias("n"), share(F.col(predicted) == F.col(actual)).alias("accuracy"))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("class"))
     return every.join(grouped, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("accuracy", F.lit(1.0)).alias("accuracy"))
+
+
+def batch_means(df: DataFrame, size: int, *columns: str, position: str = "row_idx") -> DataFrame:
+    """Means over batches of `size` positions, and the unweighted mean of these: one row. The last, shorter batch
+    weighs as much as any other."""
+    batches = df.groupBy(F.floor(F.col(position) / size).alias("batch")).agg(*(F.avg(c).alias(c) for c in columns))
+    return batches.agg(*(F.avg(c).alias(c) for c in columns))

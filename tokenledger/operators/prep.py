@@ -7,21 +7,28 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which the evaluation prompts of the substring test are broadcast.
-BROADCAST_BYTES = 32 << 20
-#: Words in a shingle of the substring test.
-SHINGLE = 8
+BROADCAST_BYTES = 1 << 20
+#: Characters of a piece of the substring test.
+PIECE = 32
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df computed once, its lineage cut in the shared folder of spark.checkpoint.dir (a local one where it is unset)."""
-    spark = df.sparkSession
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Take the shared folder from spark.checkpoint.dir. Where that is unset, a local run (as in tests) makes one of its
+    own; a cluster must set it."""
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), f"checkpoints-{uuid.uuid4().hex}"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once, its lineage cut in the shared folder."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -59,31 +66,43 @@ def drop_contained(df: DataFrame, evaluation: DataFrame, text: str = "problem",
     """The rows whose text is contained in none of the evaluation's texts (null texts stay, empty ones go if there is
     an evaluation text).
 
-    Evaluation texts of a checked size are broadcast. Beyond it, a row is held against the evaluation texts that
-    have its first SHINGLE words, found by an equality join; shorter rows against those with their first word.
+    Evaluation texts of a checked, small size are broadcast. Beyond it, rows and evaluation texts meet by equal pieces of
+    PIECE characters: see contained_texts().
     """
     prompts = evaluation.select(F.col(other).alias("_prompt")).where("_prompt is not null").distinct()
     size = prompts.agg(F.sum(F.octet_length("_prompt"))).first()[0] or 0
     if size <= BROADCAST_BYTES:
         return df.join(F.broadcast(prompts), F.col("_prompt").contains(F.col(text)), "left_anti")
-    return _drop_contained_at_scale(df, prompts, text)
-
-
-def _drop_contained_at_scale(df: DataFrame, prompts: DataFrame, text: str) -> DataFrame:
-    """Every place of a prompt at which a contained text could start gives a key of SHINGLE characters' hash."""
-    n = SHINGLE * 4
-    starts = prompts.select("_prompt", F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("_prompt") - n + 1, F.lit(1)))).alias("_at"))
-    keys = starts.select(F.xxhash64(F.expr(f"substring(_prompt, _at, {n})")).alias("_key"), "_prompt")
-    rows = df.withColumn("_key", F.xxhash64(F.substring(F.col(text), 1, n)))
-    long = F.char_length(text) >= n
-    far = rows.where(long).join(keys, (rows["_key"] == keys["_key"]) & keys["_prompt"].contains(F.col(text)), "left_anti").select(df.columns)
-    # shorter texts are few distinct ones: each is looked for by all of it
-    lengths = [r[0] for r in df.where(~long & (F.char_length(text) > 0)).select(F.char_length(text)).distinct().collect()]  # at most n - 1 numbers
-    out = far.unionAll(df.where(F.col(text).isNull()))
+    found = contained_texts(df.select(F.col(text).alias("_text")).where("_text is not null").distinct(), prompts)
+    return df.join(found, df[text] == found["_text"], "left_anti")
+
+
+def contained_texts(texts: DataFrame, prompts: DataFrame) -> DataFrame:
+    """The distinct texts (_text) that one of the distinct prompts (_prompt) contains.
+
+    Each place of a prompt gives the hash of the PIECE characters from there, with a number for the prompt and not the
+    prompt itself. A text is cut into such pieces, the last one flush with its end; if prompts have them all, it is held
+    against the prompts that have its rarest one, so that a common opening brings few together. Shorter texts are looked
+    for whole, by length.
+    """
+    asked = prompts.select(F.xxhash64("_prompt").alias("_pid"), "_prompt")
+    places = F.sequence(F.lit(1), F.greatest(F.char_length("_prompt") - PIECE + 1, F.lit(1)))
+    keys = asked.select("_pid", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr("_prompt", i, F.lit(PIECE)))))).alias("_key"))
+    counts = keys.groupBy("_key").agg(F.count("*").alias("_n"))
+    n = F.char_length("_text")
+    starts = F.array_union(F.sequence(F.lit(1), n - PIECE + 1, F.lit(PIECE)), F.array(n - PIECE + 1))
+    long = texts.where(n >= PIECE).select(F.xxhash64("_text").alias("_tid"), "_text")
+    cut_up = long.select("_tid", F.explode(F.transform(starts, lambda i: F.xxhash64(F.substr("_text", i, F.lit(PIECE))))).alias("_key"))
+    rarest = cut_up.join(counts, "_key", "left").groupBy("_tid").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.count_if(F.col("_n").isNull()).alias("_lacks"))
+    pairs = rarest.where("_lacks = 0").join(keys, "_key").select("_tid", "_pid").distinct()
+    far = pairs.join(long, "_tid").join(asked, "_pid").where(F.col("_prompt").contains(F.col("_text"))).select("_text")
+    lengths = [r[0] for r in texts.where((n < PIECE) & (n > 0)).select(n).distinct().collect()]  # at most PIECE - 1 numbers
+    out = far.unionAll(texts.where(n == 0))
     for k in lengths:
-        pieces = prompts.select(F.explode(F.sequence(F.lit(1), F.char_length("_prompt"))).alias("_at"), "_prompt").select(F.expr(f"substring(_prompt, _at, {k})").alias(text)).distinct()
-        out = out.unionAll(df.where(F.char_length(text) == k).join(pieces, text, "left_anti").select(df.columns))
-    return out
+        parts = F.transform(F.sequence(F.lit(1), F.char_length("_prompt") - k + 1), lambda i: F.substr("_prompt", i, F.lit(k)))  # noqa: B023
+        pieces = asked.where(F.char_length("_prompt") >= k).select(F.explode(F.array_distinct(parts)).alias("_text")).distinct()
+        out = out.unionAll(texts.where(n == k).join(pieces, "_text", "left_semi"))
+    return out.distinct()
 
 
 def shared_texts(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -44,3 +44,8 @@ def without_answer(df: DataFrame, column: str) -> DataFrame:
 
 def summary_of_columns(df: DataFrame) -> list[tuple[str, str]]:
     return df.dtypes
+
+
+def shape(df: DataFrame) -> DataFrame:
+    """(n_rows, n_columns), one row."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))

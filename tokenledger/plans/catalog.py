@@ -12,23 +12,10 @@ from tokenledger.functions import vectors as V
 from tokenledger.operators import joins, labels, metrics, network, prep, providers, repair, trajectory, validate
 
 from . import views
+from .registry import ORACLES, QUERIES, query
 from .views import table
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its SQL over the tables and views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"WITH {views.SQL.strip()}, q AS ({sql.strip()}) SELECT * FROM q"
-        return f
-
-    return add
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # Scans, projections and filters.
 
@@ -82,26 +69,30 @@ def q_ordered_head(spark, d):
 @query("""
 SELECT CAST(row_number() OVER (ORDER BY source_rank, row_idx) - 1 AS BIGINT) AS new_id, problem, source_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY problem ORDER BY source_rank, row_idx) AS r FROM (
-    SELECT problem, row_idx, 0 AS source_rank FROM problems WHERE id % 2 = 0 UNION ALL SELECT problem, row_idx, 1 FROM problems)) WHERE r = 1
+    SELECT problem, row_idx, 0 AS source_rank FROM (SELECT text AS problem, conv_id * 1000 + turn AS row_idx FROM conversations) UNION ALL SELECT problem, row_idx, 1 FROM problems)) WHERE r = 1
 """)
 def q_union_dedup_reid(spark, d):
     from tokenledger.sources.tables import with_position
 
     p = views.problems(spark, d).select("problem", "row_idx")
-    both = prep.union_sources([p.where("row_idx % 2 = 0"), p])
+    turns = table(spark, d, "conversations").select(F.col("text").alias("problem"), (F.col("conv_id") * 1000 + F.col("turn")).alias("row_idx"))
+    both = prep.union_sources([turns, p])
     first = prep.keep_first(both, ["problem"], "source_rank", "row_idx")
     return with_position(first, "source_rank", "row_idx", name="new_id").select("new_id", "problem", "source_rank")
 
 
-@query("SELECT count(*) AS n FROM (SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT count(*) AS n FROM (SELECT lang FROM documents INTERSECT SELECT text FROM documents UNION ALL (SELECT text FROM documents INTERSECT SELECT text FROM conversations) UNION ALL (SELECT source FROM documents INTERSECT SELECT lower(source) FROM documents))")
 def q_intersect_count(spark, d):
-    t = table(spark, d, "documents")
-    return prep.shared_texts(t.where("doc_id % 2 = 0").select("text"), t.where("doc_id % 3 = 0").select("text")).agg(F.count(F.lit(1)).alias("n"))
+    t, c = table(spark, d, "documents"), table(spark, d, "conversations")
+    shared = prep.shared_texts(t.select("lang"), t.select("text")).unionAll(prep.shared_texts(t.select("text"), c.select("text"))).unionAll(prep.shared_texts(t.select("source"), t.select(F.lower("source"))))
+    return shared.agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id FROM problems p WHERE NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 5 = 0 AND e.text = p.problem)")
+@query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM benchmark e WHERE e.text = c.text) AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.text = c.text)")
 def q_exact_decontam(spark, d):
-    return prep.drop_exact(views.problems(spark, d), table(spark, d, "documents").where("doc_id % 5 = 0")).select("id")
+    # turns that are no evaluation text, neither a benchmark item nor a document
+    evaluation = table(spark, d, "benchmark").select("text").unionAll(table(spark, d, "documents").select("text"))
+    return prep.drop_exact(table(spark, d, "conversations"), evaluation, "text").select("conv_id", "turn")
 
 
 @query("SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents t WHERE contains(t.text, b.text))")
@@ -110,26 +101,13 @@ def q_substring_decontam(spark, d):
     return prep.drop_contained(table(spark, d, "benchmark").select("item_id", F.col("text").alias("problem")), table(spark, d, "documents")).select("item_id")
 
 
-@query("""
-SELECT id || '-' || dataset AS unique_id, CAST(b AS INTEGER) AS target_think_tokens,
-  CASE WHEN dataset = 'aime-250' THEN problem ELSE problem || chr(10) || 'Let''s think step by step and output the final answer within boxed{}.' END || ' Think for ' || b || ' tokens.' AS prompt,
-  'Use less than ' || b // 60 || ' sentences.' AS sentences
-FROM problems CROSS JOIN (SELECT unnest([""" + ", ".join(map(str, V.BUDGETS)) + """]) AS b) WHERE id < 100
-""")
-def q_budget_cross_prompt(spark, d):
-    e = prep.expand_budgets(views.problems(spark, d).where("id < 100"), V.BUDGETS)
-    prompt = X.budget_prompt(X.problem_prompt(F.col("problem"), F.col("dataset")), F.col("target_think_tokens"), "token")
-    return e.select("unique_id", "target_think_tokens", prompt.alias("prompt"), F.ltrim(X.budget_prompt(F.lit(""), F.col("target_think_tokens"), "sentence")).alias("sentences"))
-
-
 @query("""
 SELECT id || '-' || dataset AS unique_id, CAST(b AS INTEGER) AS target_think_tokens,
   CASE WHEN dataset = 'aime-250' THEN problem ELSE problem || chr(10) || 'Let''s think step by step and output the final answer within boxed{}.' END || ' Think for ' || b || ' tokens.' AS prompt,
   'Use less than ' || b // 60 || ' sentences.' AS sentences
 FROM problems CROSS JOIN (SELECT unnest([""" + ", ".join(map(str, V.BUDGETS)) + """]) AS b)
 """)
-def q_budget_cross_prompt_whole(spark, d):
-    """q_budget_cross_prompt over every problem."""
+def q_budget_cross_prompt(spark, d):
     e = prep.expand_budgets(views.problems(spark, d), V.BUDGETS)
     prompt = X.budget_prompt(X.problem_prompt(F.col("problem"), F.col("dataset")), F.col("target_think_tokens"), "token")
     return e.select("unique_id", "target_think_tokens", prompt.alias("prompt"), F.ltrim(X.budget_prompt(F.lit(""), F.col("target_think_tokens"), "sentence")).alias("sentences"))
@@ -374,17 +352,8 @@ def q_fallbacks(spark, d):
     return views.answers(spark, d).select("row_idx", X.last_dollars(g).alias("dollars"), X.marked_answer(g).alias("marked"), X.lone_number(g).alias("number"))
 
 
-@query("SELECT conv_id, turn, trim(left(text, 40), ' ' || chr(9) || chr(10) || chr(13)) AS think, coalesce(turn % 3 * 50, 0) AS budget, turn % 3 * 50 AS asked FROM conversations WHERE text IS NOT NULL AND turn % 3 > 0")
-def q_think_text(spark, d):
-    c = table(spark, d, "conversations").where("text is not null and turn % 3 > 0")
-    n = (F.col("turn") % 3 * 50).cast("string")
-    t = F.concat(F.lit("<think>"), F.substring("text", 1, 40), F.lit("</think> [["), n, F.lit("]] Think for "), n, F.lit(" tokens."))
-    return c.select("conv_id", "turn", X.think_text(t).alias("think"), X.stated_budget(t).alias("budget"), X.prompt_budget(t).alias("asked"))
-
-
 @query("SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS think, turn % 3 * 50 AS budget, turn % 3 * 50 AS asked FROM conversations WHERE text IS NOT NULL")
-def q_think_text_whole(spark, d):
-    """q_think_text over whole texts and every turn; a budget of 0 is one of them."""
+def q_think_text(spark, d):
     c = table(spark, d, "conversations").where("text is not null")
     n = (F.col("turn") % 3 * 50).cast("string")
     t = F.concat(F.lit("<think>"), "text", F.lit("</think> [["), n, F.lit("]] Think for "), n, F.lit(" tokens."))
@@ -518,14 +487,16 @@ def _numbered(spark, d):
     return views.runs(spark, d).select("question_id", s.alias("s"), F.col("generated_think_tokens").cast("double").alias("v"))
 
 
-@query(f"SELECT question_id, [{', '.join(f'max(v) FILTER (s = {i})' for i in range(8))}] AS values FROM {_TRAJECTORY} GROUP BY question_id")
+@query(f"SELECT question_id, list_transform(range((SELECT max(s) + 1 FROM {_TRAJECTORY})), lambda i: vs[CAST(i + 1 AS INTEGER)]) AS values FROM (SELECT question_id, list(v ORDER BY s) AS vs FROM {_TRAJECTORY} GROUP BY question_id)")
 def q_traj_pivot(spark, d):
-    return trajectory.pivot_steps(_numbered(spark, d), 8, "question_id", "s", "v")
+    numbered = _numbered(spark, d)
+    steps = numbered.agg(F.max("s")).first()[0]
+    return trajectory.pivot_steps(numbered, (steps + 1) if steps is not None else 0, "question_id", "s", "v")
 
 
 @query(f"SELECT question_id, list(v ORDER BY s) AS values FROM {_TRAJECTORY} GROUP BY question_id")
 def q_traj_whole(spark, d):
-    """q_traj_pivot over all steps, however many a trajectory has."""
+    """Trajectories as long as they are."""
     return trajectory.trajectories(_numbered(spark, d), "question_id", "s", "v")
 
 
@@ -543,9 +514,14 @@ def q_nanmean_step(spark, d):
     return trajectory.step_means(_numbered(spark, d), "s", "v").withColumn("mean", F.round("mean", 6))
 
 
-@query()
+@query(f"""
+SELECT question_id, round(k / n, 9) AS frequency, round((re * re + im * im) / w2 * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END, 2) + 0.0 AS power FROM (
+  SELECT question_id, n, k, sum(x * cos(2 * pi() * k * s / n)) AS re, sum(x * sin(2 * pi() * k * s / n)) AS im, any_value(w2) AS w2 FROM (
+    SELECT *, (v - avg(v) OVER p) * pow(sin(pi() * s / n), 2) AS x, sum(pow(sin(pi() * s / n), 4)) OVER p AS w2 FROM (SELECT *, count(*) OVER (PARTITION BY question_id) AS n FROM {_TRAJECTORY} WHERE v IS NOT NULL) WINDOW p AS (PARTITION BY question_id)),
+    unnest(range(n // 2 + 1)) AS t(k) WHERE n > 1 GROUP BY question_id, n, k)
+""")
 def q_welch_psd(spark, d):
-    return trajectory.power_spectrum(_numbered(spark, d), "question_id", "s", "v").withColumn("power", F.round("power", 4))
+    return trajectory.power_spectrum(_numbered(spark, d), "question_id", "s", "v").select("question_id", F.round("frequency", 9).alias("frequency"), (F.round("power", 2) + 0.0).alias("power"))
 
 
 @query("""
@@ -571,15 +547,15 @@ def q_replace_verdicts(spark, d):
 
 @query("""
 SELECT question_id, method, CAST(question_id % 7 AS INTEGER) AS level, CASE WHEN question_id % 7 = 6 AND method <> 'other' THEN actual_tokens % 2 = 0 ELSE coalesce(is_correct, false) END AS is_correct, actual_tokens FROM (
-  SELECT question_id, 'static' AS method, is_correct, generated_think_tokens AS actual_tokens FROM runs WHERE row_idx % 2 = 0
+  SELECT question_id, 'static' AS method, is_correct, generated_think_tokens AS actual_tokens FROM runs
   UNION ALL SELECT question_id, 'dynamic', is_correct, actual_tokens FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY is_correct IS NULL, CASE WHEN is_correct IS NULL THEN -step_i ELSE step_i END) AS r FROM steps) WHERE r = 1
-  UNION ALL SELECT question_id, 'other', is_correct, generated_think_tokens FROM runs WHERE row_idx % 5 = 0)
+  UNION ALL SELECT question_id, 'other', is_correct, generated_think_tokens FROM runs)
 """)
 def q_method_comparison(spark, d):
     r = views.runs(spark, d)
-    static = r.where("row_idx % 2 = 0").select("question_id", F.lit("p").alias("problem"), "is_correct", F.col("generated_think_tokens").alias("actual_tokens"))
+    static = r.select("question_id", F.lit("p").alias("problem"), "is_correct", F.col("generated_think_tokens").alias("actual_tokens"))
     questions = r.select("question_id").distinct().withColumn("level", (F.col("question_id") % 7).cast("int"))
-    others = r.where("row_idx % 5 = 0").select("question_id", (F.col("question_id") % 7).cast("int").alias("level"), "is_correct", F.col("generated_think_tokens").alias("actual_tokens"), F.lit("other").alias("method"))
+    others = r.select("question_id", (F.col("question_id") % 7).cast("int").alias("level"), "is_correct", F.col("generated_think_tokens").alias("actual_tokens"), F.lit("other").alias("method"))
     c = labels.comparison(static, views.steps(spark, d), questions, others, 6, F.col("actual_tokens") % 2 == 0)
     return c.select("question_id", "method", "level", "is_correct", "actual_tokens")
 
@@ -590,7 +566,10 @@ def q_preference_pairs(spark, d):
     return labels.preference_pairs(r, "question_id", "text", "generated_think_tokens", "row_idx")
 
 
-@query()
+@query(r"""
+SELECT id, CAST(CAST('0x' || left(sha256(p), 6) AS INTEGER) % 100 AS VARCHAR) AS value,
+  CAST(len(regexp_extract_all('<think>' || left(p, 20) || '</think> .', '[^ \t\n\x0B\f\r]+')) AS INTEGER) AS tokens FROM (SELECT id, coalesce(problem, '') AS p FROM problems)
+""")
 def q_provider_stub(spark, d):
     p = views.problems(spark, d).select("id", F.col("problem").alias("prompt"))
     g = providers.generated(p, lambda: providers.stub_generate)

@@ -1,4 +1,4 @@
-"""Dense .npy arrays as tables: (row_idx, vector), 16-bit floats included. Pickled arrays are refused."""
+"""Dense .npy arrays as tables, (row_idx, vector), and back; 16-bit floats included. Pickled arrays are refused."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import io
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handed on at once.
 BATCH = 1024
@@ -27,3 +28,32 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, row_idx long, vector array<float>")
+
+
+def write_npy(df: DataFrame, path: str, vector: str, *order: str, dtype: str = "<f4") -> None:
+    """A column of arrays of one length, in a total order, as the matrix of one .npy file in any store Spark writes to.
+
+    Rows pass through the driver, a partition at a time, since a .npy file is one stream; keep what doesn't fit one
+    file in parquet. Null vectors are an error.
+    """
+    spark = df.sparkSession
+    kind = np.dtype(dtype)
+    n, least, most = df.agg(F.count(F.lit(1)), F.min(F.coalesce(F.size(vector), F.lit(-1))), F.max(F.size(vector))).first()
+    if n and (least != most or least < 0):
+        raise ValueError("vectors differ in length, or are null")
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (n, most or 0)})
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(head.getvalue()))
+        rows = []
+        for r in df.orderBy(*order).select(vector).toLocalIterator():
+            rows.append(r[0])
+            if len(rows) == BATCH:
+                out.write(bytearray(np.asarray(rows, kind).tobytes()))
+                rows = []
+        if rows:
+            out.write(bytearray(np.asarray(rows, kind).tobytes()))
+    finally:
+        out.close()
