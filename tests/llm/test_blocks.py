@@ -1,7 +1,7 @@
 """HTML extraction, top-k and mixing against brute force; the pipeline."""
 
-import math
 import hashlib
+import math
 import os
 import random
 import re
@@ -12,63 +12,96 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tokenledger.llm import common, mixing, quality_rules, topk
-from tokenledger.llm.html_extract import blocks, extract_main_text, main_texts, repeated_runs
+from tokenledger.llm import common, html_extract, mixing, quality_rules, topk
+from tokenledger.llm.html_extract import OPEN, blocks, extract_main_text, main_text, repeated_in, suffix_order
 from tokenledger.llm.mixing import mix_plan, mixed_documents
 from tokenledger.llm.topk import exact_top_k
 
 FOLDER = "/root/testdata/sf0.001"
 
 
+def text_of(page):
+    return main_text(blocks(page), np.zeros(0, np.int64))
+
+
 def test_blocks_of_a_page():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="ad">Buy</div><div class='cookie-notice'>Cookies</div><aside>Side</aside><form><p>Your name</p></form><article><header><h1>A &amp; B</h1></header><p>one
     <b>two</b><br>three<p>four &#233;&nbsp;x < y<!-- no --><img src="a>b">.<section id="comments"><p>Troll</p></section><article class="comment"><p>Reader</p></article><div role="alert">Notice</div><div class="adapter">kept</div></article><footer>&copy;</footer>"""
-    assert main_texts([blocks(page)]) == ["A & B\none two\nthree\nfour é x < y.\nkept"]
-    assert blocks("") == [] and blocks("<p>open <b>never closed") == [("open never closed", False)]
-    assert blocks("<nav>a</nav>b</p></div>c") == [("b", False), ("c", False)]
+    assert text_of(page) == "A & B\none two\nthree\nfour é x < y.\nkept"
+    assert blocks("") == blocks(None) == [] and blocks("<p>open <b>never closed") == [("open never closed", OPEN)]
+    assert blocks("<nav>a</nav>b</p></div>c") == [("b", OPEN), ("c", OPEN)]
+
+
+def test_text_that_markup_does_not_hide():
+    assert text_of("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><select><option>one</option></select><svg><text>drawn</text></svg></article>") == "so x=2 holds\none\ndrawn"
+    assert text_of('<article><p class="share-price">Shares rose.</p><div class="notice-period">One month.</div><div class="article-header">Title</div></article>') == "Shares rose.\nOne month.\nTitle"
+    assert text_of('<article><p class="share">Tell all</p><div class="related-posts">More</div><div id="ad_1">Buy</div><p>Text.</article>') == "Text."
+    # a quote that is never closed is none; a tag that the end cuts off is no text
+    assert text_of('<article><p class="x>Hello world</p><p>more</article>') == "Hello world\nmore"
+    assert text_of("<article><p>a</p><p clas") == "a"
+    assert text_of('<article><p title="a > b">c</article>') == "c"
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<b>" * 150_000 + "</i>" * 150_000, "<" * 1_000_000, '<p a="x>' * 125_001, "<!--" * 250_000, "<script>" * 125_000, '<a "><b" ' * 111_111, "<p>" * 333_333, "&amp" * 250_000, "</p" * 333_333, "<div><p>x" * 111_111])
+def test_hostile_pages_take_one_pass(page):
+    import time
+
+    began = time.perf_counter()
+    blocks(page)
+    assert time.perf_counter() - began < 2.5
 
 
-def test_repeated_runs():
+def test_repeats_by_brute_force():
     r = random.Random(1)
-    for _ in range(30):
-        pages = [[r.randint(0, 2) for _ in range(r.randint(0, 12))] for _ in range(5)]
+    for _ in range(40):
+        pages = [np.array([r.randint(0, 2) for _ in range(r.randint(0, 12))], np.uint64) for _ in range(r.randint(0, 6))]
         size = r.randint(2, 5)
-        seen = defaultdict(set)
+        seen, least = defaultdict(set), {}
         for p, w in enumerate(pages):
-            for i in range(len(w) - size + 1):
-                seen[tuple(w[i : i + size])].add(p)
-        want = []
-        for w in pages:
-            hit = [False] * len(w)
-            for i in range(len(w) - size + 1):
-                if len(seen[tuple(w[i : i + size])]) > 1:
-                    hit[i : i + size] = [True] * size
-            want += hit
-        stream = np.array([x for w in pages for x in w], np.int64)
-        owner = np.array([p for p, w in enumerate(pages) for _ in w], np.int64)
-        assert repeated_runs(stream, owner, size).tolist() == want
-
-
-def test_boilerplate_without_an_article(spark):
+            own = [tuple(w[i : i + size].tolist()) for i in range(len(w) - size + 1)]
+            for run in own:
+                seen[run].add(p)
+            hashes = html_extract._runs(w, size).view(np.uint64)
+            least[p] = int(common.mix(hashes + np.uint64(1)).min().view(np.int64)) if len(hashes) else None
+        runs, low, high = repeated_in(pages, size)
+        want = {int(html_extract._runs(np.array(run, np.uint64), size)[0]): (min(least[p] for p in ps), max(least[p] for p in ps)) for run, ps in seen.items()}
+        assert dict(zip(runs.tolist(), zip(low.tolist(), high.tolist()))) == want
+        words = np.concatenate([*pages, np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(pages)), [len(w) for w in pages])
+        order, bounds = suffix_order(words, owner, size)
+        sorted_runs = [tuple(words[i : i + size].tolist()) for i in order]
+        assert sorted_runs == sorted(sorted_runs) and len(bounds) - 1 == len(set(sorted_runs))
+
+
+@pytest.mark.parametrize("chars", [1 << 22, 1])
+def test_boilerplate_without_an_article(spark, monkeypatch, chars):
+    """Texts do not depend on how pages are dealt to suffix arrays; labels in doubt are decided by repetition."""
     rng = random.Random(2)
     text = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(30))
     own = [text() for _ in range(12)]
     page = "<div>Home News Sport Weather Travel Shop Contact About</div><div>{}</div><div>All rights reserved by the owner of this very site</div>"
-    rows = [(i, f"http://h{i % 2}.org/{i}", page.format(t)) for i, t in enumerate(own)] + [(50, None, None), (51, "no host", ""), (52, "http://h0.org/0", page.format(own[0])), (None, "x", "<p>y</p>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    for size in (256, 4):
-        got = {r["page_id"]: r for r in extract_main_text(df, group_pages=size).collect()}
-        assert len(got) == len(rows)
-        if size == 256:
-            assert [got[i]["text"] for i in range(12)] == own
-        assert got[50]["text"] == got[51]["text"] == "" and got[None]["text"] == "y"
-        assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+    rows = [(i, f"http://h{i % 2}.org/{i}", page.format(t)) for i, t in enumerate(own)] + [(50, None, None), (51, "no host", ""), (52, "http://h0.org/0", page.format(own[0])), (52, "http://h0.org/0", page.format(own[0])), (None, "x", "<p>y</p>")]
+    strip = '<div class="share-strip">Tell all of your friends about this right now</div><p class="share-price">Shares of firm {} rose by five per cent today</p>'
+    rows += [(60 + i, f"http://h3.org/{i}", f"<article><p>{text()}</p>{strip.format(i)}</article>") for i in range(6)]
+    names = ("text", "key", "runs", "host", "_html", "_groups", "_host", "_group", "_blocks", "html_")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in names}).repartition(3)
+    monkeypatch.setattr(html_extract, "STREAM_CHARS", chars)
+    found = extract_main_text(df).collect()
+    assert len(found) == len(rows) and all(r[c] == "clash" for r in found for c in names[1:])
+    got = {r["page_id"]: r for r in found}
+    assert [got[i]["text"] for i in (*range(12), 52)] == [*own, own[0]]
+    assert got[50]["text"] == got[51]["text"] == "" and got[None]["text"] == "y"
+    for i in range(6):
+        assert got[60 + i]["text"].split("\n")[1:] == [f"Shares of firm {i} rose by five per cent today"]
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert extract_main_text(df.limit(0)).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_articles_of_the_test_pages(spark):
+    """Texts against the articles cut out by hand; and again from pages whose articles are plain divisions, where all that
+    isn't declared boilerplate is undecided and the suffix array decides."""
     import html
 
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
@@ -78,6 +111,9 @@ def test_articles_of_the_test_pages(spark):
         parts = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", p)).split()) for p in re.split(r"</?(?:p|h1|h2|br|div|ul|li)\b[^>]*>", inside))
         want[r["page_id"]] = "\n".join(p for p in parts if p)
     assert {r["page_id"]: r["text"] for r in extract_main_text(pages).collect()} == want
+    plain = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    got = {r["page_id"]: r["text"] for r in extract_main_text(plain).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.9 * len(want)
 
 
 def brute_top(rows, k=5):

@@ -1,122 +1,209 @@
-"""Main text of web pages by a suffix array over the token streams of a host's pages.
-
-Each page is parsed once: markup, comments, scripts, styles and forms go, and so does what its element names or
-labels declare to be a menu, header, footer, sidebar, notice, advert or comment section; the rest becomes blocks of
-text, in or out of a declared article. Pages of a host are dealt to groups of bounded size. In a group the words of
-the blocks outside articles are put in one stream, a suffix array (by prefix doubling, as deep as the shortest run
-that counts) finds runs that occur on two or more pages, and blocks that such runs cover go as boilerplate.
-A page with an article has its article; a page without one has the blocks that the runs don't cover.
+"""Main text of web pages by markup and by a suffix array over the token streams of a host's pages.
+
+A page is parsed in one pass to blocks of text. Markup says what it can: scripts, styles, forms, navigation, headers,
+footers, asides and what a class, id or role names outright as a notice, advert, menu or comment is no main text; what
+else stands in a declared article is. The rest is undecided: blocks with a label that only may mean boilerplate
+("share-price" doesn't, "share-strip" does), and all blocks of pages that declare no article.
+
+Undecided blocks are decided by repetition on their host. The streams of its pages (all text that is neither hidden nor
+decided article text) are concatenated, task by task, and a suffix array (by prefix doubling) brings equal runs of words
+together; runs of all tasks are merged by host and run. A run on pages of different content is boilerplate; a block that
+such runs cover goes, unique runs stay. Suffixes are ordered as deep as the shortest run that counts, as every longer
+repeat is covered by repeats of that length, and no deeper order changes what is covered. Whole hosts are compared, of any
+size and however pages are dealt; no task holds a host.
+
+Repeats in decided article text are not taken out: there they are quotations and copies, not boilerplate.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, with_fields
+from .common import _WORD_STEPS, cut, forget, mix, unused, window_hashes, with_results, word_hashes, word_spans
 
-#: Pages in a group; words of the shortest run that counts; the part of a block's words that runs must cover.
-GROUP_PAGES = 256
+#: Words of the shortest run that counts; the part of a block's words that repeated runs must cover.
 RUN_WORDS = 6
 COVERED = 0.8
-#: Hosts with more than one group are broadcast up to this number, else joined.
-BROADCAST_HOSTS = 100_000
+#: Bytes of repeated runs, by page, up to which they are broadcast; beyond, they are joined.
+BROADCAST_BYTES = 32 << 20
+#: Characters of pages whose streams are put in one suffix array.
+STREAM_CHARS = 4 << 20
 
-#: Elements without text of their own, elements that are no main text, elements that end a block,
-#: elements that hold an article, elements without an end.
-_RAW = frozenset("script style textarea title noscript template iframe svg math select object video audio canvas noframes noembed xmp".split())
-_ASIDE = frozenset("nav header footer aside form button dialog menu head fieldset dl-nav".split())
+#: What a block is: main text, undecided, or neither (its words still count as repeats).
+MAIN, OPEN, OTHER = 0, 1, 2
+
+#: Elements whose content is no markup or no text, elements that are no main text, elements that end a
+#: block, elements that hold an article, elements without an end.
+_RAW = frozenset("script style textarea title noscript template iframe noframes noembed".split())
+_ASIDE = frozenset("nav header footer aside form button dialog menu head fieldset".split())
 _BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _ARTICLES = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that declare something other than main text.
-_LABELS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|alert|banner|breadcrumbs?|comments?|comment-?list|complementary|consent|contentinfo|cookies?|disqus|footer|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo|related|replies|share|sharing|sidebar|signup|social|sponsor(?:ed)?|subscribe|toolbar|widget)(?=$|[\s_-]|\d)", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Words in class, id or role that name something other than main text, and words that go with them.
+_LABELS = frozenset("ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+_NEUTRAL = frozenset("area bar bars block bottom box button buttons container dialog fixed form global group holder icons inner item items left link links list message outer page panel policy post posts primary reader right row secondary section site slot sticky strip thread top user view wrap wrapper".split())
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_PART = re.compile(r"[A-Za-z]+")
+
+
+def label(attributes: str) -> int:
+    """What an element's class, id and role say: OTHER if one of their words names boilerplate outright, OPEN if one
+    only has such a name in it, else MAIN."""
+    found = MAIN
+    for groups in _ATTRIBUTE.findall(attributes):
+        for word in "".join(groups).lower().split():
+            parts = _PART.findall(word)
+            if any(p in _LABELS for p in parts):
+                if all(p in _LABELS or p in _NEUTRAL for p in parts):
+                    return OTHER
+                found = OPEN
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """Blocks of text outside declared boilerplate, each with whether it stands in a declared article."""
-    out, text, stack = [], [], []  # stack: (element, whether it hides, whether it is an article)
-    hides = inside = 0
-    at, n = 0, len(page)
-
-    def flush():
-        if text:
-            words = " ".join(html.unescape("".join(text)).split())
-            text.clear()
-            if words:
-                out.append((words, inside > 0))
-
-    while at < n:
-        tag = page.find("<", at)
-        if tag < 0:
-            tag = n
-        if tag > at and not hides:
-            text.append(page[at:tag])
-        if tag == n:
-            break
-        m = _TOKEN.match(page, tag)
-        if m is None:  # a stray "<"
-            if not hides:
-                text.append("<")
-            at = tag + 1
-            continue
-        at = m.end()
-        name = m[2]
-        if name is None:
-            continue
-        name = name.lower()
-        if name in _BLOCKS:
-            flush()
-        if m[1]:
-            if any(e[0] == name for e in stack):
-                while True:
-                    e = stack.pop()
-                    hides -= e[1]
-                    inside -= e[2]
-                    if e[0] == name:
+class _Page:
+    """One pass over a page; each character is looked at a bounded number of times, however broken the markup."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that is open at `at` ends, after its ">"; -1 if there is none. Quoted ">" don't count; once a
+        quote is found to stay open to the end of the page, quotes are no longer heeded."""
+        page, start = self.page, at
+        while self.quotes:
+            m = _STOP.search(page, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            close = page.find(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        self.quotes = False
+        return page.find(">", start) + 1 or -1
+
+    def blocks(self) -> list[tuple[str, int]]:
+        """Blocks of text that isn't hidden, each with what it is."""
+        page, n, at = self.page, len(self.page), 0
+        out: list[tuple[str, int, bool]] = []
+        text: list[str] = []
+        stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it hides, is an article, is in doubt
+        held: Counter = Counter()
+        hides = inside = doubts = 0
+
+        def flush():
+            if text:
+                words = " ".join(html.unescape("".join(text)).split())
+                text.clear()
+                if words:
+                    out.append((words, inside > 0, doubts > 0))
+
+        while at < n:
+            tag = page.find("<", at)
+            if tag < 0:
+                tag = n
+            if tag > at and not hides:
+                text.append(page[at:tag])
+            if tag == n:
+                break
+            if page.startswith("<!--", tag):
+                end = page.find("-->", tag + 4)
+                at = end + 3 if end >= 0 else n
+                continue
+            if page.startswith("<![CDATA[", tag):
+                end = page.find("]]>", tag)
+                at = end + 3 if end >= 0 else n
+                continue
+            if page.startswith(("<!", "<?"), tag):
+                at = page.find(">", tag) + 1 or n
+                continue
+            m = _NAME.match(page, tag)
+            end = self.tag_end(m.end()) if m else -1
+            if m is None or end < 0:
+                if m is None:  # a stray "<"
+                    if not hides:
+                        text.append("<")
+                    at = tag + 1
+                else:  # a tag that the page's end cuts off
+                    at = n
+                continue
+            attributes, at, name = page[m.end() : end - 1], end, m[2].lower()
+            if name in _BLOCKS:
+                flush()
+            if m[1]:
+                while held[name]:
+                    closed, hid, article, doubt = stack.pop()
+                    held[closed] -= 1
+                    hides -= hid
+                    inside -= article
+                    doubts -= doubt
+                    if closed == name:
                         break
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if name in _VOID or m[3].endswith("/") and name not in _BLOCKS:
-            continue
-        if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-            e = stack.pop()
-            hides -= e[1]
-            inside -= e[2]
-        hide = name in _ASIDE and not (name == "header" and inside)
-        if m[3]:
-            labels = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(m[3]))
-            hide = hide or (inside or name not in ("html", "body", "article", "main")) and bool(labels and _LABELS.search(labels) or _HIDDEN.search(m[3]))
-        article = name in _ARTICLES
-        stack.append((name, hide, article))
-        hides += hide
-        inside += article
-    flush()
-    return out
-
-
-def repeated_runs(words: np.ndarray, page: np.ndarray, size: int) -> np.ndarray:
-    """Which places of a stream of numbered words stand in a run of `size` words that occurs on two or more pages.
-
-    page: the page of each place, rising. Prefix doubling sorts the suffixes by their first 1, 2, 4, ... words, as
-    deep as size; suffixes of one rank then have the same run.
+                continue
+            if name in _RAW:
+                close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+                at = (page.find(">", close.end() - 1) + 1 or n) if close else n
+                continue
+            if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
+                continue
+            if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
+                closed, hid, article, doubt = stack.pop()
+                held[closed] -= 1
+                hides -= hid
+                inside -= article
+                doubts -= doubt
+            hide, doubt = name in _ASIDE and not (name == "header" and inside), False
+            if attributes:
+                said = label(attributes) if inside or name not in ("html", "body", "article", "main") else MAIN
+                hide = hide or said == OTHER or bool(_HIDDEN.search(attributes))
+                doubt = said == OPEN
+            article = name in _ARTICLES
+            stack.append((name, hide, article, doubt))
+            held[name] += 1
+            hides += hide
+            inside += article
+            doubts += doubt
+        flush()
+        declared = any(b[1] for b in out)
+        return [(words, (OPEN if doubt else MAIN) if within else OTHER if declared else OPEN) for words, within, doubt in out]
+
+
+def blocks(page: str | None) -> list[tuple[str, int]]:
+    """Blocks of a page: (text, MAIN, OPEN or OTHER). A null page has none."""
+    return _Page(page).blocks() if page else []
+
+
+def _stream(page: list[tuple[str, int]]) -> np.ndarray:
+    """Hashes of the words of what a page has besides decided main text, in order."""
+    data = np.frombuffer(" ".join(t for t, kind in page if kind != MAIN).encode(), np.uint8)
+    starts, ends, _ = word_spans(data, np.array([0, len(data)]))
+    return word_hashes(data, starts, ends)
+
+
+def suffix_order(words: np.ndarray, page: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a stream of words from which a run of `size` words of one page starts, in the order of their suffixes,
+    and the bounds of those with equal runs.
+
+    Prefix doubling ranks the suffixes by their first 1, 2, 4, ... words, as deep as size.
     """
     n = len(words)
     if n < size:
-        return np.zeros(n, bool)
-    rank, depth = words.astype(np.int64), 1
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    _, rank = np.unique(words, return_inverse=True)
+    depth = 1
     while depth < size:
         step = min(depth, size - depth)
         after = np.full(n, -1, np.int64)
@@ -126,83 +213,143 @@ def repeated_runs(words: np.ndarray, page: np.ndarray, size: int) -> np.ndarray:
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         depth += step
-    whole = np.zeros(n, bool)
-    whole[: n - size + 1] = page[: n - size + 1] == page[size - 1 :]
-    at = np.flatnonzero(whole)
-    order = at[np.argsort(rank[at], kind="stable")]  # in a rank, pages rise
-    first = np.r_[True, rank[order][1:] != rank[order][:-1]] if len(order) else np.zeros(0, bool)
-    group = np.cumsum(first) - 1
-    starts = np.flatnonzero(first)
-    ends = np.r_[starts[1:], len(order)] - 1 if len(order) else starts
-    shared = page[order][starts] != page[order][ends] if len(order) else np.zeros(0, bool)
-    edge = np.zeros(n + 1, np.int64)
-    hit = order[shared[group]] if len(order) else order
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + size, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def main_texts(pages: list[list[tuple[str, bool]]], size: int = RUN_WORDS, covered: float = COVERED) -> list[str]:
-    """The main text of each page of a group. Pages with the same blocks count as one."""
-    once = list(dict.fromkeys(map(tuple, pages)))
-    if len(once) < len(pages):
-        found = dict(zip(once, main_texts(once, size, covered)))
-        return [found[tuple(p)] for p in pages]
-    numbers: dict[str, int] = {}
-    words, owner, where = [], [], []
-    for i, page in enumerate(pages):
-        if any(b[1] for b in page):
-            continue  # the article stands; what is outside is no main text
-        for j, (text, _) in enumerate(page):
-            w = text.split()
-            words += [numbers.setdefault(x, len(numbers)) for x in w]
-            owner += [i] * len(w)
-            where.append((i, j, len(w)))
-    seen = repeated_runs(np.array(words, np.int64), np.array(owner, np.int64), size)
-    gone, at = set(), 0
-    for i, j, n in where:
-        if n and seen[at : at + n].mean() >= covered:
-            gone.add((i, j))
-        at += n
-    out = []
-    for i, page in enumerate(pages):
-        article = any(b[1] for b in page)
-        out.append("\n".join(text for j, (text, inside) in enumerate(page) if (inside if article else (i, j) not in gone)))
-    return out
-
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", group_pages: int = GROUP_PAGES) -> DataFrame:
-    """pages, without the html, with text (empty if there is none) and n_chars (its code points), a row a row.
+    at = np.flatnonzero(page[: n - size + 1] == page[size - 1 :])
+    order = at[np.argsort(rank[at], kind="stable")]
+    bounds = np.flatnonzero(np.r_[True, rank[order][1:] != rank[order][:-1], True]) if len(order) else np.zeros(1, np.int64)
+    return order, bounds
 
-    A null html is an empty page. Pages are grouped by the host of their url (null, or without one: one more host)
-    and, in hosts of many pages, by hash of the id and html. Broken markup is read as far as it goes: elements that
-    are not closed end with those around them. Columns named like a result are replaced.
-    """
-    keep = [c for c in pages.columns if c != html_col and c.lower() not in ("text", "n_chars", "_host", "_group", "_blocks")]
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    known = pages.select(*keep, F.col(html_col).alias("_html"), host.alias("_host"))
-    large = known.groupBy("_host").count().where(F.col("count") > group_pages).select(F.col("_host").alias("_large"), F.ceil(F.col("count") / group_pages).alias("_groups"))
-    large = F.broadcast(large) if large.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else large
-    dealt = known.join(large, F.col("_host") == F.col("_large"), "left").drop("_large")
-    group = F.pmod(F.xxhash64(F.col(id_col), F.col("_html")), F.coalesce("_groups", F.lit(1))).cast("long")
-    dealt = dealt.withColumn("_group", group).drop("_groups")
-    block_type = T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("a", T.BooleanType())]))
-    parsed_schema = with_fields(dealt.drop("_html"), ("_blocks", block_type))
-    parsed_names = parsed_schema.names
-
-    def parse(batches):
+
+def repeated_in(streams: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of some pages of one host, by a suffix array over their streams: the hash of each run, and the
+    least and the greatest content of the pages that have it."""
+    words = np.concatenate([*streams, np.zeros(0, np.uint64)])
+    page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+    order, bounds = suffix_order(words, page, size)
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = window_hashes(words, _WORD_STEPS[0], order, size)
+    # a number for a page's content that near copies mostly share: the least of its runs' hashes, mixed once more
+    content = np.full(len(streams), np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(content, page[order], mix(hashes + np.uint64(1)))
+    content = content.view(np.int64)
+    own = content[page[order]]
+    return hashes[bounds[:-1]].view(np.int64), np.minimum.reduceat(own, bounds[:-1]), np.maximum.reduceat(own, bounds[:-1])
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    at = np.arange(max(0, len(words) - size + 1))
+    return window_hashes(words, _WORD_STEPS[0], at, size).view(np.int64)
+
+
+def main_text(page: list[tuple[str, int]], repeated: np.ndarray, size: int = RUN_WORDS, covered: float = COVERED) -> str:
+    """A page's main text: its main blocks, and those undecided ones that the repeated runs (hashes) don't cover."""
+    words = _stream(page) if len(repeated) else np.zeros(0, np.uint64)
+    hit = np.isin(_runs(words, size), repeated) if len(words) else np.zeros(0, bool)
+    step = np.zeros(len(words) + 1, np.int64)
+    step[: len(hit)] += hit
+    step[size : size + len(hit)] -= hit
+    seen = np.cumsum(step[:-1]) > 0
+    out, at = [], 0
+    for text, kind in page:
+        if kind != MAIN and len(words):
+            n = len(text.split(" "))
+            gone = seen[at : at + n].mean() >= covered
+            at += n
+        else:
+            gone = False
+        if kind == MAIN or kind == OPEN and not gone:
+            out.append(text)
+    return "\n".join(out)
+
+
+def _evidence(size: int):
+    """Rows (host, html) to rows (host, run, least, most)."""
+
+    def rows(held):
+        for host, streams in held.items():
+            runs, least, most = repeated_in(streams, size)
+            yield pa.RecordBatch.from_arrays([pa.array([host] * len(runs), pa.string()), pa.array(runs), pa.array(least), pa.array(most)], ["host", "run", "least", "most"])
+
+    def run(batches):
+        forget()
+        held, chars = {}, 0
+        for batch in batches:
+            for host, page in zip(batch.column(0), batch.column(1)):
+                page = page.as_py() or ""
+                held.setdefault(host.as_py(), []).append(_stream(blocks(page)))
+                chars += len(page)
+                if chars > STREAM_CHARS:
+                    yield from rows(held)
+                    held, chars = {}, 0
+        yield from rows(held)
+
+    return run
+
+
+def _own_runs(size: int):
+    """Rows (host, key, html) to rows (host, key, run) of the pages with undecided blocks."""
+
+    def run(batches):
         forget()
-        kind = pa.list_(pa.struct([("t", pa.string()), ("a", pa.bool_())]))
         for batch in batches:
-            found = [[{"t": t, "a": a} for t, a in blocks(x)] if x else [] for x in batch.column(batch.schema.get_field_index("_html")).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, kind) if n == "_blocks" else batch.column(batch.schema.get_field_index(n)) for n in parsed_names], parsed_names)
+            for host, key, page in zip(batch.column(0), batch.column(1), batch.column(2)):
+                parsed = blocks(page.as_py())
+                if any(kind == OPEN for _, kind in parsed):
+                    runs = np.unique(_runs(_stream(parsed), size))
+                    yield pa.RecordBatch.from_arrays([pa.array([host.as_py()] * len(runs), pa.string()), pa.array([key.as_py()] * len(runs), pa.int64()), pa.array(runs)], ["host", "key", "run"])
+
+    return run
 
-    schema = with_fields(pages.select(*keep), ("text", T.StringType()), ("n_chars", T.LongType()))
-    names = schema.names
 
-    def extract(key, table):
-        texts = main_texts([[(b["t"], b["a"]) for b in row or []] for row in table.column("_blocks").to_pylist()])
-        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
-        return pa.table({n: new[n] if n in new else table.column(n) for n in names})
+@F.arrow_udf(T.BooleanType())
+def _undecided(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    forget()
+    for batch in pages:
+        yield pa.array([any(kind == OPEN for _, kind in blocks(x.as_py())) for x in batch], pa.bool_())
+
+
+def host_of(url: Column) -> Column:
+    """The host in a url, in lower case; an empty text for null or without one."""
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+
+
+def repeated_runs(pages: DataFrame, size: int = RUN_WORDS) -> DataFrame | None:
+    """(key, runs): for pages (host, key, html) with undecided blocks, the runs of theirs that are boilerplate on their
+    host, packed as 64-bit hashes. None if no page is undecided."""
+    hosts = cut(pages.where(_undecided("html")).select("host").distinct())
+    if not hosts.limit(1).count():
+        return None
+    known = pages.join(hosts, "host", "left_semi")
+    found = known.select("host", "html").mapInArrow(_evidence(size), "host string, run long, least long, most long")
+    found = found.groupBy("host", "run").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most").select("host", "run")
+    own = known.select("host", "key", "html").mapInArrow(_own_runs(size), "host string, key long, run long")
+    return cut(own.join(found, ["host", "run"]).groupBy("key").agg(F.collect_set("run").alias("runs")))
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", size: int = RUN_WORDS) -> DataFrame:
+    """pages, without the html, with text (empty if there is none) and n_chars (its code points), a row a row.
+
+    A null html is an empty page. Pages whose url is null or has no host are one more host. Equal pages get equal texts
+    and count as one, so repeated rows change nothing; near copies mostly do. Broken markup is read as far as it
+    goes: elements that are not closed end with those around them, a quote that is never closed is none. Pages may be of
+    any length. Columns named like a result are replaced, all others stay. An empty table gives an empty table.
+    """
+    keep = [c for c in pages.columns if c != html_col]
+    key, runs = unused(pages, "key", "runs")
+    keyed = pages.withColumn(key, F.xxhash64(url_col, html_col))
+    hits = repeated_runs(keyed.select(host_of(F.col(url_col)).alias("host"), F.col(key).alias("key"), F.col(html_col).alias("html")), size)
+    if hits is None:
+        keyed = keyed.withColumn(runs, F.lit(None).cast("array<bigint>"))
+    else:
+        bytes_ = hits.agg(F.sum(F.size("runs") * 8 + 64)).first()[0] or 0
+        hits = hits.select(F.col("key").alias(key), F.col("runs").alias(runs))
+        keyed = keyed.join(F.broadcast(hits) if bytes_ <= BROADCAST_BYTES else hits, key, "left")
+
+    @F.arrow_udf("string")
+    def text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        forget()
+        for html_, own in columns:
+            yield pa.array([main_text(blocks(x.as_py()), np.array(r.as_py() or [], np.int64), size) for x, r in zip(html_, own)], pa.string())
 
-    return dealt.mapInArrow(parse, parsed_schema).groupBy("_host", "_group").applyInArrow(extract, schema)
+    out = with_results(keyed, text=text(F.col(f"`{html_col}`"), F.col(runs)))
+    return with_results(out.select(*(f"`{c}`" for c in keep if c.lower() not in ("text", "n_chars")), "text"), n_chars=F.char_length("text").cast("long"))
