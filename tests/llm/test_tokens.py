@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tokenledger.llm import byte_bpe
+from tokenledger.llm import byte_bpe, token_counts
 from tokenledger.llm.byte_bpe import Pieces, StreamDecoder, Transducer, decode_ids, encode_texts, read_ranks
 from tokenledger.llm.token_counts import MARK, UnigramCounter, count_tokens, read_pieces
 
@@ -98,11 +98,42 @@ def test_counts_share_prefixes(words):
     assert counter.counts(words) == {w: plain_count(w, PIECES, counter.byte_score) for w in words}
 
 
-def test_token_counts(spark):
-    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id int, text string, n_tokens string")
-    got = [r["n_tokens"] for r in count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()]
+def long_count(word, counter):
+    """plain_count() for long words: pieces are at most so many characters."""
+    longest = max(map(len, PIECES))
+    best = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        found = None
+        for start in range(end - 1, max(-1, end - longest - 1), -1):
+            s = PIECES.get(word[start:end])
+            if s is not None and (found is None or best[start][0] + s >= found[0]):
+                found = best[start][0] + s, best[start][1] + 1
+        if word[end - 1] not in PIECES:
+            n = len(word[end - 1].encode())
+            spelled = best[end - 1][0] + n * counter.byte_score, best[end - 1][1] + n
+            if found is None or spelled[0] > found[0]:
+                found = spelled
+        best.append(found)
+    return best[-1][1]
+
+
+@pytest.mark.parametrize("most", [24_000_000, 100])
+def test_token_counts(spark, monkeypatch, most):
+    """Whole texts, long ones and long words included, repeated rows and helper names; small caches change nothing."""
+    monkeypatch.setattr(token_counts, "MOST_KEPT", most)
+    texts = [*TEXTS, "the cat " * 20_000, TEXTS[4]]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id int, text string, n_tokens string").withColumn("both", F.lit(7))
+    rows = count_tokens(df, public_tokenizers.path("piece_bpe_32k.model")).orderBy("doc_id").collect()
     counter = UnigramCounter(PIECES)
-    short = [(g, t) for g, t in zip(got, TEXTS) if len(t or "") < 1000]
-    assert [g for g, _ in short] == [sum(plain_count(MARK + w, PIECES, counter.byte_score) for w in (t or "").split()) for _, t in short]
+    cost = {w: long_count(MARK + w, counter) for t in texts for w in (t or "").split()}
+    assert [r["n_tokens"] for r in rows] == [sum(cost[w] for w in (t or "").split()) for t in texts]
+    assert all(r["both"] == 7 for r in rows)
     assert count_tokens(df.limit(0), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
-    assert all(got[i] > 0 for i, t in enumerate(TEXTS) if t and t.strip())
+
+
+def test_one_pass_encodes_and_decodes(spark):
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*TEXTS, "ab é " * 50_000])], "doc_id int, text string, decoded string").withColumn("both", F.lit(7))
+    out = encode_texts(df, PATH, public_tokenizers.PATTERN, decode=True)
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert out.columns == ["doc_id", "text", "both", "n_tokens", "token_ids", "decoded"]
+    assert all(r["decoded"] == (r["text"] or "") and r["both"] == 7 and r["n_tokens"] * 4 == len(r["token_ids"]) for r in out.collect())

@@ -104,7 +104,8 @@ def _references(counts: DataFrame) -> DataFrame:
 
 def _distances(counts: DataFrame, references: DataFrame) -> DataFrame:
     both = counts.join(references, counts["lang"].eqNullSafe(references["_lang"]), "left")
-    words = js_distance(F.col("common"), F.slice("all_common", 1, F.size("common")))
+    # without a list of common words there is one bin, which says nothing
+    words = F.when(F.size("common") > 1, js_distance(F.col("common"), F.slice("all_common", 1, F.size("common"))))
     return both.select(*counts.columns, js_distance(F.col("classes"), F.col("all_classes")).alias("class_distance"), words.alias("word_distance"))
 
 
@@ -120,13 +121,14 @@ def _nearer_half(near: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance,
-    kept), one row a row of docs.
+    kept), one row a row of docs, without its other columns.
 
     base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. Otherwise a document is kept
     unless it has words enough and both histograms lie too far from its language's. References are sums over all
     documents of a language (null is one too) that did not fail, taken again of the half nearer to the first; a
-    language without any rejects none, nor does one without a list of common words (its word distance is 0). Null and empty texts have no words. Repeated rows are judged alike;
-    an empty table gives an empty table.
+    language without any rejects none; for one without a list of common words (its word distance is null) the classes
+    alone decide. Null and empty texts have no words. Texts may be of any length. Repeated rows are judged alike; an
+    empty table gives an empty table.
     """
     counts = cut(document_counts(docs, id_col, text_col, lang_col))
     wide = len(CLASSES) + 1

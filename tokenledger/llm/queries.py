@@ -98,7 +98,7 @@ half AS (SELECT lang, min(b) AS b FROM ranked WHERE up GROUP BY lang),
 {_distances("far", "SELECT doc_id FROM binned JOIN half ON binned.lang IS NOT DISTINCT FROM half.lang WHERE binned.b <= half.b").strip()},
 apart AS (SELECT doc_id, max(d) FILTER (kind = 'class') AS c, max(d) FILTER (kind = 'word') AS w FROM far GROUP BY doc_id)
 SELECT doc_id, n_words, CAST(chars - c4 AS BIGINT) AS word_chars, CAST(c3 AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed,
-  NOT failed AND NOT coalesce(n_words >= {LEAST_WORDS} AND c > {MOST_CLASS_DISTANCE} AND coalesce(w, 1) > {MOST_WORD_DISTANCE}, false) AS kept FROM counted LEFT JOIN apart USING (doc_id)
+  NOT failed AND NOT coalesce(n_words >= {LEAST_WORDS} AND c > {MOST_CLASS_DISTANCE} AND coalesce(CASE WHEN len(own) > 0 THEN w END, 1) > {MOST_WORD_DISTANCE}, false) AS kept FROM counted LEFT JOIN apart USING (doc_id)
 """
 
 

@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from .common import forget, slices, utf8, with_fields
+from .common import forget, slices, utf8, with_results
 
-#: Pre-tokens whose counts a task keeps; beyond, it starts anew (counts are the same).
-MOST_KEPT = 300_000
+#: Characters of pre-tokens, and for each WORD_COST more, whose counts a task keeps; beyond, it starts anew (counts are
+#: the same). Bytes of text that are cut to words at once.
+MOST_KEPT = 24_000_000
+WORD_COST = 64
 SLICE_BYTES = 4 << 20
 
 #: What marks the start of a word in the vocabulary.
@@ -99,31 +101,45 @@ class UnigramCounter:
         return out
 
 
+class KeptCounts(dict):
+    """Counts of pre-tokens, worked out for all new ones of a slice together. What is kept is bounded in characters."""
+
+    def __init__(self, counter: UnigramCounter):
+        super().__init__()
+        self.counter, self.size = counter, 0
+
+    def total(self, texts: list[list[str]]) -> list[int]:
+        """The tokens of each text, given as its words."""
+        fresh = set().union(*texts) - self.keys()
+        size = sum(map(len, fresh)) + WORD_COST * len(fresh)
+        if self.size + size > MOST_KEPT:
+            self.clear()
+            fresh = set().union(*texts)
+            self.size, size = 0, sum(map(len, fresh)) + WORD_COST * len(fresh)
+        self.size += size
+        found = self.counter.counts([MARK + w for w in fresh])
+        self.update((w[1:], n) for w, n in found.items())
+        return [sum(map(self.__getitem__, t)) for t in texts]
+
+
 def count_tokens(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """docs with n_tokens (long): tokens of the whole text, cut at white space into pre-tokens that start with a mark.
 
-    Null, empty and blank texts have 0 tokens. A column named n_tokens is replaced. The vocabulary, one file of a
-    fixed size, travels with the task.
+    Null, empty and blank texts have 0 tokens. Texts and words may be of any length; equal texts have equal counts, and
+    repeated rows stay. A column named n_tokens is replaced, all others stay. An empty table gives an empty table. The
+    vocabulary, one file of a fixed size, travels with the task; only texts go to Python, and only counts come back.
     """
-    schema = with_fields(docs, ("n_tokens", T.LongType()))
-    names, shared = schema.names, docs.sparkSession.sparkContext.broadcast(read_pieces(model_path))
+    shared = docs.sparkSession.sparkContext.broadcast(read_pieces(model_path))
 
-    def run(batches):
+    @F.arrow_udf("bigint")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         forget()
-        counter, kept = UnigramCounter(shared.value), {}
-        for whole in batches:
-            _, offsets = utf8(whole.column(whole.schema.get_field_index(text_col)))
+        kept = KeptCounts(UnigramCounter(shared.value))
+        for batch in batches:
+            _, offsets = utf8(batch)
+            found = []
             for first, beyond in slices(offsets, SLICE_BYTES):
-                batch = whole.slice(first, beyond - first)
-                texts = [(t or "").split() for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-                fresh = set().union(*texts) - kept.keys()
-                if len(kept) + len(fresh) > MOST_KEPT:
-                    kept, fresh = {}, set().union(*texts)
-                if fresh:
-                    found = counter.counts([MARK + w for w in fresh])
-                    kept.update((w[1:], n) for w, n in found.items())
-                get = kept.__getitem__
-                sums = pa.array(np.array([sum(map(get, t)) for t in texts], np.int64))
-                yield pa.RecordBatch.from_arrays([sums if n == "n_tokens" else batch.column(batch.schema.get_field_index(n)) for n in names], names)
-
-    return docs.mapInArrow(run, schema)
+                found += kept.total([(t or "").split() for t in batch.slice(first, beyond - first).to_pylist()])
+            yield pa.array(found, pa.int64())
+
+    return with_results(docs, n_tokens=count(F.col(text_col)))
