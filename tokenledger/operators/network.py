@@ -11,8 +11,9 @@ from tokenledger.functions.vectors import dense_layer, sigmoid
 
 #: Layer sizes in use: inputs (language model or encoder), hidden layers, bins (one more for the softmax variant).
 SHAPES = {"llm": (4096, 1024, 512, 256, 20), "bert": (768, 1024, 512, 256, 20)}
-#: Rows of a training sample at most.
+#: Rows of a training sample at most, and numbers in all of their vectors (32 bits each, 256 MB).
 MOST_ROWS = 200_000
+MOST_VALUES = 1 << 26
 
 
 def forward(layers: list[tuple], x: np.ndarray) -> np.ndarray:
@@ -58,15 +59,18 @@ def init_network(shape: tuple[int, ...], seed: int = 0) -> list[tuple]:
 
 
 def train(samples: DataFrame, shape: tuple[int, ...], kind: str = "sigmoid", vector: str = "hidden", label: str = "y", epochs: int = 140, batch: int = 512, dropout: float = 0.2, rate: float = 1e-4, decay: float = 1e-4, negative: float = 2.5, seed: int = 0) -> list[tuple]:
-    """A network trained by AdamW on at most MOST_ROWS rows, those whose hash is lowest.
+    """A network trained by AdamW on at most MOST_ROWS rows, or as many as have MOST_VALUES numbers in their vectors (16,384
+    of 4,096), those whose hash is lowest. The sample comes to the driver as 32-bit floats.
 
     kind "sigmoid": label is an array of 0 and 1, zeros weigh `negative`; "softmax": label is a one-hot array.
     """
-    taken = samples.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).orderBy(F.xxhash64(vector)).limit(MOST_ROWS).select(vector, label).toPandas()
+    most = max(1, min(MOST_ROWS, MOST_VALUES // shape[0]))
+    known = samples.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).orderBy(F.xxhash64(vector)).limit(most)
+    taken = known.select(F.col(vector).cast("array<float>").alias("x"), F.col(label).cast("array<float>").alias("y")).toArrow()
     layers = [[np.array(w), np.array(b)] for w, b in init_network(shape, seed)]
-    if not len(taken):
+    if not taken.num_rows:
         return [tuple(x) for x in layers]
-    x, y = np.stack(taken[vector].to_numpy()).astype(np.float64), np.stack(taken[label].to_numpy()).astype(np.float64)
+    x, y = (np.concatenate([np.asarray(c.flatten()) for c in taken.column(n).chunks]).reshape(taken.num_rows, -1) for n in ("x", "y"))
     rng = np.random.default_rng(seed)
     moments = [[[np.zeros_like(p), np.zeros_like(p)] for p in layer] for layer in layers]
     step = 0
@@ -75,7 +79,7 @@ def train(samples: DataFrame, shape: tuple[int, ...], kind: str = "sigmoid", vec
         for k in range(0, len(x), batch):
             rows = order[k : k + batch]
             step += 1
-            inputs, masks, h = [], [], x[rows]
+            inputs, masks, h = [], [], x[rows].astype(np.float64)
             for i, (w, b) in enumerate(layers):
                 inputs.append(h)
                 h = h @ w + b

@@ -234,6 +234,23 @@ def q_answers_of_any_depth(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), X.boxed_balanced_native(text).alias("value"), A.normalize_answer(fraction).alias("fraction"))
 
 
+@query(r"""
+SELECT p_partkey AS id, CASE p_partkey % 10 WHEN 0 THEN n WHEN 1 THEN '\sqrt{' || right(n, 1) || '}' WHEN 2 THEN n WHEN 3 THEN '\frac{1}{2}' WHEN 4 THEN '\frac{' || n || '}{7}' WHEN 6 THEN n
+  WHEN 7 THEN '\sqrt{0.' || n || '}' WHEN 8 THEN '\frac{' || left(n, 1) || '}{3}' || n WHEN 9 THEN 'abc=' || n END AS form FROM (SELECT *, CAST(p_partkey AS VARCHAR) AS n FROM part)
+""")
+def q_legacy_forms(spark, d):
+    n = F.col("p_partkey").cast("string")
+    shapes = [
+        F.concat(F.lit("k = "), n, F.lit("^\\circ")), F.concat(F.lit("\\sqrt"), F.substring(n, -1, 1)), F.concat(n, F.lit("\\text{ cm}")), F.lit(".5"), F.concat(n, F.lit("/7")),
+        F.concat(n, F.lit("\\text{ a}\\text{ b}")), F.concat(F.lit("\\$"), n, F.lit("\\%\n")), F.concat(F.lit("\\sqrt{."), n, F.lit("}")),
+        F.concat(F.lit("\\tfrac"), F.substring(n, 1, 1), F.lit("3\\!"), n), F.concat(F.lit("abc="), n),
+    ]
+    made = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        made = F.when(F.col("p_partkey") % 10 == k, shape).otherwise(made)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), A.legacy_form(made).alias("form"))
+
+
 @query("SELECT p_partkey AS id, true AS same, true AS square, p_partkey % 4 = 1 AS moved FROM part")
 def q_symbolic_equiv(spark, d):
     n, m = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 4).cast("string")
