@@ -5,7 +5,7 @@ windows of ordinary texts. The toxic one has the same content, so that ordinary
 after it passages of toxic texts: runs of short substrings, as a dictionary trainer would choose them for being in many
 windows, but only those that are several times as frequent in toxic windows as in ordinary ones. Every window of a
 document is compressed with both dictionaries; the bytes that the toxic one saves, against the windows the document has,
-are calibrated to a score on a part of the training fold that the dictionaries have not seen.
+are calibrated to a score on rows that the dictionaries have not seen, part by part of the sample.
 """
 
 from __future__ import annotations
@@ -33,17 +33,17 @@ PASSAGE = 32
 SUBSTRING = 5
 #: A substring is weighed if it is in so many times as many toxic windows as ordinary ones would make expect, and in so
 #: many standard deviations more.
-LEAST_RATIO = 4.0
-DEVIATIONS = 8.0
+LEAST_RATIO = 3.0
+DEVIATIONS = 6.0
 #: A passage is taken if at least one in so many of its substrings is in no passage taken before.
 FRESH = 2
 #: Rows of each label in the training sample at most, and windows of each that dictionaries are trained on at most. Longer
 #: windows are no training samples (they are scored like any other).
 SAMPLE = {0: 2500, 1: 1200}
-MOST_WINDOWS = 40_000
+MOST_WINDOWS = 30_000
 MOST_WINDOW_BYTES = 512
-#: Part of the sample that only calibrates: one row in so many.
-CALIBRATES = 4
+#: Parts of the sample: each is calibrated by dictionaries trained on the others.
+FOLDS = 3
 #: A score from which a document is predicted to be toxic.
 THRESHOLD = 0.5
 #: Characters of a text that are cut to windows at once.
@@ -89,19 +89,19 @@ def _frequencies(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code[new], return_counts=True)
 
 
-def toxic_passages(ordinary: list[bytes], toxic: list[bytes]) -> bytes:
-    """Passages of toxic windows, the best last, where a dictionary's matches are cheapest."""
+def toxic_passages(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, list[bytes]]:
+    """Passages of toxic windows, the commonest last, where a dictionary's matches are cheapest; and the ordinary windows
+    without any of the substrings they are made of."""
     if not toxic or not ordinary:
-        return b""
+        return b"", ordinary
     own, n = _frequencies(toxic)
     other, m = _frequencies(ordinary)
     at = np.minimum(np.searchsorted(other, own), max(0, len(other) - 1))
     expected = (np.where(other[at] == own, m[at], 0) + 1) * len(toxic) / len(ordinary) if len(other) else np.ones(len(own))
-    weight = np.where((n >= LEAST_RATIO * expected) & (n >= expected + DEVIATIONS * np.sqrt(expected) + 4), n, 0)
+    weighed = own[(n >= LEAST_RATIO * expected) & (n >= expected + DEVIATIONS * np.sqrt(expected) + 4)]
     # passages are the longest runs of such substrings; the commonest comes first, then what covers others
-    code, of, inside, data = _substrings(toxic)
-    heavy = inside & (weight[np.minimum(np.searchsorted(own, code), len(own) - 1)] > 0)
-    edge = np.diff(np.concatenate([[False], heavy, [False]]).astype(np.int8))
+    code, _, inside, data = _substrings(toxic)
+    edge = np.diff(np.concatenate([[False], inside & np.isin(code, weighed), [False]]).astype(np.int8))
     raw = data.tobytes()
     seen = Counter(raw[a : min(b + SUBSTRING - 1, a + PASSAGE)] for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
     out, covered, size = [], set(), 0
@@ -111,18 +111,21 @@ def toxic_passages(ordinary: list[bytes], toxic: list[bytes]) -> bytes:
             covered |= own_parts
             out.append(passage)
             size += len(passage) + 1
-    return b"".join(b"\n" + passage for passage in reversed(out))
+    code, of, inside, _ = _substrings(ordinary)
+    with_some = set(of[inside & np.isin(code, weighed)].tolist())
+    return b"".join(b"\n" + passage for passage in reversed(out)), [w for i, w in enumerate(ordinary) if i not in with_some]
 
 
 def train_dictionaries(ordinary: list[bytes], toxic: list[bytes]) -> tuple[bytes, bytes]:
     """Contents of the ordinary and the toxic dictionary, trained on windows."""
     import zstandard as zstd
 
+    passages, plain = toxic_passages(ordinary, toxic)
     try:
-        base = zstd.train_dictionary(ORDINARY_BYTES, ordinary, k=32, d=6).as_bytes()
+        base = zstd.train_dictionary(ORDINARY_BYTES, plain, k=32, d=6).as_bytes()
     except (zstd.ZstdError, ValueError):  # too few windows to train on: the windows themselves
-        base = b"".join(ordinary)[-ORDINARY_BYTES:].rjust(8)
-    return base, base + toxic_passages(ordinary, toxic)
+        base = b"".join(plain)[-ORDINARY_BYTES:].rjust(8)
+    return base, base + passages
 
 
 def compressors(dictionaries: tuple[bytes, bytes]):
@@ -172,16 +175,17 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, flo
 def _training_windows(batches):
     forget()
     for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist()):
+        for fold, label, text in zip(*(batch.column(n).to_pylist() for n in ("fold", "label", "text"))):
             some = list(dict.fromkeys(w for w in windows(text) if len(w) <= MOST_WINDOW_BYTES))
-            yield pa.RecordBatch.from_arrays([pa.array([label] * len(some), pa.int32()), pa.array(some, pa.binary())], ["label", "window"])
+            yield pa.RecordBatch.from_arrays([pa.array([fold] * len(some), pa.int32()), pa.array([label] * len(some), pa.int32()), pa.array(some, pa.binary())], ["fold", "label", "window"])
 
 
 def _training_evidence(shared):
     def run(batches):
-        both = compressors(shared.value)
+        by_fold = [compressors(d) for d in shared.value]
         for batch in batches:
-            found = np.array([saved_bytes(t, *both) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, 2)
+            found = [saved_bytes(t, *by_fold[f]) for f, t in zip(batch.column("fold").to_pylist(), batch.column("text").to_pylist())]
+            found = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array(found[:, 0]), pa.array(found[:, 1])], ["place", "label", "saved", "n"])
 
     return run
@@ -189,16 +193,18 @@ def _training_evidence(shared):
 
 def trained(sample: DataFrame) -> tuple[tuple[bytes, bytes], float, float]:
     """The two dictionaries, and the slope and intercept of the score, from labelled_sample()'s rows. At most MOST_WINDOWS
-    windows of each label come to the driver, and two numbers for each row that calibrates."""
-    calibrates = F.pmod(F.col("place"), F.lit(CALIBRATES)) == 0
-    found = cut(sample.where(~calibrates).select("label", "text").mapInArrow(_training_windows, "label int, window binary").distinct())
-    parts = [[bytes(r["window"]) for r in found.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window").limit(MOST_WINDOWS).select("window").collect()] for label in (0, 1)]
-    dictionaries = train_dictionaries(*parts)
-    shared = sample.sparkSession.sparkContext.broadcast(dictionaries)
-    rows = sample.where(calibrates).select("place", "label", "text").mapInArrow(_training_evidence(shared), "place long, label int, saved long, n long").collect()
-    rows.sort(key=lambda r: tuple(r))
-    slope, intercept = calibrate(_evidence([r["saved"] for r in rows], [r["n"] for r in rows]), np.array([r["label"] for r in rows], float))
-    return dictionaries, slope, intercept
+    windows of each label, each with its part of the sample, come to the driver, and two numbers for each row."""
+    rows = sample.select("place", F.pmod("place", F.lit(FOLDS)).cast("int").alias("fold"), "label", "text")
+    found = rows.select("fold", "label", "text").mapInArrow(_training_windows, "fold int, label int, window binary")
+    found = cut(found.groupBy("label", "window").agg(F.collect_set("fold").alias("folds")))
+    parts = [[(bytes(r["window"]), r["folds"]) for r in found.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window").limit(MOST_WINDOWS).collect()] for label in (0, 1)]
+    # without a part: without all windows that it has
+    without = [train_dictionaries(*([w for w, folds in part if fold not in folds] for part in parts)) for fold in range(FOLDS)]
+    shared = sample.sparkSession.sparkContext.broadcast(without)
+    seen = rows.mapInArrow(_training_evidence(shared), "place long, label int, saved long, n long").collect()
+    seen.sort(key=lambda r: tuple(r))
+    slope, intercept = calibrate(_evidence([r["saved"] for r in seen], [r["n"] for r in seen]), np.array([r["label"] for r in seen], float))
+    return train_dictionaries(*([w for w, _ in part] for part in parts)), slope, intercept
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: dict[int, int] | None = None) -> DataFrame:
