@@ -57,10 +57,27 @@ def test_decontamination(spark, monkeypatch):
     e = spark.createDataFrame([("a needle in the hay",), ("here " + "x" * 40 + "needle in the hay" + "y" * 40 + " there",)], "text string")
     assert rows(prep.drop_contained(d, e).select("id"), "id") == [(3,), (4,), (5,)]
     monkeypatch.setattr(prep, "BROADCAST_BYTES", 0)
-    assert rows(prep.drop_contained(d, e).select("id"), "id") == [(3,), (4,), (5,)]
+    for keys in (1_000_000, 0):
+        monkeypatch.setattr(prep, "BROADCAST_KEYS", keys)
+        assert rows(prep.drop_contained(d, e).select("id"), "id") == [(3,), (4,), (5,)]
     assert rows(prep.drop_exact(d, spark.createDataFrame([("needle",)], "text string")).select("id"), "id") == [(1,), (3,), (4,), (5,)]
 
 
+@pytest.mark.parametrize("keys", [1_000_000, 0])
+def test_contained_texts_by_brute_force(spark, monkeypatch, keys):
+    """Common openings, texts of a piece's length and around it, repeats, empty texts and nulls."""
+    monkeypatch.setattr(prep, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(prep, "BROADCAST_KEYS", keys)
+    rng = np.random.default_rng(5)
+    opening = "Let x and y be real numbers such that "
+    prompts = [opening + "".join(rng.choice(list("abé "), rng.integers(0, 80))) for _ in range(60)] + ["short", "", None]
+    cuts = [(p or "")[a : a + n] for p in prompts for a, n in zip(rng.integers(0, 60, 4), rng.integers(0, 100, 4))]
+    texts = [*cuts, *(c + "#" for c in cuts[:40]), *prompts, opening, opening + "z" * 40, None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, problem string")
+    got = {r[0] for r in prep.drop_contained(d, spark.createDataFrame([(p,) for p in prompts], "text string")).select("id").collect()}
+    assert got == {i for i, t in enumerate(texts) if t is None or not any(t in p for p in prompts if p is not None)}
+
+
 def test_splits_and_order(spark):
     d = spark.createDataFrame([("AIME-1",), ("12",), (None,)], "id string")
     hit, rest = prep.split_by_pattern(d, "id", "aime")

@@ -31,15 +31,20 @@ def normalize_answer(s: Column, profile: str = "analysis", strict: bool = False)
     form; commas between thousands go where there are no brackets; white space becomes one blank. After the second
     argument of a line's first \\frac the rest of the line is lost, and so are units, unless strict.
     """
-    x = let(strip(s), lambda v: F.when(v.contains("\\"), _latex(v, profile, strict)).otherwise(v))
+    # most answers are plain, and stay as they are
+    x = let(strip(s), lambda v: F.when(v.rlike(r"\A[0-9A-Za-z.+/-]*+\z"), v).otherwise(_normalized(v, profile, strict)))
+    return F.when(s.isNull() | (s == "") | (s == "nan"), s).otherwise(x)
+
+
+def _normalized(x: Column, profile: str, strict: bool) -> Column:
+    x = F.when(x.contains("\\"), _latex(x, profile, strict)).otherwise(x)
     x = let(x, lambda v: F.when(v.contains("_"), _cut(v, rf"(?d)_\{{?\p{{Nd}}+\}}?{SPACE}*$")).otherwise(v))
     x = let(x, lambda v: F.when(v.contains("="), _cut(v, rf"^[a-zA-Z]{SPACE}*={SPACE}*")).otherwise(v))
     x = let(x, lambda v: F.when(v.startswith("("), F.regexp_replace(v, r"(?d)\A\(([A-Za-z])\)$", "$1")).otherwise(v))
     x = let(x, lambda v: F.when(v.contains("\\"), _full_forms(v, strict)).otherwise(v))
     commas = lambda v: F.regexp_replace(v, r"(?d)(?<=\p{Nd}),(?=\p{Nd}{3}(?:\P{Nd}|$))", "")
     x = let(x, lambda v: F.when(v.contains(",") & ~v.rlike(r"[()\[\]\\]"), commas(v)).otherwise(v))
-    x = strip(F.regexp_replace(x, rf"{SPACE}+", " "))
-    return F.when(s.isNull() | (s == "") | (s == "nan"), s).otherwise(x)
+    return strip(F.regexp_replace(x, rf"{SPACE}+", " "))
 
 
 def _latex(x: Column, profile: str, strict: bool) -> Column:

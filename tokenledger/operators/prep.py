@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 #: Bytes up to which the evaluation prompts of the substring test are broadcast.
 BROADCAST_BYTES = 1 << 20
-#: Characters of a piece of the substring test.
+#: Characters of a piece of the substring test, and pieces of all texts up to which their hashes are broadcast.
 PIECE = 32
+BROADCAST_KEYS = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -88,11 +89,15 @@ def contained_texts(texts: DataFrame, prompts: DataFrame) -> DataFrame:
     asked = prompts.select(F.xxhash64("_prompt").alias("_pid"), "_prompt")
     places = F.sequence(F.lit(1), F.greatest(F.char_length("_prompt") - PIECE + 1, F.lit(1)))
     keys = asked.select("_pid", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr("_prompt", i, F.lit(PIECE)))))).alias("_key"))
-    counts = keys.groupBy("_key").agg(F.count("*").alias("_n"))
     n = F.char_length("_text")
     starts = F.array_union(F.sequence(F.lit(1), n - PIECE + 1, F.lit(PIECE)), F.array(n - PIECE + 1))
     long = texts.where(n >= PIECE).select(F.xxhash64("_text").alias("_tid"), "_text")
     cut_up = long.select("_tid", F.explode(F.transform(starts, lambda i: F.xxhash64(F.substr("_text", i, F.lit(PIECE))))).alias("_key"))
+    wanted = cut_up.select("_key").distinct()
+    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        # only places where a piece of a text could start leave their task
+        keys = keys.join(F.broadcast(wanted), "_key", "left_semi")
+    counts = keys.groupBy("_key").agg(F.count("*").alias("_n"))
     rarest = cut_up.join(counts, "_key", "left").groupBy("_tid").agg(F.min_by("_key", F.struct("_n", "_key")).alias("_key"), F.count_if(F.col("_n").isNull()).alias("_lacks"))
     pairs = rarest.where("_lacks = 0").join(keys, "_key").select("_tid", "_pid").distinct()
     far = pairs.join(long, "_tid").join(asked, "_pid").where(F.col("_prompt").contains(F.col("_text"))).select("_text")
