@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tokenledger.llm import simhash
+from tokenledger.llm import components, simhash
 from tokenledger.llm.simhash import drop_near_duplicates, near_duplicate_components, star_links
 from tokenledger.llm.substring_dedup import _packed, _unpacked, remove_repeated_windows
 
@@ -170,3 +170,25 @@ def test_more_blocks_link_the_same(spark, monkeypatch):
         monkeypatch.setattr(simhash, "_blocks_for", lambda n, bits: blocks)
         got = near_duplicate_components(df)
         assert sorted(((r[0], r[1] % 2**64, r[2]) for r in got.collect()), key=repr) == want
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components_of_any_graph(spark, monkeypatch, most):
+    """One task and rounds over all of them find the same components: chains, stars, repeats, loops, null labels."""
+    monkeypatch.setattr(components, "LOCAL_EDGES", most)
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, 200 + i) for i in range(1, 40)] + [(300, 300), (301, 302), (302, 301), (301, 302)]
+    edges += [(r.randint(400, 500), r.randint(400, 500)) for _ in range(60)]
+    names = sorted({x for e in edges for x in e})
+    label = {x: None if x in (302, 130) else 10_000 - x for x in names}
+    group = {x: x for x in names}
+    for _ in names:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    want = {}
+    for x in names:
+        if any(x in e and e[0] != e[1] for e in edges):
+            want[x] = min((label[y] for y in names if group[y] == group[x] and label[y] is not None), default=None)
+    got = components.smallest_reachable(spark.createDataFrame(list(label.items()), "node long, label long"), spark.createDataFrame(edges, "a long, b long"))
+    assert {x["node"]: x["label"] for x in got.collect()} == want
+    assert components.smallest_reachable(spark.createDataFrame([], "node long, label long"), spark.createDataFrame([], "a long, b long")).count() == 0

@@ -152,20 +152,31 @@ def _bags(batches):
         yield pa.RecordBatch.from_arrays(columns, ["place", "id", "label", "ids", "share"])
 
 
-def trained(sample: DataFrame) -> SubwordClassifier:
-    """A classifier fitted to labelled_sample()'s rows. Bags come to the driver, not texts: BUCKETS entries of 6 bytes
-    a row at most, for as many rows as the sample has."""
+def _fit(batches):
+    forget()
+    rows = [r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))]
+    rows.sort(key=lambda r: r[:2])
+    bags = [(np.frombuffer(ids, np.uint16), np.frombuffer(share, np.float32)) for _, _, _, ids, share in rows]
+    weights, bias = SubwordClassifier().fit(bags, [r[2] for r in rows]).weights()
+    yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype("<f4").tobytes()], pa.binary()), "bias": pa.array([bias])})
+
+
+def trained(sample: DataFrame) -> tuple[np.ndarray, float]:
+    """What each bucket adds to the log odds, and those of an empty text, by a classifier fitted to labelled_sample()'s
+    rows. Bags are made where the texts are; one task fits them, of BUCKETS entries of 6 bytes a row at most, for as many
+    rows as the sample has. Only the weights come to the driver."""
     kind = sample.schema["id"].dataType.simpleString()
-    rows = sample.select("place", "id", "label", "text").mapInArrow(_bags, f"place long, id {kind}, label int, ids binary, share binary").collect()
-    rows.sort(key=lambda r: (r["place"], r["id"]))
-    bags = [(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["share"], np.float32)) for r in rows]
-    return SubwordClassifier().fit(bags, [r["label"] for r in rows])
+    bags = sample.select("place", "id", "label", "text").mapInArrow(_bags, f"place long, id {kind}, label int, ids binary, share binary")
+    found = bags.repartition(1).mapInArrow(_fit, "weights binary, bias double").first()
+    if found is None:
+        weights, bias = SubwordClassifier().weights()
+        return weights.astype(np.float32), bias
+    return np.frombuffer(bytes(found["weights"]), "<f4"), found["bias"]
 
 
 def quality_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: dict[int, int] | None = None) -> Column:
     """The score of a text column of docs, by a classifier trained on its labelled rows."""
-    weights, bias = trained(labelled_sample(docs, labels, label_col, sample or SAMPLE, id_col, text_col)).weights()
-    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
+    shared = docs.sparkSession.sparkContext.broadcast(trained(labelled_sample(docs, labels, label_col, sample or SAMPLE, id_col, text_col)))
 
     @F.arrow_udf("double")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
