@@ -36,6 +36,7 @@ def test_blocks_of_a_page():
 def test_text_that_markup_does_not_hide():
     assert text_of("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><select><option>one</option></select><svg><text>drawn</text></svg></article>") == "so x=2 holds\none\ndrawn"
     assert text_of('<article><p class="share-price">Shares rose.</p><div class="notice-period">One month.</div><div class="article-header">Title</div></article>') == "Shares rose.\nOne month.\nTitle"
+    assert text_of('<article><div class="ad-unit-3">Buy</div><ul class="nav_primary_items"><li>Home</ul><div class="userComments comment-body">Troll</div><p>x</article>') == "x"
     assert text_of('<article><p class="share">Tell all</p><div class="related-posts">More</div><div id="ad_1">Buy</div><p>Text.</article>') == "Text."
     # a quote that is never closed is none; a tag that the end cuts off is no text
     assert text_of('<article><p class="x>Hello world</p><p>more</article>') == "Hello world\nmore"

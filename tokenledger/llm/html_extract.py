@@ -48,8 +48,10 @@ _ASIDE = frozenset("nav header footer aside form button dialog menu head fieldse
 _BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _ARTICLES = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that name something other than main text, and words that go with them.
+#: Words in class, id or role that name something other than main text; those of them that, beside another
+#: word, may name something else ("share-price"); and words beside which they may not.
 _LABELS = frozenset("ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+_DOUBTFUL = frozenset("alert banner complementary header notice notices related replies share sharing social".split())
 _NEUTRAL = frozenset("area bar bars block bottom box button buttons container dialog fixed form global group holder icons inner item items left link links list message outer page panel policy post posts primary reader right row secondary section site slot sticky strip thread top user view wrap wrapper".split())
 _NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
@@ -59,14 +61,13 @@ _PART = re.compile(r"[A-Za-z]+")
 
 
 def label(attributes: str) -> int:
-    """What an element's class, id and role say: OTHER if one of their words names boilerplate outright, OPEN if one
-    only has such a name in it, else MAIN."""
+    """What an element's class, id and role say: OTHER if one of their words names boilerplate, OPEN if it may, else MAIN."""
     found = MAIN
     for groups in _ATTRIBUTE.findall(attributes):
         for word in "".join(groups).lower().split():
             parts = _PART.findall(word)
             if any(p in _LABELS for p in parts):
-                if all(p in _LABELS or p in _NEUTRAL for p in parts):
+                if any(p in _LABELS and p not in _DOUBTFUL for p in parts) or all(p in _LABELS or p in _NEUTRAL for p in parts):
                     return OTHER
                 found = OPEN
     return found
