@@ -134,6 +134,7 @@ def test_token_counts(spark, monkeypatch, most):
 def test_one_pass_encodes_and_decodes(spark):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate([*TEXTS, "ab é " * 50_000])], "doc_id int, text string, decoded string").withColumn("both", F.lit(7))
     out = encode_texts(df, PATH, public_tokenizers.PATTERN, decode=True)
-    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert out._jdf.queryExecution().executedPlan().toString().count("InArrow") == 1
+    assert encode_texts(df, PATH, public_tokenizers.PATTERN, keep_text=False).columns == ["doc_id", "decoded", "both", "n_tokens", "token_ids"]
     assert out.columns == ["doc_id", "text", "both", "n_tokens", "token_ids", "decoded"]
     assert all(r["decoded"] == (r["text"] or "") and r["both"] == 7 and r["n_tokens"] * 4 == len(r["token_ids"]) for r in out.collect())

@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import forget, kept, slices, unused, utf8, with_results
+from .common import forget, kept, slices, utf8, with_fields, with_results
 
 #: Most entries of a worker's caches (results don't depend on them): states start anew, pieces are kept in two
 #: generations, and of pairs the first stay.
@@ -265,37 +266,41 @@ class StreamDecoder:
         return self.machine.decode(b"", True)
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", decode: bool = False) -> DataFrame:
+def _in_slices(batches, column: str):
+    for batch in batches:
+        for first, beyond in slices(utf8(batch.column(batch.schema.get_field_index(column)))[1], SLICE_BYTES):
+            yield batch.slice(first, beyond - first)
+
+
+def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", decode: bool = False, keep_text: bool = True) -> DataFrame:
     """docs with n_tokens (long) and token_ids (binary: little-endian unsigned 32-bit ids) of the whole text, and, if
     asked for, decoded: what the ids give again.
 
     Each match of pattern is encoded by itself; special tokens are ordinary text. A null text counts as empty and has no
     tokens. Texts may be of any length; equal texts have equal ids, and repeated rows stay. Columns named like a result
-    are replaced, all others stay. An empty table gives an empty table. The ranks (one vocabulary file of a fixed
-    size) travel with the task; only texts go to Python, and only results come back.
+    are replaced, all others stay, but for the text if keep_text is false, which spares its way back from Python. An
+    empty table gives an empty table. The ranks (one vocabulary file of a fixed size) travel with the task. Results
+    leave a task in slices of about SLICE_BYTES of text.
     """
-    ranks, name = docs.sparkSession.sparkContext.broadcast(read_ranks(path)), f"{path} {pattern}"
+    kept_fields = docs if keep_text else docs.drop(text_col)
+    schema = with_fields(kept_fields, ("n_tokens", T.LongType()), ("token_ids", T.BinaryType()), *[("decoded", T.StringType())] * decode)
+    names, ranks = schema.names, docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    name = f"{path} {pattern}"
 
-    @F.arrow_udf("struct<ids:binary,decoded:string>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
         pieces = kept(name, lambda: Pieces(Transducer(ranks.value)))
         get = pieces.__getitem__
-        for batch in batches:
-            packed, texts = [], []
-            for first, beyond in slices(utf8(batch)[1], SLICE_BYTES):
-                part = [b"".join(map(get, find(text))) if text else b"" for text in batch.slice(first, beyond - first).to_pylist()]
-                packed.append(pa.array(part, pa.binary()))
-                texts.append(pa.array([_decoded(x, pieces.transducer.bytes) if decode else None for x in part], pa.string()))
-            yield pa.StructArray.from_arrays([pa.concat_arrays(packed) if packed else pa.array([], pa.binary()), pa.concat_arrays(texts) if texts else pa.array([], pa.string())], names=["ids", "decoded"])
-
-    both = unused(docs, "both")
-    out = docs.withColumn(both, encode(F.col(text_col)))
-    ids, text = F.col(f"{both}.ids"), F.col(f"{both}.decoded")
-    more = {"decoded": text} if decode else {}
-    return with_results(out, n_tokens=F.floor(F.octet_length(ids) / 4).cast("long"), token_ids=ids, **more).drop(both)
+        for batch in _in_slices(batches, text_col):
+            packed = [b"".join(map(get, find(text))) if text else b"" for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            new = {"n_tokens": pa.array([len(x) // 4 for x in packed], pa.int64()), "token_ids": pa.array(packed, pa.binary())}
+            if decode:
+                new["decoded"] = pa.array([_decoded(x, pieces.transducer.bytes) for x in packed], pa.string())
+            yield pa.RecordBatch.from_arrays([new[n] if n in new else batch.column(batch.schema.get_field_index(n)) for n in names], names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def _decoded(packed: bytes | None, tokens: dict[int, bytes], block: int = 65_536) -> str:

@@ -105,7 +105,7 @@ SELECT doc_id, n_words, CAST(chars - c4 AS BIGINT) AS word_chars, CAST(c3 AS BIG
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
-    rows = encode_texts(_table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    rows = encode_texts(_table(spark, folder, "documents", "doc_id", "text"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True, keep_text=False)
     return rows.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
