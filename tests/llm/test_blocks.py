@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tokenledger.llm import common, html_extract, mixing, quality_rules, topk
+from tokenledger.llm import common, html_extract, line_dedup, mixing, quality_rules, topk
 from tokenledger.llm.html_extract import OPEN, blocks, extract_main_text, main_text, repeated_in, suffix_order
 from tokenledger.llm.mixing import mix_plan, mixed_documents
 from tokenledger.llm.topk import exact_top_k
@@ -328,7 +328,7 @@ def test_pipeline(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
-@pytest.mark.parametrize("name", ["op1_substring_dedup", "op5_quality_rules", "op8_exact_top_k"])
+@pytest.mark.parametrize("name", ["op1_substring_dedup", "op5_quality_rules", "op8_exact_top_k", "op11_fill_in_middle", "op12_line_dedup", "op13_source_divergence"])
 def test_queries_against_sql(spark, name):
     import duckdb
 
@@ -353,9 +353,9 @@ def test_native_operators_have_no_python(spark, monkeypatch):
         seen.append(df._jdf.queryExecution().executedPlan().toString())
         return cut(df)
 
-    for module in (mixing, quality_rules):
+    for module in (line_dedup, mixing, quality_rules):
         if hasattr(module, "cut"):
             monkeypatch.setattr(module, "cut", looked_at)
-    for name in ("op5_quality_rules", "op10_mixing"):
+    for name in ("op5_quality_rules", "op10_mixing", "op12_line_dedup"):
         seen.append(queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString())
     assert len(seen) > 4 and not any("Python" in plan or "Arrow" in plan for plan in seen)

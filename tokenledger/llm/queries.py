@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_bpe import encode_texts
+from .divergence import audit_sources
+from .fill_middle import fill_in_middle, restored
 from .html_extract import extract_main_text
+from .line_dedup import drop_frequent_lines
 from .mixing import mix_plan
 from .quality_classifier import score_quality
 from .quality_rules import CLASSES, COMMON_WORDS, LEAST_WORDS, MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE, judge
@@ -138,6 +141,67 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_in_middle(_table(spark, folder, "documents", "doc_id", "text"), keep_text=False)
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def _number(i: int) -> str:
+    """The i-th 8-digit group of the hex digest h, as a whole number."""
+    return " + ".join(f"(instr('123456789abcdef', h[{8 * i + k + 1}]) * {16 ** (7 - k)}::BIGINT)" for k in range(8))
+
+
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units, sha256('7:' || doc_id) AS h FROM documents),
+draws AS (SELECT *, CAST(len(units) AS BIGINT) AS n, {_number(0)} AS h1, {_number(1)} AS h2, {_number(2)} AS h3, {_number(3)} AS h4 FROM d),
+formed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM formed),
+cut AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM parts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM cut
+"""
+
+
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = drop_frequent_lines(_table(spark, folder, "documents", "doc_id", "text"), least_docs=10, least_chars=1)
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_OP12 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (often.key IS NOT NULL) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (often.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN often USING (key) GROUP BY doc_id
+"""
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return audit_sources(_table(spark, folder, "documents", "text", "lang", "source"), least_docs=3, most_terms=200)
+
+
+_OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+t AS (SELECT doc_id, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3),
+vocabulary AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL) USING (lang, source)),
+p AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n, 1 + (1000000000 * (coalesce(own.n, 0) + 1)::HUGEINT) // (g.total + v) AS p, 1 + (1000000000 * (k.n + 1)::HUGEINT) // (vocabulary.total + v) AS q
+  FROM g JOIN kept k USING (lang) JOIN vocabulary USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+  ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+parts AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pair UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT) FROM term),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -149,10 +213,16 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES = {
     "op1_substring_dedup": _OP1,
     "op5_quality_rules": _OP5,
     "op8_exact_top_k": _OP8,
+    "op11_fill_in_middle": _OP11,
+    "op12_line_dedup": _OP12,
+    "op13_source_divergence": _OP13,
 }
