@@ -173,9 +173,10 @@ def test_network_learns(spark):
 
 
 def test_half_precision(spark):
-    v = [0.1, 1 / 3, 65504.0, 1e-7, -2.5, 0.0]
+    v = [0.1, 1 / 3, 65504.0, 1e-7, -2.5, 0.0, -0.0, -1e-9]
     got = spark.createDataFrame([(v,)], "v array<double>").select(V.half_precision(F.col("v"))).first()[0]
-    assert np.array_equal(np.array(got, np.float32), np.array(v).astype(np.float16).astype(np.float32))
+    want = np.array(v).astype(np.float16).astype(np.float32)
+    assert np.array_equal(np.array(got, np.float32), want) and np.array_equal(np.signbit(got), np.signbit(want))
 
 
 def test_sources_and_sinks(spark, tmp_path):

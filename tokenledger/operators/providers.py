@@ -24,7 +24,8 @@ def stub_embed(size: int) -> Embed:
     """A stand-in for hidden states: numbers that depend on the text alone, rounded to 16 bits."""
 
     def run(texts: list[str]) -> np.ndarray:
-        rows = [np.frombuffer(hashlib.shake_256(t.encode()).digest(size), np.uint8) / 255 - 0.5 for t in texts]
+        digest = lambda t: b"".join(hashlib.sha256(f"{k}:{t}".encode()).digest() for k in range(-(-size // 32)))
+        rows = [np.frombuffer(digest(t), np.uint8, size) / 255 - 0.5 for t in texts]
         return np.array(rows, np.float16).astype(np.float32).reshape(len(texts), size)
 
     return run

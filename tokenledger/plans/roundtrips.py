@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,10 +165,12 @@ def q_training_matrix(spark, d):
     return lifecycle.training_matrix(r).select("question_id", "hidden", "y")
 
 
-@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents")
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n, count(*) OVER (PARTITION BY text) AS sharing FROM documents")
 def q_once_per_text(spark, d):
-    stage = lambda texts: texts.withColumn("n", F.char_length("text"))
-    return joins.once_per_text(table(spark, d, "documents").select("doc_id", "text"), "text", stage).select("doc_id", "n")
+    """Documents with their text's length, and how many of them share the call that gave it."""
+    stage = lambda texts: texts.select("text", F.char_length("text").alias("n"), F.monotonically_increasing_id().alias("call"))
+    found = joins.once_per_text(table(spark, d, "documents").select("doc_id", "text"), "text", stage)
+    return found.select("doc_id", "n", F.count(F.lit(1)).over(Window.partitionBy("call")).alias("sharing"))
 
 
 @query("SELECT DISTINCT lang FROM documents")
@@ -194,12 +196,18 @@ def q_duplicate_keys(spark, d):
     return validate.duplicate_keys(r, "question_id", "target_think_tokens")
 
 
-@query("SELECT id, true AS whole FROM problems")
+@query("SELECT id, true AS once, true AS as_the_rule, true AS near_share FROM problems")
 def q_hash_split(spark, d):
+    """Each problem is in exactly one part, in that its hash says, and reruns agree; the part held out is near its share."""
     p = views.problems(spark, d).select("id")
-    held, rest = prep.hash_split(p, "id", 0.2)
-    apart = held.join(rest, "id", "left_anti").unionAll(rest.join(held, "id", "left_anti"))
-    return prep.shuffled(apart, "id", 3).select("id", F.lit(True).alias("whole"))
+    (held, rest), (again, _) = prep.hash_split(p, "id", 0.2), prep.hash_split(p, "id", 0.2)
+    parts = held.withColumn("held", F.lit(1)).unionAll(rest.withColumn("held", F.lit(0))).unionAll(again.withColumn("held", F.lit(2)))
+    places = parts.groupBy("id").agg(F.array_sort(F.collect_list("held")).alias("parts"))
+    rule = F.when(F.pmod(F.xxhash64("id", F.lit(0)), F.lit(1_000_000)) < 200_000, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
+    share = held.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(p.agg(F.count(F.lit(1)).alias("total"))))  # a row beside a row
+    near = share.select((F.abs(F.col("n") / F.col("total") - 0.2) < 0.05).alias("near_share"))
+    checked = p.join(places, "id", "left").join(F.broadcast(near))
+    return prep.shuffled(checked, "id", 3).select("id", (F.size("parts") < 3).alias("once"), (F.col("parts") == rule).alias("as_the_rule"), "near_share")
 
 
 # Text.
@@ -271,12 +279,17 @@ def q_functions_in_sql(spark, d):
 # Vectors.
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(trunc(100 + i * 4900 / 19.0) AS INTEGER) AS budget FROM range(20) t(i)")
+@query("""
+SELECT row_idx, min(b) AS budget, count(*) AS budgets_left FROM runs JOIN (SELECT CAST(trunc(100 + i * 4900 / 19.0) AS INTEGER) AS b FROM range(20) t(i)) ON b >= generated_think_tokens GROUP BY row_idx
+UNION ALL SELECT row_idx, NULL, 0 FROM runs WHERE generated_think_tokens > 5000
+""")
 def q_truncated_grid(spark, d):
-    return tables.inline(spark, list(enumerate(V.truncated_grid(100, 5000, 20))), "i int, budget int")
+    """The least budget of a truncated grid that each run's tokens fit in, and how many of its budgets they fit in."""
+    enough = F.filter(F.array(*map(F.lit, V.truncated_grid(100, 5000, 20))), lambda b: b >= F.col("generated_think_tokens"))
+    return views.runs(spark, d).select("row_idx", F.get(enough, F.lit(0)).cast("int").alias("budget"), F.size(enough).cast("long").alias("budgets_left"))
 
 
-@query("SELECT row_idx, [CAST((row_idx % 2048) / 1024.0 AS FLOAT), CAST(-(row_idx % 2048) AS FLOAT)] AS v FROM runs")
+@query("SELECT row_idx, [CAST((row_idx % 2048) / 1024.0 AS FLOAT), -CAST(row_idx % 2048 AS FLOAT)] AS v FROM runs")
 def q_half_precision(spark, d):
     n = (F.col("row_idx") % 2048).cast("double")
     # what 16 bits can hold stays; a trace too small for them goes
@@ -307,10 +320,12 @@ def q_trained_network(spark, d):
     return right.agg(*((F.avg(F.get("r", F.lit(i))) > 0.9).alias(n) for i, n in enumerate(("first_learnt", "second_learnt"))))
 
 
-@query("SELECT doc_id, true AS same FROM documents")
+@query("""
+SELECT doc_id, list_transform(range(16), lambda i: (instr('123456789abcdef', h[2 * i + 1]) * 16 + instr('123456789abcdef', h[2 * i + 2]))::INTEGER) AS hidden
+FROM (SELECT doc_id, sha256('0:' || coalesce(text, '')) AS h FROM documents)
+""")
 def q_embedded_once(spark, d):
-    """Stand-ins for hidden states: a vector for every row, the same for the same text, in 16 bits."""
+    """Stand-ins for hidden states, a vector for every row: bytes of a hash of its text, as 16-bit fractions."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("prompt"))
     v = providers.embedded(docs, lambda: providers.stub_embed(16))
-    exact = F.forall(V.half_precision(F.col("hidden")), lambda x: F.abs(x) <= 0.5) & (V.half_precision(F.col("hidden")) == F.col("hidden"))
-    return v.select("doc_id", ((F.size("hidden") == 16) & exact).alias("same"))
+    return v.select("doc_id", F.transform(V.half_precision(F.col("hidden")), lambda x: F.round((x + 0.5) * 255).cast("int")).alias("hidden"))
