@@ -46,6 +46,15 @@ def test_extraction(spark):
         assert over(spark, lambda s: X.extract_answer(s, "analysis", native), *texts) == [t[3] for t in EXTRACTION]
 
 
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["\\boxed{", "\\\\boxed{", "{", "}", "}", "$", "####", "# ", " ", "\n", "\n", "\t", "7", "-2.5", "x", "é", "\r", "\\text{", "٣"]), max_size=25).map("".join), min_size=1, max_size=80))
+def test_one_scan_and_built_in_functions_agree(spark, texts):
+    for profile in X.PROFILES:
+        want = over(spark, lambda s: X.extract_answer(s, profile, True), *((t,) for t in texts))  # noqa: B023
+        assert [X.scan_answer(t, profile) for t in texts] == want
+    assert over(spark, X.extract_answer, *((t,) for t in texts)) == want
+
+
 def brute_box(text):
     """The last box whose braces balance, found character by character from each box on."""
     for m in reversed(list(re.finditer(r"\\{1,2}boxed\{", text or ""))):
@@ -144,6 +153,33 @@ SYMBOLIC = [
 ]
 
 
+#: What takes more than multiplying out: powers and lengths without a bound, functions, roots of any order.
+IDENTITIES = [
+    ("(x+1)^40", "(1+x)^40", True), ("(x+1)^{10000}", "(1+x)^{9999}(x+1)", True), ("(x+1)^{40}", "x^{40}+1", False), (r"\sin(x)", r"\sin x", True), (r"\sin^2 x", r"(\sin x)^2", True),
+    (r"\sin 2x", r"2\sin x", False), (r"\sin x\cos x", r"\cos x\sin x", True), (r"\log_2 8", r"\log_{2}(8)", True), (r"\log_2 8", r"\log 8", False), (r"\sqrt2\sqrt3", r"\sqrt6", True),
+    (r"\sqrt{x}^2", "x", True), (r"\sqrt{x^2}", "x", False), (r"\sqrt{4x}", r"2\sqrt{x}", True), (r"\sqrt[3]{8}", "2", True), ("x^{1/2}", r"\sqrt{x}", True), (r"\sqrt{\frac12}", r"\frac1{\sqrt2}", True),
+    (r"\sqrt{12}+\sqrt{3}", r"3\sqrt{3}", True), ("a_1+b", "b+a_{1}", True), ("a_1", "a_2", False), (r"\frac{1}{x-x}", "1", False), ("2^x", "x^2", False), (r"e^{x}\pi", r"\pi e^x", True),
+    ("9^{9^{9^9}}", "9^{9^{9^9}}", True), ("x-y", "-(y-x)", True), (r"\sqrt{x+1}\sqrt{x+1}", "x+1", True), (r"\frac{x+1}{x+1}", "1", True), ("2+3i", "3i+2", True), (r"x\text{ cm}", "x", False),
+    ("+".join(f"x^{{{i}}}" for i in range(500)), "+".join(f"x^{{{i}}}" for i in reversed(range(500))), True), ("+".join("xy" for _ in range(3000)), "3000xy", True), ("+".join("xy" for _ in range(3000)), "3001xy", False),
+    (r"\sqrt{11}+\sqrt{13}+\sqrt{17}+\sqrt{19}", r"\sqrt{19}+\sqrt{17}+\sqrt{13}+\sqrt{11}", True), ("(" * 3000, ")", False), ("--x", "x", True), ("x+", "x", False),
+]
+
+
+def test_symbolic_identities():
+    assert [(a[:40], b[:40], symbolically_equal(a, b)) for a, b, _ in IDENTITIES] == [(a[:40], b[:40], w) for a, b, w in IDENTITIES]
+    assert all(symbolically_equal(b, a) == w for a, b, w in IDENTITIES)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(-9, 9), min_size=1, max_size=5), st.lists(st.integers(-9, 9), min_size=1, max_size=5))
+def test_products_of_polynomials(p, q):
+    """A product written out against its factors, and against a neighbour of itself."""
+    written = lambda c: "+".join(f"({x})x^{{{i}}}" for i, x in enumerate(c))
+    product = [sum(p[i] * q[k - i] for i in range(len(p)) if 0 <= k - i < len(q)) for k in range(len(p) + len(q) - 1)]
+    assert symbolically_equal(f"({written(p)})({written(q)})", written(product))
+    assert not symbolically_equal(f"({written(p)})({written(q)})", written([product[0] + 1, *product[1:]]))
+
+
 def test_symbolic_equality(spark):
     assert [symbolically_equal(a, b) for a, b, _ in SYMBOLIC] == [w for _, _, w in SYMBOLIC]
     got = over(spark, lambda a, b: A.equivalent(a, b, symbolic=symbolic_equal), (r"\frac{11+9a}{20}", r"\frac{9a+11}{20}"), ("a+b", "b-a"), (None, "x"))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .symbolic import symbolic_equal, symbolic_or
 from .text import LEVELS, SPACE, extract_answer, let, nested, strip
 
 #: The two arguments of a \frac, each in braces or one character, where braces balance within LEVELS.
 _ARGUMENT = rf"(?:\{{({nested(LEVELS)})\}}|([^{{ ]))"
 _ARGUMENTS = rf"(?s)\A *+{_ARGUMENT} *+{_ARGUMENT}"
+#: Texts that are their own normal form, once stripped.
+_PLAIN = r"\A[0-9A-Za-z.+/-]*+\z"
 _UNIT = r"\\(?:text|mbox|textbf|mathrm)\{"
 
 
@@ -32,7 +35,7 @@ def normalize_answer(s: Column, profile: str = "analysis", strict: bool = False)
     argument of a line's first \\frac the rest of the line is lost, and so are units, unless strict.
     """
     # most answers are plain, and stay as they are
-    x = let(strip(s), lambda v: F.when(v.rlike(r"\A[0-9A-Za-z.+/-]*+\z"), v).otherwise(_normalized(v, profile, strict)))
+    x = let(strip(s), lambda v: F.when(v.rlike(_PLAIN), v).otherwise(_normalized(v, profile, strict)))
     return F.when(s.isNull() | (s == "") | (s == "nan"), s).otherwise(x)
 
 
@@ -144,29 +147,45 @@ def same_value(a: Column, b: Column) -> Column:
 def equivalent(expected: Column, generated: Column, profile: str = "analysis", strict: bool = False, symbolic=None) -> Column:
     """Whether two answers are the same once normalized: as texts, without blanks, as sets or as values.
 
-    A null is the text "None". symbolic: a function of two columns that decides the rest; by default nothing does.
+    A null is the text "None". Equal texts are the same at once; two plain ones can only be the same value. symbolic: a function of
+    two columns that decides the rest, from normal forms (null where it is decided already); by default nothing does.
     """
-    forms = F.struct(*(normalize_answer(F.coalesce(x.cast("string"), F.lit("None")), profile, strict).alias(n) for n, x in (("a", expected), ("b", generated))))
+    texts = F.struct(*(F.coalesce(x.cast("string"), F.lit("None")).alias(n) for n, x in (("a", expected), ("b", generated))))
     bare = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    same = let(forms, lambda f: (bare(f["a"]) == bare(f["b"])) | F.coalesce(answer_set(f["a"]) == answer_set(f["b"]), F.lit(False)) | same_value(f["a"], f["b"]))
+
+    def same(f: Column) -> Column:
+        sets = F.when(f["a"].contains(",") & f["b"].contains(","), F.coalesce(answer_set(f["a"]) == answer_set(f["b"]), F.lit(False))).otherwise(F.lit(False))
+        return (bare(f["a"]) == bare(f["b"])) | sets | same_value(f["a"], f["b"])
+
+    def forms(t: Column) -> Column:
+        return F.struct(*(normalize_answer(t[n], profile, strict).alias(n) for n in ("a", "b")))
+
+    def plain_value(t: Column) -> Column:
+        digits = r"\A[0-9]{1,15}\z"
+        return F.when(t["a"].rlike(digits) & t["b"].rlike(digits), t["a"].cast("long") == t["b"].cast("long")).otherwise(same_value(t["a"], t["b"]))
+
+    def decided(t: Column) -> Column:
+        return F.when(t["a"] == t["b"], F.lit(True)).when(t["a"].rlike(_PLAIN) & t["b"].rlike(_PLAIN), plain_value(t)).otherwise(let(forms(t), same))
+
     if symbolic is None:
-        return same
-    # what decides the rest may be Python's, which a let cannot hold
-    a, b = (normalize_answer(F.coalesce(x.cast("string"), F.lit("None")), profile, strict) for x in (expected, generated))
-    return same | F.coalesce(symbolic(a, b), F.lit(False))
+        return let(texts, decided)
+    left_open = lambda t: let(forms(t), lambda f: F.struct(f["a"].alias("a"), f["b"].alias("b"), same(f).alias("same")))
+    found = let(texts, lambda t: F.when(t["a"] == t["b"], F.struct(t["a"].alias("a"), t["b"].alias("b"), F.lit(True).alias("same"))).otherwise(left_open(t)))
+    if symbolic is symbolic_equal:
+        return symbolic_or(found)
+    # Python's functions can't stand in a let
+    return found["same"] | F.coalesce(symbolic(F.when(~found["same"], found["a"]), F.when(~found["same"], found["b"])), F.lit(False))
 
 
 def evaluate(expected: Column, generated: Column, profile: str = "analysis", native: bool = False) -> Column:
     """STRUCT<is_correct, expected_value, generated_value>; without an answer on either side it is not correct."""
     a, b = extract_answer(expected, profile, native), extract_answer(generated, profile, native)
 
-    def verdict(a: Column, b: Column) -> Column:
-        ok = F.when(a.isNull() | b.isNull(), F.lit(False)).otherwise(equivalent(a, b, profile))
-        return F.struct(ok.alias("is_correct"), a.alias("expected_value"), b.alias("generated_value"))
+    def verdict(v: Column) -> Column:
+        ok = F.when(v["a"].isNull() | v["b"].isNull(), F.lit(False)).otherwise(equivalent(v["a"], v["b"], profile))
+        return F.struct(ok.alias("is_correct"), v["a"].alias("expected_value"), v["b"].alias("generated_value"))
 
-    if native:
-        return let(F.struct(a.alias("a"), b.alias("b")), lambda v: verdict(v["a"], v["b"]))
-    return verdict(a, b)
+    return let(F.struct(a.alias("a"), b.alias("b")), verdict)
 
 
 # The older algorithm. A text on which it fails is null, which makes the comparison one of the raw texts.

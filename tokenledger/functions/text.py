@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,14 +54,25 @@ def balanced_box(text: str | None) -> str | None:
             best, end = start, brace.start()
     if best < 0:
         return None
-    inner = text[best:end].strip()
+    return _unwrapped(text[best:end].strip())
+
+
+def _unwrapped(inner: str) -> str:
+    """Without a \\text{...} around all of it."""
     wrapped = _WRAPPED.match(inner)
     return wrapped[1].strip() if wrapped else inner
 
 
-@F.pandas_udf(T.StringType())
-def _balanced(s: pd.Series) -> pd.Series:
-    return s.map(balanced_box)
+def _by_value(values: pa.Array, use) -> pa.Array:
+    """use() of each text, called once for equal ones."""
+    coded = values.dictionary_encode()
+    return pa.DictionaryArray.from_arrays(coded.indices, pa.array([use(x) for x in coded.dictionary.to_pylist()], pa.string())).cast(pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _balanced(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for s in batches:
+        yield _by_value(s, balanced_box)
 
 
 def boxed_balanced(s: Column) -> Column:
@@ -142,12 +154,69 @@ def lone_number(s: Column, profile: str = "analysis") -> Column:
     return _match(s, rf"(?dm)^{before}([+-]?\p{{Nd}}+(?:\.\p{{Nd}}+)?){after}$", -1)
 
 
+#: Lines of a marked answer and of a number, by profile.
+_MARKED = {k: re.compile(rf"^{before}####{after}([^\n\r#]+?)[ \t]*$", re.M) for k, (before, after) in PROFILES.items()}
+_NUMBER = {k: re.compile(rf"^{before}([+-]?\d+(?:\.\d+)?){after}$", re.M) for k, (before, after) in PROFILES.items()}
+
+
+def _boxes(text: str) -> str | None:
+    """What the boxes of a text say, in one pass over its braces: the last box that balances, else the last one up to a brace."""
+    open_at, best, end, loose, said = [], -1, -1, -1, None
+    for brace in _BRACE.finditer(text):
+        at = brace.start()
+        if brace[0] != "}":
+            box = brace.end() if brace.end() - at > 1 else -1
+            open_at.append(box)
+            if loose < 0:
+                loose = box
+            continue
+        if loose >= 0:
+            said, loose = (loose, at), -1
+        if open_at and (start := open_at.pop()) > best:
+            best, end = start, at
+    if best < 0:
+        return None if said is None else text[said[0] : said[1]].strip()
+    return _unwrapped(text[best:end].strip())
+
+
+def scan_answer(text: str | None, profile: str = "analysis") -> str | None:
+    """As extract_answer(), in Python: each kind of answer is looked for in one pass, and only where its mark occurs."""
+    if not text:
+        return None
+    if "boxed{" in text and (found := _boxes(text)) is not None:
+        return found
+    if "####" in text and (lines := _MARKED[profile].findall(text)):
+        return lines[-1].strip()
+    if (n := text.count("$")) > 1:  # dollar signs pair up from the left
+        end = text.rfind("$")
+        if n % 2:
+            end = text.rfind("$", 0, end)
+        return text[text.rfind("$", 0, end) + 1 : end].strip()
+    if lines := _NUMBER[profile].findall(text):
+        return lines[-1].strip()
+    return text
+
+
+def _scanner(profile: str):
+    @F.arrow_udf(T.StringType())
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in batches:
+            yield _by_value(s, lambda text: scan_answer(text, profile))
+
+    return scan
+
+
+_SCANNERS = {profile: _scanner(profile) for profile in PROFILES}
+
+
 def extract_answer(s: Column, profile: str = "analysis", native: bool = False) -> Column:
     """The answer of a text: its last balanced box; else its last box up to a brace; else a marked line; else what
-    is between dollar signs; else a lone number; else the whole text. Null for null and empty texts."""
-    box = (boxed_balanced_native if native else boxed_balanced)(s)
+    is between dollar signs; else a lone number; else the whole text. Null for null and empty texts. native: by built-in
+    functions; else by one scan in Python, in Arrow batches."""
+    if not native:
+        return _SCANNERS[profile](s)
     loose = _match(s, r"\\{1,2}boxed\{([^}]*)\}", -1)
-    return F.coalesce(box, loose, marked_answer(s, profile), last_dollars(s), lone_number(s, profile), F.nullif(s, F.lit("")))
+    return F.coalesce(boxed_balanced_native(s), loose, marked_answer(s, profile), last_dollars(s), lone_number(s, profile), F.nullif(s, F.lit("")))
 
 
 def think_text(s: Column) -> Column:

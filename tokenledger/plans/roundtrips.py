@@ -259,14 +259,24 @@ def q_legacy_forms(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), A.legacy_form(made).alias("form"))
 
 
-@query("SELECT p_partkey AS id, true AS same, true AS square, p_partkey % 4 = 1 AS moved FROM part")
+@query("""
+SELECT p_partkey AS id, p_partkey % 3 > 0 AS same, p_partkey % 2 = 0 AS square, p_partkey % 4 = 1 AS moved, p_partkey % 5 > 0 OR p_partkey = 1 AS power,
+  p_partkey % 2 = 0 OR p_partkey = 1 AS sine, p_partkey % 7 > 0 AS root FROM part
+""")
 def q_symbolic_equiv(spark, d):
-    n, m = F.col("p_partkey").cast("string"), (F.col("p_partkey") % 4).cast("string")
+    """Pairs of expressions, some of which are the same: quotients, products, powers of any degree, functions and roots."""
+    n, key = F.col("p_partkey").cast("string"), F.col("p_partkey")
+    m, right = (key % 4).cast("string"), lambda k, x, y: F.when(key % k > 0, x).otherwise(y)
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
     rows = table(spark, d, "part").select(
-        F.col("p_partkey").alias("id"), F.concat(F.lit("\\frac{11+"), n, F.lit("a}{20}")).alias("a"), F.concat(F.lit("\\frac{"), n, F.lit("a+11}{20}")).alias("b"),
-        F.concat(F.lit("(x+"), n, F.lit(")^2")).alias("c"), F.concat(F.lit("x^2+2\\cdot "), n, F.lit("x+"), n, F.lit("^2")).alias("e"), F.concat(m, F.lit("y+1")).alias("f"))
-    same = lambda x, y: A.equivalent(x, y, symbolic=symbolic_equal)
-    return rows.select("id", same(F.col("a"), F.col("b")).alias("same"), same(F.col("c"), F.col("e")).alias("square"), same(F.col("f"), F.lit("1+y")).alias("moved"))
+        key.alias("id"), text("\\frac{11+", n, "a}{20}").alias("a"), right(3, text("\\frac{", n, "a+11}{20}"), text("\\frac{", n, "a+12}{20}")).alias("b"),
+        text("(x+", n, ")^2").alias("c"), right(2, text("x^2+3\\cdot ", n, "x+", n, "^2"), text("x^2+2\\cdot ", n, "x+", n, "^2")).alias("e"), text(m, "y+1").alias("f"),
+        text("(x+1)^{", n, "}").alias("g"), right(5, text("(1+x)^{", (key - 1).cast("string"), "}(x+1)"), text("x^{", n, "}+1")).alias("h"),
+        text("\\sin(", n, "x)").alias("i"), right(2, text(n, "\\sin x"), text("\\sin ", n, "x")).alias("j"),
+        text("\\sqrt{", (key * key * 12).cast("string"), "}").alias("k"), right(7, text(n, "\\sqrt{3}+", n, "\\sqrt{3}"), text(n, "\\sqrt{12}+1")).alias("l"))
+    same = lambda x, y: A.equivalent(F.col(x), F.col(y), symbolic=symbolic_equal)
+    moved = A.equivalent(F.col("f"), F.lit("1+y"), symbolic=symbolic_equal)
+    return rows.select("id", same("a", "b").alias("same"), same("c", "e").alias("square"), moved.alias("moved"), same("g", "h").alias("power"), same("i", "j").alias("sine"), same("k", "l").alias("root"))
 
 
 @query(r"SELECT row_idx, trim(regexp_extract(generated, '\\boxed\{([^}]*)\}', 1)) AS first, row_idx || '-' || dataset AS key, round(1 / (1 + exp(-token_count / 1000.0::DOUBLE)), 9) AS s FROM answers WHERE regexp_matches(generated, '\\boxed\{([^}]*)\}')")
