@@ -63,11 +63,11 @@ def test_decontamination(spark, monkeypatch):
     assert rows(prep.drop_exact(d, spark.createDataFrame([("needle",)], "text string")).select("id"), "id") == [(1,), (3,), (4,), (5,)]
 
 
-@pytest.mark.parametrize("keys", [1_000_000, 0])
-def test_contained_texts_by_brute_force(spark, monkeypatch, keys):
-    """Common openings, texts of a piece's length and around it, repeats, empty texts and nulls."""
-    monkeypatch.setattr(prep, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(prep, "BROADCAST_KEYS", keys)
+@pytest.mark.parametrize("limits", [{"BROADCAST_BYTES": 0}, {"BROADCAST_BYTES": 0, "BROADCAST_KEYS": 0}, {}, {"AUTOMATON_BYTES": 2000}])
+def test_contained_texts_by_brute_force(spark, monkeypatch, limits):
+    """Common openings, texts of a piece's length and around it, repeats, empty texts and nulls; by pieces and by automata."""
+    for name, value in limits.items():
+        monkeypatch.setattr(prep, name, value)
     rng = np.random.default_rng(5)
     opening = "Let x and y be real numbers such that "
     prompts = [opening + "".join(rng.choice(list("abé "), rng.integers(0, 80))) for _ in range(60)] + ["short", "", None]
@@ -76,6 +76,10 @@ def test_contained_texts_by_brute_force(spark, monkeypatch, keys):
     d = spark.createDataFrame(list(enumerate(texts)), "id int, problem string")
     got = {r[0] for r in prep.drop_contained(d, spark.createDataFrame([(p,) for p in prompts], "text string")).select("id").collect()}
     assert got == {i for i, t in enumerate(texts) if t is None or not any(t in p for p in prompts if p is not None)}
+    clashing = prep.drop_contained(d.withColumn("_prompt", F.lit(1)).withColumn("_text", F.lit(2)), spark.createDataFrame([("short", 1)], "text string, _text int"))
+    assert clashing.columns == ["id", "problem", "_prompt", "_text"] and clashing.count() == len(texts) - sum(t is not None and t in "short" for t in texts)
+    assert "NestedLoop" not in clashing._jdf.queryExecution().executedPlan().toString()
+    assert prep.drop_contained(d, spark.createDataFrame([(None,)], "text string")).count() == len(texts)
 
 
 def test_splits_and_order(spark):
@@ -158,6 +162,46 @@ def test_trajectories(spark):
     assert rows(trajectory.mean_absolute(trajectory.autocorrelation(d, "k", "s", "v")), "lag")[0] == (0, 1.0)
 
 
+def fitted(x, y, layers, kind, steps, rate, decay, negative):
+    """AdamW over all rows at once, one after the other."""
+    layers = [[np.array(w), np.array(b)] for w, b in layers]
+    moments, beta = [[[0 * p, 0 * p] for p in layer] for layer in layers], (0.9, 0.999)
+    for step in range(1, steps + 1):
+        held = [x.astype(float)]
+        for w, b in layers[:-1]:
+            held.append(np.maximum(held[-1] @ w + b, 0))
+        z = held[-1] @ layers[-1][0] + layers[-1][1]
+        if kind == "sigmoid":
+            g = (1 / (1 + np.exp(-z)) - y) * np.where(y > 0, 1, negative) / y.size
+        else:
+            g = (np.exp(z) / np.exp(z).sum(1, keepdims=True) - y) / len(y)
+        for i in reversed(range(len(layers))):
+            own, below = (held[i].T @ g, g.sum(0)), (g @ layers[i][0].T) * (held[i] > 0)
+            for j in (0, 1):
+                m, v = moments[i][j] = [b * old + (1 - b) * new for b, old, new in zip(beta, moments[i][j], (own[j], own[j] ** 2))]
+                layers[i][j] = layers[i][j] * (1 - rate * decay) - rate * (m / (1 - beta[0] ** step)) / (np.sqrt(v / (1 - beta[1] ** step)) + 1e-8)
+            g = below
+    return layers
+
+
+@pytest.mark.parametrize("kind,direct", [("sigmoid", 16), ("softmax", 2)])
+def test_training_where_the_rows_are(spark, monkeypatch, kind, direct):
+    """The same network as one fitted in one place, whether sums come to the driver directly or by groups."""
+    monkeypatch.setattr(network, "TASK_ROWS", 10)
+    monkeypatch.setattr(network, "DIRECT", direct)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(150, 5)).astype(np.float32)
+    x[100:] = x[:50]  # repeated rows
+    y = np.eye(3)[np.argmax(x[:, :3], 1)] if kind == "softmax" else (x[:, :3] > 0).astype(float)
+    data = spark.createDataFrame([(a.tolist(), [int(v) for v in b]) for a, b in zip(x, y)] + [(None, [1, 0, 0]), (x[0].tolist(), None)], "hidden array<float>, y array<int>")
+    got = network.train(data, (5, 8, 3), kind, epochs=6, batch=1000, dropout=0.0, rate=1e-2, decay=1e-2, negative=2.5, seed=4)
+    want = fitted(x, y, network.init_network((5, 8, 3), 4), kind, 6, 1e-2, 1e-2, 2.5)
+    assert all(np.allclose(p, q, atol=1e-6) for a, b in zip(got, want) for p, q in zip(a, b))
+    again = network.train(data, (5, 8, 3), kind, epochs=2, batch=40, dropout=0.3, seed=4)
+    once = network.train(data, (5, 8, 3), kind, epochs=2, batch=40, dropout=0.3, seed=4)
+    assert all(np.array_equal(p, q) for a, b in zip(again, once) for p, q in zip(a, b))
+
+
 def test_network_learns(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4)).astype(np.float32)

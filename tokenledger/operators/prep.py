@@ -6,12 +6,14 @@ import os
 import tempfile
 import uuid
 from functools import reduce
+from importlib.util import find_spec
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes up to which the evaluation prompts of the substring test are broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Bytes up to which the texts of the substring test are broadcast, and of those in one automaton (some 60 times that in a worker).
+BROADCAST_BYTES, AUTOMATON_BYTES = 32 << 20, 4 << 20
 #: Characters of a piece of the substring test, and pieces of all texts up to which their hashes are broadcast.
 PIECE = 32
 BROADCAST_KEYS = 1_000_000
@@ -67,15 +69,56 @@ def drop_contained(df: DataFrame, evaluation: DataFrame, text: str = "problem",
     """The rows whose text is contained in none of the evaluation's texts (null texts stay, empty ones go if there is
     an evaluation text).
 
-    Evaluation texts of a checked, small size are broadcast. Beyond it, rows and evaluation texts meet by equal pieces of
-    PIECE characters: see contained_texts().
+    The rows' distinct texts, while they are of a checked, small size, become an automaton that each worker builds once and reads
+    its evaluation texts through, each text once; texts of more than AUTOMATON_BYTES are dealt to ranges with a pass for each.
+    Beyond BROADCAST_BYTES, rows and evaluation texts meet by equal pieces of PIECE characters: see contained_texts().
     """
-    prompts = evaluation.select(F.col(other).alias("_prompt")).where("_prompt is not null").distinct()
-    size = prompts.agg(F.sum(F.octet_length("_prompt"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        return df.join(F.broadcast(prompts), F.col("_prompt").contains(F.col(text)), "left_anti")
-    found = contained_texts(df.select(F.col(text).alias("_text")).where("_text is not null").distinct(), prompts)
-    return df.join(found, df[text] == found["_text"], "left_anti")
+    prompts = evaluation.select(F.col(f"`{other}`").cast("string").alias("_prompt")).where("_prompt is not null")
+    texts = df.select(F.col(f"`{text}`").alias("_text")).where("_text is not null").distinct()
+    size = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    if size <= BROADCAST_BYTES and find_spec("ahocorasick"):
+        found = found_texts(texts, prompts, max(1, -(-size // AUTOMATON_BYTES)))
+    else:
+        found = contained_texts(texts, prompts.distinct())
+    return df.join(found.select(F.col("_text").alias(text)), text, "left_anti").select(*(f"`{c}`" for c in df.columns))
+
+
+#: The automaton that a worker process has built last, by what it is made of.
+_automaton: dict[str, object] = {}
+
+
+def _automaton_of(key: str, texts: list[str]):
+    import ahocorasick
+
+    if key not in _automaton:
+        _automaton.clear()
+        built = ahocorasick.Automaton()
+        for text in texts:
+            built.add_word(text, text)
+        built.make_automaton()
+        _automaton[key] = built
+    return _automaton[key]
+
+
+def found_texts(texts: DataFrame, prompts: DataFrame, ranges: int = 1) -> DataFrame:
+    """The distinct texts (_text) that one of the prompts (_prompt) contains, by an Aho-Corasick automaton of the texts of
+    each range of their hashes. The texts, a checked number of characters, are broadcast; prompts are neither moved nor joined."""
+    spark, out = prompts.sparkSession, texts.where((F.col("_text") == "") & F.lit(not prompts.isEmpty()))  # the empty text is in any prompt
+    for r in range(ranges):
+        own = texts.where((F.col("_text") != "") & (F.pmod(F.xxhash64("_text"), F.lit(ranges)) == r))
+        shared, key = spark.sparkContext.broadcast(own.toArrow().column(0).to_pylist()), uuid.uuid4().hex
+
+        def find(batches, shared=shared, key=key):
+            if not shared.value:
+                return
+            automaton, met = _automaton_of(key, shared.value), set()
+            for batch in batches:
+                new = {text for prompt in batch.column(0).to_pylist() for _, text in automaton.iter(prompt)} - met
+                met |= new
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], ["_text"])
+
+        out = out.unionAll(prompts.mapInArrow(find, "_text string"))
+    return out.distinct()
 
 
 def contained_texts(texts: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -102,7 +145,7 @@ def contained_texts(texts: DataFrame, prompts: DataFrame) -> DataFrame:
     pairs = rarest.where("_lacks = 0").join(keys, "_key").select("_tid", "_pid").distinct()
     far = pairs.join(long, "_tid").join(asked, "_pid").where(F.col("_prompt").contains(F.col("_text"))).select("_text")
     lengths = [r[0] for r in texts.where((n < PIECE) & (n > 0)).select(n).distinct().collect()]  # at most PIECE - 1 numbers
-    out = far.unionAll(texts.where(n == 0))
+    out = far.unionAll(texts.where((n == 0) & F.lit(not prompts.isEmpty())))  # the empty text is in any prompt
     for k in lengths:
         parts = F.transform(F.sequence(F.lit(1), F.char_length("_prompt") - k + 1), lambda i: F.substr("_prompt", i, F.lit(k)))  # noqa: B023
         pieces = asked.where(F.char_length("_prompt") >= k).select(F.explode(F.array_distinct(parts)).alias("_text")).distinct()
