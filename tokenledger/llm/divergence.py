@@ -22,6 +22,9 @@ from .common import cut, forget, slices, utf8
 #: Bytes of text that are counted at once; counts of a shard, about; slots of a language's sources.
 SLICE, CELL, SLOTS = 1 << 22, 1 << 17, 8
 
+#: Groups up to which their totals are broadcast (some 10 MB).
+BROADCAST_GROUPS = 100_000
+
 #: Shares are whole numbers of this unit's parts.
 UNIT = 1_000_000_000
 
@@ -80,20 +83,17 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
 
 
 def _counted(batches):
-    """(lang, source, term, n, docs): occurrences, and documents, of each term of each group in a slice of a batch. The
-    empty term, which no text has, only says that a group occurs."""
+    """(lang, source, term, n, docs): occurrences, and documents, of each term of each group in a slice of a batch."""
     forget()
     for batch in batches:
         group = pc.binary_join_element_wise(pc.cast(pc.binary_length(batch.column(0)), pa.string()), batch.column(0), batch.column(1), ":").dictionary_encode()
         of_text = np.asarray(group.indices, np.int64)
         _, example = np.unique(of_text, return_index=True)
-        n_groups = len(example)
 
         def rows(term: pa.Array, g: np.ndarray, n: np.ndarray, docs: np.ndarray):
             at = pa.array(example[g])
             return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), term, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
 
-        yield rows(pa.array([""] * n_groups, pa.string()), np.arange(n_groups), np.zeros(n_groups), np.zeros(n_groups))
         data, offsets = utf8(batch.column(2))
         cuts, of_piece = _cuts(data, offsets, SLICE)
         split = np.bincount(of_piece, minlength=len(offsets) - 1) > 1
@@ -118,12 +118,14 @@ def _counted(batches):
             yield rows(terms.take(pa.array(pairs % n_terms)) if len(terms) else pa.array([], pa.string()), pairs // n_terms, n, docs)
 
 
+def _texts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): of each group's terms, their occurrences and the documents that hold them; each row is a
-    document. A term is a run of ASCII letters and characters beyond ASCII; only A-Z are lower-cased. Nulls count as ''. Each
-    group has a row with the empty term and no counts, too."""
-    rows = docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    counted = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    document. A term is a run of ASCII letters and characters beyond ASCII; only A-Z are lower-cased. Nulls count as ''."""
+    counted = _texts(docs, text_col, lang_col, source_col).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -268,23 +270,23 @@ def audit_sources(
     shares all alike, a language without terms has pairs of value 0 and no terms; a lone source has no pairs. An empty table gives an
     empty one. Other columns are of no account.
     """
-    counts = cut(term_counts(docs, text_col, lang_col, source_col))
-    by_lang = Window.partitionBy("lang").orderBy("source")
-    held = counts.where("term <> ''")
-    per_term = held.groupBy("lang", "term").agg(F.sum("docs").alias("df"), F.sum("n").alias("lang_n")).where(F.col("df") >= least_docs).drop("df")
-    own = cut(held.join(per_term, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
-    # a row a language, and a row a group: as few as the result's, or fewer
-    langs = own.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"), F.count(F.lit(1)).alias("k")).groupBy("lang").agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("lang_n").alias("lang_total"), F.sum("k").alias("k"))
-    totals = own.groupBy("lang", "source").agg(F.sum("n").alias("group_n"))
-    groups = counts.where("term = ''").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    n_groups = F.count(F.lit(1)).over(Window.partitionBy("lang"))
-    groups = groups.select(
-        "lang", "source", (F.row_number().over(by_lang) - 1).alias("g"), F.coalesce("group_n", F.lit(0)).alias("group_n"), F.least(n_groups, F.lit(slots)).cast("int").alias("slots"),
-        F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"), F.coalesce("lang_total", F.lit(0)).alias("lang_total"), F.ceil(F.coalesce("k", F.lit(1)) / cell).cast("int").alias("shards"),
+    of_term, by_lang = Window.partitionBy("lang", "term"), Window.partitionBy("lang").orderBy("source")
+    counts = term_counts(docs, text_col, lang_col, source_col)  # at most a row a source of each term stands in its window
+    counts = counts.select("lang", "source", "term", "n", F.sum("docs").over(of_term).alias("df"), F.sum("n").over(of_term).alias("lang_n"), F.min("source").over(of_term).alias("first"))
+    own = cut(counts.where(F.col("df") >= least_docs).select("lang", "source", "term", "n", "lang_n", (F.col("first") == F.col("source")).cast("int").alias("first")))
+    # a row a group, and a row a language: as few as the result's, or fewer
+    totals = own.groupBy("lang", "source").agg(F.sum("n").alias("group_n"), F.sum("first").alias("firsts"), F.count(F.lit(1)).alias("k"))
+    occurring = _texts(docs, text_col, lang_col, source_col).select("lang", "source").distinct()
+    whole = Window.partitionBy("lang")
+    groups = occurring.join(totals, ["lang", "source"], "left").select(
+        "lang", "source", (F.row_number().over(by_lang) - 1).alias("g"), F.coalesce("group_n", F.lit(0)).alias("group_n"), F.least(F.count(F.lit(1)).over(whole), F.lit(slots)).cast("int").alias("slots"),
+        F.coalesce(F.sum("firsts").over(whole), F.lit(0)).alias("vocabulary"), F.coalesce(F.sum("group_n").over(whole), F.lit(0)).alias("lang_total"),
+        F.ceil(F.coalesce(F.sum("k").over(whole), F.lit(1)) / cell).cast("int").alias("shards"),
     )
     groups = cut(groups)
+    few = F.broadcast if groups.count() <= BROADCAST_GROUPS else lambda x: x
     same = "slots", "vocabulary", "lang_total"
-    entries = own.join(groups.select("lang", "source", "g", "shards", *same), ["lang", "source"])
+    entries = own.join(few(groups.select("lang", "source", "g", "shards", *same)), ["lang", "source"])
     entries = entries.select("lang", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), "g", "term", "n", "lang_n", F.lit(None).cast("long").alias("group_n"), *same)
     marks = groups.select("lang", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "g", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("lang_n"), "group_n", *same)
     packed = cut(entries.unionAll(marks).groupBy("lang", "shard").applyInArrow(_pack(most_terms), _PACKED))
@@ -293,8 +295,8 @@ def audit_sources(
     pairs = _tournament(resident).groupBy("lang", "g", "other").agg(F.sum("value").alias("value"))
     resident.unpersist()
 
-    name = groups.select("lang", "g", "source")
-    pairs = pairs.join(name, ["lang", "g"]).join(name.select("lang", F.col("g").alias("other"), F.col("source").alias("item")), ["lang", "other"])
+    name = few(groups.select("lang", "g", "source"))
+    pairs = pairs.join(name, ["lang", "g"]).join(few(groups.select("lang", F.col("g").alias("other"), F.col("source").alias("item"))), ["lang", "other"])
     terms = packed.where("payload is null").join(name, ["lang", "g"])
     columns = "lang", "source", "part", "item", "value"
     ranked = pairs.withColumn("part", F.lit("pair")).select(*columns).unionAll(terms.withColumn("part", F.lit("term")).select(*columns))
