@@ -293,3 +293,19 @@ def test_balanced_box_in_sql(spark):
 
     register(spark)
     assert spark.sql(r"select balanced_box(r'\boxed{a{b}{{c}}} \boxed{d')").first()[0] == "a{b}{{c}}"
+
+
+def test_written_rules_in_sql(spark):
+    from tokenledger.functions.sql import register
+
+    register(spark)
+    rows = [(r"\boxed{\dfrac{1}{2}}", r"so \boxed{0.5}"), (r"\boxed{3}", "#### 4"), (None, "x"), ("", ""), ("it's (1, 2)", "$(2,1)$"), (r"\boxed{1,234}", "1234")]
+    spark.createDataFrame(rows, "a string, b string").createOrReplaceTempView("pairs_of_answers")
+    both = lambda make, n=2: over(spark, make, *(rows if n == 2 else [r[:1] for r in rows]))
+    in_sql = lambda text: [r[0] for r in spark.sql(f"select {text} from pairs_of_answers").collect()]
+    assert in_sql("evaluate(a, b)") == both(lambda a, b: A.evaluate(a, b, native=True)) == both(A.evaluate)
+    assert in_sql("equivalent(a, b)") == both(A.equivalent)
+    assert in_sql("legacy_correct(a, b)") == both(A.legacy_correct)
+    for name, make in (("normalize_answer", A.normalize_answer), ("legacy_form", A.legacy_form), ("answer_set", A.answer_set), ("number_value", A.number_value), ("scan_answer", X.extract_answer)):
+        assert in_sql(f"{name}(a)") == both(make, 1)
+    assert spark.sql("select count(*) from pairs_of_answers group by evaluate(a, b).is_correct").count() == 2

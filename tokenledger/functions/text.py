@@ -10,27 +10,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import written as W
+from .written import Written, let, of, written
+
 #: White space as Python's str.strip() and \s have it (a Java character class).
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with value computed once and written once in the plan."""
-    return F.transform(F.array(value), use)[0]
-
-
 #: The same characters, one by one.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(s: Column) -> Column:
     """Without white space at either end, Unicode's included."""
-    return F.btrim(s, F.lit(SPACES))
+    return of(s).btrim(s, of(s).lit(SPACES))
 
 
 def _match(s: Column, pattern: str, place: int) -> Column:
     """Group 1 of the match at a place (1: first, -1: last), stripped; null if there is none."""
-    return strip(F.try_element_at(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)), F.lit(place)))
+    f = of(s)
+    return strip(f.try_element_at(f.regexp_extract_all(s, f.lit(pattern), f.lit(1)), f.lit(place)))
 
 
 def boxed_first(s: Column) -> Column:
@@ -93,44 +92,45 @@ def nested(levels: int, plain: str = "[^{}]") -> str:
 LEVELS = 4
 
 
+@written(1)
 def boxed_balanced_native(s: Column) -> Column:
     """As boxed_balanced(), by built-in functions: what follows the last box is matched at once if its braces balance
     within LEVELS; else all braces of the text are counted, of whatever depth."""
     wrapped = r"(?d)\A\\text(?:bf|it|rm|sf)?\{(.+)\}\z"
     closed = rf"\A({nested(LEVELS)})\}}"
-    last = F.substring_index(s, "\\boxed{", -1)
-    box = F.when(last.rlike(closed), F.regexp_extract(last, closed, 1)).otherwise(_counted_box(s))
-    content = let(F.when(s.contains("\\boxed{"), box), strip)
-    return let(content, lambda c: F.when(c.rlike(wrapped), strip(F.regexp_extract(c, wrapped, 1))).otherwise(c))
+    last = W.substring_index(s, "\\boxed{", -1)
+    box = W.when(last.rlike(closed), W.regexp_extract(last, closed, 1)).otherwise(_counted_box(s))
+    content = let(W.when(s.contains("\\boxed{"), box), strip)
+    return let(content, lambda c: W.when(c.rlike(wrapped), strip(W.regexp_extract(c, wrapped, 1))).otherwise(c))
 
 
-def _counted_box(s: Column) -> Column:
+def _counted_box(s: Written) -> Written:
     """The content of the last box whose braces balance: from the right, an opening brace is closed if a closing one to
     its right is still free; from the left, the box ends where its depth is 0 again. Both are one pass."""
 
-    def backward(a: Column, t: Column) -> Column:
-        free = F.when(t == "}", a["free"] + 1).when(t.endswith("{") & (a["free"] > 0), a["free"] - 1).otherwise(a["free"])
-        at = F.when((a["at"] == 0) & (a["free"] > 0) & t.endswith("boxed{"), a["seen"] + 1).otherwise(a["at"])
-        return F.struct(free.alias("free"), (a["seen"] + 1).alias("seen"), at.alias("at"))
+    def backward(a: Written, t: Written) -> Written:
+        free = W.when(t == "}", a["free"] + 1).when(t.endswith("{") & (a["free"] > 0), a["free"] - 1).otherwise(a["free"])
+        at = W.when((a["at"] == 0) & (a["free"] > 0) & t.endswith("boxed{"), a["seen"] + 1).otherwise(a["at"])
+        return W.struct(free.alias("free"), (a["seen"] + 1).alias("seen"), at.alias("at"))
 
-    def forward(a: Column, t: Column) -> Column:
-        depth = F.when(t == "}", a["depth"] - 1).when(t.endswith("{"), a["depth"] + 1).otherwise(a["depth"])
-        end = F.when((a["end"] == 0) & (t == "}") & (a["depth"] == 1), a["seen"] + 1).otherwise(a["end"])
-        return F.struct(depth.alias("depth"), (a["seen"] + 1).alias("seen"), end.alias("end"))
+    def forward(a: Written, t: Written) -> Written:
+        depth = W.when(t == "}", a["depth"] - 1).when(t.endswith("{"), a["depth"] + 1).otherwise(a["depth"])
+        end = W.when((a["end"] == 0) & (t == "}") & (a["depth"] == 1), a["seen"] + 1).otherwise(a["end"])
+        return W.struct(depth.alias("depth"), (a["seen"] + 1).alias("seen"), end.alias("end"))
 
-    def after(tokens: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("free"), F.lit(0).alias("seen"), F.lit(0).alias("at"))
-        at = F.aggregate(F.reverse(tokens), zero, backward, lambda a: a["at"])
-        both = F.struct(tokens.alias("t"), at.alias("n"))
-        return let(both, lambda z: F.when(z["n"] > 0, F.slice(z["t"], F.size(z["t"]) - z["n"] + 2, z["n"] - 1)))
+    def after(tokens: Written) -> Written:
+        zero = W.struct(W.lit(0).alias("free"), W.lit(0).alias("seen"), W.lit(0).alias("at"))
+        at = W.aggregate(W.reverse(tokens), zero, backward, lambda a: a["at"])
+        both = W.struct(tokens.alias("t"), at.alias("n"))
+        return let(both, lambda z: W.when(z["n"] > 0, W.slice(z["t"], W.size(z["t"]) - z["n"] + 2, z["n"] - 1)))
 
-    def inner(tokens: Column) -> Column:
-        zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end"))
-        end = F.aggregate(tokens, zero, forward, lambda a: a["end"])
-        return F.array_join(F.slice(tokens, F.lit(1), end - 1), "")
+    def inner(tokens: Written) -> Written:
+        zero = W.struct(W.lit(1).alias("depth"), W.lit(0).alias("seen"), W.lit(0).alias("end"))
+        end = W.aggregate(tokens, zero, forward, lambda a: a["end"])
+        return W.array_join(W.slice(tokens, W.lit(1), end - 1), "")
 
-    tokens = F.regexp_extract_all(s, F.lit(r"\\{1,2}boxed\{|[{}]|[^{}\\]++|\\"), F.lit(0))
-    return let(let(tokens, after), lambda t: F.when(t.isNotNull(), inner(t)))
+    tokens = W.regexp_extract_all(s, W.lit(r"\\{1,2}boxed\{|[{}]|[^{}\\]++|\\"), W.lit(0))
+    return let(let(tokens, after), lambda t: W.when(t.isNotNull(), inner(t)))
 
 
 #: What the two profiles allow before and after a marked answer or a lone number: in run-time scoring exactly one blank.
@@ -213,10 +213,13 @@ def extract_answer(s: Column, profile: str = "analysis", native: bool = False) -
     """The answer of a text: its last balanced box; else its last box up to a brace; else a marked line; else what
     is between dollar signs; else a lone number; else the whole text. Null for null and empty texts. native: by built-in
     functions; else by one scan in Python, in Arrow batches."""
-    if not native:
-        return _SCANNERS[profile](s)
+    return _native_answer(s, profile) if native else _SCANNERS[profile](s)
+
+
+@written(1)
+def _native_answer(s: Written, profile: str) -> Written:
     loose = _match(s, r"\\{1,2}boxed\{([^}]*)\}", -1)
-    return F.coalesce(boxed_balanced_native(s), loose, marked_answer(s, profile), last_dollars(s), lone_number(s, profile), F.nullif(s, F.lit("")))
+    return W.coalesce(boxed_balanced_native(s), loose, marked_answer(s, profile), last_dollars(s), lone_number(s, profile), W.nullif(s, ""))
 
 
 def think_text(s: Column) -> Column:

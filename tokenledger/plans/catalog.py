@@ -256,7 +256,7 @@ SELECT dataset, count(*) AS num_total, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT)
 """)
 def q_model_dataset_summary(spark, d):
     """Texts are scored anew and rolled up for each data set (answers over 9 characters count as hallucinated here)."""
-    scored = views.answers(spark, d, dealt=True).withColumn("e", A.evaluate(F.col("solution"), F.col("generated"), "analysis", native=True))
+    scored = views.answers(spark, d, dealt=True).withColumn("e", A.evaluate(F.col("solution"), F.col("generated")))
     scored = scored.select("dataset", "token_count", "e.is_correct", X.long_answer(F.col("e.generated_value"), 9).alias("hallucinated"))
     s = metrics.model_dataset_summary(scored, "dataset")
     return s.select("dataset", "num_total", "num_correct", *(F.round(c, 9).alias(c) for c in ("accuracy", "avg_tokens", "avg_tokens_clean")), "num_hallucinations")
