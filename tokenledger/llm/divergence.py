@@ -298,7 +298,9 @@ def audit_sources(
     name = few(groups.select("lang", "g", "source"))
     pairs = pairs.join(name, ["lang", "g"]).join(few(groups.select("lang", F.col("g").alias("other"), F.col("source").alias("item"))), ["lang", "other"])
     terms = packed.where("payload is null").join(name, ["lang", "g"])
-    columns = "lang", "source", "part", "item", "value"
-    ranked = pairs.withColumn("part", F.lit("pair")).select(*columns).unionAll(terms.withColumn("part", F.lit("term")).select(*columns))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= most_terms))
+    def ranked(rows: DataFrame, part: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+        return rows.select("lang", "source", F.lit(part).alias("part"), "item", "value", rank.alias("rank"))
+
+    # ranks beyond the last one wanted already go before the shuffle
+    return ranked(pairs, "pair").unionAll(ranked(terms, "term").where(F.col("rank") <= most_terms))
