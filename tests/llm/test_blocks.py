@@ -63,8 +63,7 @@ def test_repeats_by_brute_force():
             own = [tuple(w[i : i + size].tolist()) for i in range(len(w) - size + 1)]
             for run in own:
                 seen[run].add(p)
-            hashes = html_extract._runs(w, size).view(np.uint64)
-            least[p] = int(common.mix(hashes + np.uint64(1)).min().view(np.int64)) if len(hashes) else None
+            least[p] = html_extract._content(w)
         runs, low, high = repeated_in(pages, size)
         want = {int(html_extract._runs(np.array(run, np.uint64), size)[0]): (min(least[p] for p in ps), max(least[p] for p in ps)) for run, ps in seen.items()}
         assert dict(zip(runs.tolist(), zip(low.tolist(), high.tolist()))) == want
@@ -99,6 +98,41 @@ def test_boilerplate_without_an_article(spark, monkeypatch, chars):
     assert extract_main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pages,shared,own", [(2, 300, 60), (2, 300, 30), (3, 40, 200), (5, 300, 60), (20, 300, 30), (20, 12, 8)])
+def test_boilerplate_of_any_length_goes(pages, shared, own):
+    """On hosts of a few pages, in any order and dealt to any tasks."""
+    for seed in range(100):
+        r = random.Random(seed)
+        words = lambda n: " ".join(f"w{r.randint(0, 10**7)}" for _ in range(n))
+        menu, texts = words(shared), [words(own) for _ in range(pages)]
+        parsed = [blocks(f"<div>{menu}</div><div>{t}</div>") for t in texts]
+        streams = [html_extract._stream(p) for p in parsed]
+        r.shuffle(streams)
+        near = r.randint(1, pages - 1)
+        parts = [repeated_in(streams[:near], 6), repeated_in(streams[near:], 6)]  # two tasks, merged as by host and run
+        merged = defaultdict(list)
+        for runs, low, high in parts:
+            for run, a, b in zip(runs.tolist(), low.tolist(), high.tolist()):
+                merged[run] += [a, b]
+        repeated = np.array([run for run, seen in merged.items() if min(seen) < max(seen)], np.int64)
+        assert [main_text(p, repeated) for p in parsed] == texts
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<html><head><title>T</title><meta x><div>Body text</div><p>More", "Body text\nMore"),
+    ("<head><link rel=x><body><article><p>One", "One"),
+    ('<article><p class="advert">Buy<h2>Title here</h2><p>Text</article>', "Title here\nText"),
+    ('<article><p>One <b>bold<div>Two</div><ul><li><i>a<li>b</ul>', "One bold\nTwo\na\nb"),
+    ('<article><p class="ad-hoc">Plans</p><p class="comment-free">Zone</p><p class="promo-code-history">Codes</p></article>', "Plans\nZone\nCodes"),
+    ('<article><p data-x="display: none">a</p><p title="is hidden here">b</p><p hidden>c</p><p style="color:red; display:none">d</p><p aria-hidden="true">e</p></article>', "a\nb"),
+    ('<main><article class="post menu"><p>Soup of the day</p></article></main>', "Soup of the day"),
+    ('<main><article><p>Text</p><article class="comment"><p>First!</p></article></article></main>', "Text"),
+    ('<article><p>Text</p><div class="ad-slot-top">Buy</div><div id="cookie-banner">Accept</div><section class="comments-list"><p>Hi</p></section></article>', "Text"),
+])
+def test_markup_in_short(page, text):
+    assert text_of(page) == text
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 def test_articles_of_the_test_pages(spark):
     """Texts against the articles cut out by hand; and again from pages whose articles are plain divisions, where all that

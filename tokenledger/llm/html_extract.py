@@ -10,7 +10,8 @@ decided article text) are concatenated, task by task, and a suffix array (by pre
 together; runs of all tasks are merged by host and run. A run on pages of different content is boilerplate; a block that
 such runs cover goes, unique runs stay. Suffixes are ordered as deep as the shortest run that counts, as every longer
 repeat is covered by repeats of that length, and no deeper order changes what is covered. Whole hosts are compared, of any
-size and however pages are dealt; no task holds a host.
+size and however pages are dealt; no task holds a host. Equal pages count as one; what two pages share that differ anywhere is
+repeated, so near copies of a page that declares no article lose what they share.
 
 Repeats in decided article text are not taken out: there they are quotations and copies, not boilerplate.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _WORD_STEPS, cut, forget, mix, unused, window_hashes, with_results, word_hashes, word_spans
+from .common import _WORD_STEPS, cut, forget, unused, window_hashes, with_results, word_hashes, word_spans
 
 #: Words of the shortest run that counts; the part of a block's words that repeated runs must cover.
 RUN_WORDS = 6
@@ -47,29 +48,45 @@ _RAW = frozenset("script style textarea title noscript template iframe noframes
 _ASIDE = frozenset("nav header footer aside form button dialog menu head fieldset".split())
 _BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _ARTICLES = frozenset(("article", "main"))
+_ITEMS = frozenset("li option tr td th dt dd".split())
+#: Elements that may stand in a head, and those before which an open paragraph ends.
+_HEAD = frozenset("base link meta title style script noscript template bgsound basefont".split())
+_ENDS_P = _BLOCKS - frozenset("body br caption html legend option tbody td tfoot th thead title tr head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that name something other than main text; those of them that, beside another
-#: word, may name something else ("share-price"); and words beside which they may not.
+#: Words in class, id or role that name something other than main text; those of them that, beside a word that isn't
+#: neutral, may name something else ("share-price", "ad-hoc"); words that say nothing beside them.
 _LABELS = frozenset("ad ads advert adverts advertisement alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
-_DOUBTFUL = frozenset("alert banner complementary header notice notices related replies share sharing social".split())
-_NEUTRAL = frozenset("area bar bars block bottom box button buttons container dialog fixed form global group holder icons inner item items left link links list message outer page panel policy post posts primary reader right row secondary section site slot sticky strip thread top user view wrap wrapper".split())
+_DOUBTFUL = frozenset("ad ads alert banner comment comments complementary consent footer header menu modal nav notice notices pager popup promo related replies share sharing sidebar signup social sponsor subscribe toolbar widget widgets".split())
+_NEUTRAL = frozenset("area author bar bars block body bottom box button buttons center col column container content count date desktop dialog dropdown entry fixed foot footer form global group head header holder icon icons inner item items label large left lg link links list main md message meta mobile name outer page panel policy post posts primary reader right row secondary section site slot sm small space sticky strip tag text thread time title top unit user view wrap wrapper x xl xs".split())
 _NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
 _STOP = re.compile(r"[\"'>]")
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 
 
-def label(attributes: str) -> int:
+def attributes_of(text: str) -> dict[str, str]:
+    """An element's attributes; of those named twice, the first."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def hidden(attributes: dict[str, str]) -> bool:
+    """Whether an element says that it isn't shown."""
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_INVISIBLE.search(attributes.get("style", "")))
+
+
+def label(attributes: dict[str, str]) -> int:
     """What an element's class, id and role say: OTHER if one of their words names boilerplate, OPEN if it may, else MAIN."""
     found = MAIN
-    for groups in _ATTRIBUTE.findall(attributes):
-        for word in "".join(groups).lower().split():
-            parts = _PART.findall(word)
-            if any(p in _LABELS for p in parts):
-                if any(p in _LABELS and p not in _DOUBTFUL for p in parts) or all(p in _LABELS or p in _NEUTRAL for p in parts):
-                    return OTHER
-                found = OPEN
+    for word in " ".join(attributes.get(n, "") for n in ("class", "id", "role")).lower().split():
+        parts = _PART.findall(word)
+        if any(p in _LABELS for p in parts):
+            if any(p in _LABELS and p not in _DOUBTFUL for p in parts) or all(p in _LABELS or p in _NEUTRAL for p in parts):
+                return OTHER
+            found = OPEN
     return found
 
 
@@ -103,8 +120,20 @@ class _Page:
         text: list[str] = []
         stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it hides, is an article, is in doubt
         held: Counter = Counter()
+        open_blocks: list[str] = []  # of the stack, those that end a block
         hides = inside = doubts = 0
 
+        def end_top() -> str:
+            nonlocal hides, inside, doubts
+            closed, hid, article, doubt = stack.pop()
+            held[closed] -= 1
+            hides -= hid
+            inside -= article
+            doubts -= doubt
+            if closed in _BLOCKS:
+                open_blocks.pop()
+            return closed
+
         def flush():
             if text:
                 words = " ".join(html.unescape("".join(text)).split())
@@ -145,34 +174,35 @@ class _Page:
             if name in _BLOCKS:
                 flush()
             if m[1]:
-                while held[name]:
-                    closed, hid, article, doubt = stack.pop()
-                    held[closed] -= 1
-                    hides -= hid
-                    inside -= article
-                    doubts -= doubt
-                    if closed == name:
-                        break
+                while held[name] and end_top() != name:
+                    pass
                 continue
+            if held["head"] and name not in _HEAD:  # what can't stand in a head ends it
+                while end_top() != "head":
+                    pass
+            # a paragraph ends before a block, an item before the next one, whatever inline elements are open in them
+            if open_blocks and (open_blocks[-1] == "p" and name in _ENDS_P or open_blocks[-1] == name and name in _ITEMS):
+                ending = open_blocks[-1]
+                while end_top() != ending:
+                    pass
             if name in _RAW:
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 at = (page.find(">", close.end() - 1) + 1 or n) if close else n
                 continue
             if name in _VOID or attributes.endswith("/") and name not in _BLOCKS:
                 continue
-            if name in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == name:
-                closed, hid, article, doubt = stack.pop()
-                held[closed] -= 1
-                hides -= hid
-                inside -= article
-                doubts -= doubt
             hide, doubt = name in _ASIDE and not (name == "header" and inside), False
             if attributes:
-                said = label(attributes) if inside or name not in ("html", "body", "article", "main") else MAIN
-                hide = hide or said == OTHER or bool(_HIDDEN.search(attributes))
+                named = attributes_of(attributes)
+                said = label(named) if inside or name not in ("html", "body", "article", "main") else MAIN
+                if said == OTHER and name == "article" and not held["article"] and not all(w in _LABELS for w in named.get("class", "").lower().split()):
+                    said = OPEN  # "post menu" in a main element may be the article itself
+                hide = hide or said == OTHER or hidden(named)
                 doubt = said == OPEN
             article = name in _ARTICLES
             stack.append((name, hide, article, doubt))
+            if name in _BLOCKS:
+                open_blocks.append(name)
             held[name] += 1
             hides += hide
             inside += article
@@ -229,14 +259,16 @@ def repeated_in(streams: list[np.ndarray], size: int) -> tuple[np.ndarray, np.nd
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = window_hashes(words, _WORD_STEPS[0], order, size)
-    # a number for a page's content that near copies mostly share: the least of its runs' hashes, mixed once more
-    content = np.full(len(streams), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(content, page[order], mix(hashes + np.uint64(1)))
-    content = content.view(np.int64)
+    content = np.array([_content(x) for x in streams], np.int64)
     own = content[page[order]]
     return hashes[bounds[:-1]].view(np.int64), np.minimum.reduceat(own, bounds[:-1]), np.maximum.reduceat(own, bounds[:-1])
 
 
+def _content(words: np.ndarray) -> int:
+    """A number for all that a page says, whatever part of it other pages share."""
+    return int(window_hashes(words, _WORD_STEPS[1], np.zeros(1, np.int64), len(words)).view(np.int64)[0]) if len(words) else 0
+
+
 def _runs(words: np.ndarray, size: int) -> np.ndarray:
     at = np.arange(max(0, len(words) - size + 1))
     return window_hashes(words, _WORD_STEPS[0], at, size).view(np.int64)
@@ -331,8 +363,9 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """pages, without the html, with text (empty if there is none) and n_chars (its code points), a row a row.
 
     A null html is an empty page. Pages whose url is null or has no host are one more host. Equal pages get equal texts
-    and count as one, so repeated rows change nothing; near copies mostly do. Broken markup is read as far as it
-    goes: elements that are not closed end with those around them, a quote that is never closed is none. Pages may be of
+    and count as one, so repeated rows change nothing. Broken markup is read as far as it goes: a head ends at the first element
+    that can't stand in one, a paragraph before a block, other elements that are not closed with those around them; a quote that is
+    never closed is none. Pages may be of
     any length. Columns named like a result are replaced, all others stay. An empty table gives an empty table.
     """
     keep = [c for c in pages.columns if c != html_col]
