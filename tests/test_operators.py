@@ -282,3 +282,51 @@ def test_streaming_collapse(spark, tmp_path):
     run = stream.writeStream.outputMode("complete").format("memory").queryName("verdicts").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert rows(spark.table("verdicts"), "question_id") == [("q", True, 2), ("s", None, 1)]
+
+
+def test_npy_files(spark, tmp_path):
+    """Files of many partitions, folders, odd kinds, empty arrays, and what must be refused."""
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(5000, 3, 4)).astype(np.float16)
+    np.save(tmp_path / "a.npy", a)
+    got = npy.read_npy(spark, str(tmp_path / "a.npy"), partition_bytes=10_000)
+    assert got.rdd.getNumPartitions() == -(-5000 // (10_000 // 24))
+    found = got.orderBy("row_idx").select("row_idx", "vector").toArrow()
+    assert found["row_idx"].to_pylist() == list(range(5000)) and np.array_equal(np.array(found["vector"].to_pylist(), np.float32), a.reshape(5000, 12).astype(np.float32))
+    (tmp_path / "d").mkdir()
+    for name, x in (("x", np.arange(7)), ("y", np.zeros((0, 4))), ("z", np.ones((2, 1), ">i2"))):
+        np.save(tmp_path / "d" / f"{name}.npy", x)
+    assert sorted((r["path"][-5:], r["row_idx"], r["vector"]) for r in npy.read_npy(spark, f"file://{tmp_path}/d").collect()) == [*(("x.npy", i, [float(i)]) for i in range(7)), ("z.npy", 0, [1.0]), ("z.npy", 1, [1.0])]
+    for name, x in (("columns", np.asfortranarray(a[:, :, 0])), ("objects", np.array([{}], dtype=object)), ("one", np.float32(3))):
+        np.save(tmp_path / f"{name}.npy", x, allow_pickle=True)
+        with pytest.raises(Exception, match="column by column|Python objects|one number"):
+            npy.read_npy(spark, str(tmp_path / f"{name}.npy")).collect()
+
+
+def test_npy_writing(spark, tmp_path):
+    df = spark.range(3000).select("id", F.array((F.col("id") % 7).cast("double"), -F.col("id").cast("double"), F.lit(0.1)).alias("v ec")).repartition(6)
+    for dtype in ("<f4", "<f8", "<f2"):
+        npy.write_npy(df, str(tmp_path / "w.npy"), "v ec", "id", dtype=dtype)
+        want = np.array([[i % 7, -i, 0.1] for i in range(3000)]).astype(dtype)
+        assert np.array_equal(np.load(tmp_path / "w.npy"), want) and np.load(tmp_path / "w.npy").dtype == np.dtype(dtype)
+    assert [p.name for p in tmp_path.iterdir()] == ["w.npy"]  # no parts are left
+    npy.write_npy(df.limit(0), str(tmp_path / "none.npy"), "v ec", "id")
+    assert np.load(tmp_path / "none.npy").shape[0] == 0
+    for bad in ("array(1.0) || if(id = 5, array(2.0), array())", "if(id = 7, null, array(1.0))", "array(if(id = 9, null, 1.0))"):
+        with pytest.raises(Exception, match="differ in length, or are null"):
+            npy.write_npy(df.withColumn("v ec", F.expr(bad)), str(tmp_path / "bad.npy"), "v ec", "id")
+    assert not (tmp_path / "bad.npy").exists() and not [p for p in tmp_path.iterdir() if "parts" in p.name]
+
+
+class Evil:
+    def __reduce__(self):
+        return (print, ("run",))
+
+
+def test_pickled_dictionaries(spark, tmp_path):
+    np.save(tmp_path / "d.npy", {"12-aime": 300, "7-gsm8k": np.int64(5), 3: np.float32(0.5)}, allow_pickle=True)
+    assert rows(npy.read_npy_dictionary(spark, str(tmp_path / "d.npy")), "key") == [("12-aime", 300.0), ("3", 0.5), ("7-gsm8k", 5.0)]
+    for bad in ({"x": Evil()}, [1, 2], {"x": "text"}):
+        np.save(tmp_path / "e.npy", bad, allow_pickle=True)
+        with pytest.raises(Exception, match="not allowed|not a pickled|convert"):
+            npy.read_npy_dictionary(spark, str(tmp_path / "e.npy")).collect()
