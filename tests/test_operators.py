@@ -330,3 +330,57 @@ def test_pickled_dictionaries(spark, tmp_path):
         np.save(tmp_path / "e.npy", bad, allow_pickle=True)
         with pytest.raises(Exception, match="not allowed|not a pickled|convert"):
             npy.read_npy_dictionary(spark, str(tmp_path / "e.npy")).collect()
+
+
+def test_fits_of_any_degree(spark):
+    rng = np.random.default_rng(3)
+    data = [("a", x, float(np.sin(x / 9))) for x in rng.uniform(1e6, 1e6 + 40, 300).tolist()] + [("b", float(x), float(x**2)) for x in range(3)] + [("c", 5.0, 1.0)] * 4 + [("c", None, 2.0), (None, 1.0, 1.0), (None, 2.0, 3.0)]
+    d = spark.createDataFrame(data, "k string, x double, y double")
+    for degree in (0, 1, 2, 3, 7):
+        fits = {r["k"]: r for r in metrics.polynomial_fit(d, "x", "y", degree, "k").collect()}
+        got = {k: r["coefficients"] for k, r in fits.items()}
+        x, y = (np.array(v) for v in zip(*[(r[1], r[2]) for r in data if r[0] == "a"]))
+        want = np.polynomial.Polynomial.fit(x, y, degree)
+        at = np.linspace(x.min(), x.max(), 50)
+        assert np.allclose(np.polynomial.Polynomial(fits["a"]["centred"])(at - fits["a"]["middle"]), want(at), atol=1e-8)
+        if degree < 3:  # written out far from 0, higher powers cancel
+            assert np.allclose(np.polynomial.Polynomial(got["a"])(at), want(at), atol=1e-3)
+        assert (got["b"] is None) == (degree > 2) and (got["c"] is None) == (degree > 0) and (got[None] is None) == (degree > 1)
+    assert np.allclose({r["k"]: r["coefficients"] for r in metrics.polynomial_fit(d, "x", "y", 2, "k").collect()}["b"], [0, 0, 1], atol=1e-9)
+    whole = metrics.polynomial_fit(d.where("k = 'b'"), "x", "y", 1).first()
+    assert np.allclose(whole["coefficients"], [-1 / 3, 2]) and whole["places"] == 3
+    assert metrics.polynomial_fit(d.limit(0), "x", "y", 2, "k").count() == 0
+
+
+def test_stops_step_by_step(spark):
+    steps = [("a", 1, 10, 100, None), ("a", 2, 95, 100, None), ("a", 3, 100, 100, True), ("b", 1, 1, 100, False), ("b", 2, 2, 100, True), ("c", 3, 1, 9, None), ("c", 1, 1, 9, None), ("c", 2, None, 9, None), ("c", 4, 9, 9, None), ("d", 1, 1, 9, None), ("e", 1, 9, 9, True)]
+    d = spark.createDataFrame(steps, "k string, s int, actual int, target int, ended boolean").repartition(3)
+    assert rows(trajectory.stopped(d, "k", "s", "actual", "target", "ended", 5, 3), "k") == [("a", 2, "tolerance"), ("b", 2, "end"), ("c", 3, "max_steps"), ("d", None, "open"), ("e", 1, "end")]
+    assert trajectory.stopped(d.limit(0), "k", "s", "actual", "target", "ended", 5, 3).count() == 0
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    """A crash between a batch's writing and its entry in the log, and one within a batch: no row is lost or comes twice."""
+    at = str(tmp_path)
+    seen = []
+
+    def run(fail_at=None):
+        def stage(part):
+            seen.append(part.count())
+            if fail_at == len(seen):
+                part.limit(1).write.mode("append").parquet(f"{at}/done/batch={len(seen) - 1}")  # what a killed task may leave
+                raise RuntimeError("killed")
+            return part.withColumn("twice", F.col("id") * 2)
+
+        source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{at}/work")
+        tables.run_stream(source, stage, f"{at}/done", f"{at}/log")
+
+    spark.range(40).repartition(4).write.parquet(f"{at}/work")
+    with pytest.raises(Exception, match="killed"):
+        run(fail_at=3)
+    run()
+    spark.range(40, 50).write.mode("append").parquet(f"{at}/work")
+    run()
+    run()
+    assert sorted(map(tuple, tables.read_stream_results(spark, f"{at}/done").collect())) == [(i, 2 * i) for i in range(50)]
+    assert sum(seen) < 50 + 25  # what was done wasn't done again

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,43 @@ def quadratic_fit(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     return sums.select(*keys, coefficient(0).alias("c2"), coefficient(1).alias("c1"), coefficient(2).alias("c0"))
 
 
+def polynomial_fit(points: DataFrame, x: str, y: str, degree: int, *keys: str) -> DataFrame:
+    """(keys, coefficients, middle, centred, places): the least-squares polynomial of any degree, its coefficients from the constant
+    on, in powers of x, and in powers of x - middle, which don't cancel far from 0; null for fewer different places than
+    coefficients. Rows without x or y don't count.
+
+    Places are centred and scaled to -1 .. 1, and sums of Chebyshev polynomials of them, which add up over partitions, give the
+    normal equations of an orthogonal basis: T_i T_j is the mean of T_(i+j) and T_|i-j|. One row a key is then solved.
+    """
+    own = [f"_k{i}" for i in range(len(keys))]
+    rows = points.select(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, own)), F.col(f"`{x}`").cast("double").alias("_x"), F.col(f"`{y}`").cast("double").alias("_y"))
+    rows = rows.where("_x is not null and _y is not null")
+    ends = rows.groupBy(*own).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count_distinct("_x").alias("places"))
+    middle, half = (F.col("_low") + F.col("_high")) / 2, F.greatest((F.col("_high") - F.col("_low")) / 2, F.lit(5e-324))
+    ends = ends.select(*(F.col(n).alias(f"{n}e") for n in own), "_low", "_high", "places")
+    same = [F.col(n).eqNullSafe(F.col(f"{n}e")) for n in own]
+    joined = rows.join(ends, same) if same else rows.join(F.broadcast(ends))  # one row beside all
+    scaled = joined.select(*own, "_low", "_high", "places", "_y", ((F.col("_x") - middle) / half).alias("_t"))
+    # T_k of t in (-1, 1) is cos(k acos t)
+    basis = [F.cos(k * F.acos(F.least(F.greatest("_t", F.lit(-1.0)), F.lit(1.0)))) for k in range(2 * degree + 1)]
+    sums = scaled.groupBy(*own, "_low", "_high", "places").agg(F.array(*(F.sum(b) for b in basis)).alias("_s"), F.array(*(F.sum(b * F.col("_y")) for b in basis[: degree + 1])).alias("_r"))
+
+    @F.pandas_udf("coefficients array<double>, centred array<double>")
+    def solved(low: pd.Series, high: pd.Series, s: pd.Series, r: pd.Series) -> pd.DataFrame:
+        i = np.arange(degree + 1)
+        out = []
+        for a, b, moments, right in zip(low, high, s, r):
+            gram = (moments[i[:, None] + i] + moments[abs(i[:, None] - i)]) / 2
+            found = np.linalg.lstsq(gram, right, rcond=1e-13)[0]
+            fitted, at = np.polynomial.Chebyshev(found, domain=[a, b] if b > a else [a - 1, a + 1]), (a + b) / 2
+            written = (fitted.convert(kind=np.polynomial.Polynomial, domain=domain).coef for domain in ([-1, 1], [at - 1, at + 1]))
+            out.append([np.pad(c, (0, degree + 1 - len(c))) for c in written])
+        return pd.DataFrame(out, columns=["coefficients", "centred"])
+
+    found = F.when(F.col("places") > degree, solved("_low", "_high", "_s", "_r")).alias("_found")
+    return sums.select(*own, middle.alias("middle"), "places", found).select(*(F.col(n).alias(k) for n, k in zip(own, keys)), "_found.coefficients", "middle", "_found.centred", "places")
+
+
 def curve_points(fits: DataFrame, first: float, last: float, n: int, *keys: str) -> DataFrame:
     """(keys, x, y): n points of each fitted parabola."""
     at = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(float(first)) + i * (float(last - first) / (n - 1)))).alias("x")

@@ -71,3 +71,25 @@ def power_spectrum(runs: DataFrame, key: str, step: str, value: str) -> DataFram
 def numbered_batches(df: DataFrame, size: int, position: str = "row_idx") -> DataFrame:
     """df with batch: the number of each row's batch of positions."""
     return df.withColumn("batch", F.floor(F.col(position) / size))
+
+
+def stopped(runs: DataFrame, key: str, step: str, actual: str, target: str, ended: str, tolerance: int, max_steps: int) -> DataFrame:
+    """(key, stopped_at, reason): where generation, judged step by step in order, stops: at the first step near its target
+    ("tolerance") or at the text's end ("end"), else at the last of max_steps steps ("max_steps"); a run of fewer steps that
+    meets neither goes on (null, "open"). A step near its target that also ends is an end. Null verdicts are none.
+
+    One fold over each run's ordered steps, which stops counting where it stopped; a step that comes twice is judged twice.
+    """
+    near = F.coalesce(F.abs(F.col(actual) - F.col(target)) <= tolerance, F.lit(False))
+    why = F.when(F.coalesce(F.col(ended), F.lit(False)), "end").when(near, "tolerance")
+    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), why.alias("why"))))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(None).cast(runs.schema[step].dataType).alias("at"), F.lit(None).cast("string").alias("why"))
+
+    def judged(state, row):
+        n = state["n"] + 1
+        reason = F.coalesce(row["why"], F.when(n == max_steps, "max_steps"))
+        now = F.struct(n.alias("n"), F.when(reason.isNotNull(), row["s"]).alias("at"), reason.alias("why"))
+        return F.when(state["why"].isNotNull(), state).otherwise(now)
+
+    folded = runs.groupBy(key).agg(rows.alias("rows")).select(key, F.aggregate("rows", zero, judged).alias("state"))
+    return folded.select(key, F.col("state.at").alias("stopped_at"), F.coalesce("state.why", F.lit("open")).alias("reason"))

@@ -286,6 +286,42 @@ def q_functions_in_sql(spark, d):
     return spark.sql("SELECT row_idx, boxed_first(generated) AS first, pair_key(cast(row_idx AS string), dataset) AS key, round(sigmoid(token_count / 1000d), 9) AS s FROM answers_of_q_functions_in_sql WHERE boxed_first(generated) IS NOT NULL")
 
 
+@query("""
+SELECT g, list_transform([regr_intercept(y, x), regr_slope(y, x)], lambda c: round(c, 6)) AS line, [2.0::DOUBLE, -3.0::DOUBLE, 0.5::DOUBLE, CAST(g - 2 AS DOUBLE), 0.25::DOUBLE, -0.125::DOUBLE] AS quintic
+FROM (SELECT question_id % 5 AS g, CAST(row_idx % 11 AS DOUBLE) AS x, CAST(generated_think_tokens AS DOUBLE) AS y FROM runs) GROUP BY g
+""")
+def q_polyfit_any_degree(spark, d):
+    """A line through all runs of a group, and the polynomial of degree 5 that made each of its values."""
+    x, g = F.col("x"), F.col("g")
+    p = views.runs(spark, d).select((F.col("question_id") % 5).alias("g"), (F.col("row_idx") % 11).cast("double").alias("x"), F.col("generated_think_tokens").alias("y"))
+    made = p.withColumn("y", 2 - 3 * x + 0.5 * x * x + (g - 2) * F.pow(x, F.lit(3)) + 0.25 * F.pow(x, F.lit(4)) - 0.125 * F.pow(x, F.lit(5)))
+    rounded = lambda df, n: F.transform(df["coefficients"], lambda c: F.round(c, n) + 0.0)
+    line, quintic = metrics.polynomial_fit(p, "x", "y", 1, "g"), metrics.polynomial_fit(made, "x", "y", 5, "g")
+    return line.select("g", rounded(line, 6).alias("line")).join(quintic.select("g", rounded(quintic, 4).alias("quintic")), "g")
+
+
+@query("""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY row_idx) AS n,
+  CASE WHEN coalesce(is_correct, false) THEN 'end' WHEN abs(generated_think_tokens - target_think_tokens) <= 150 THEN 'tolerance' END AS why FROM runs),
+f AS (SELECT question_id, min(n) FILTER (why IS NOT NULL) AS first, max(n) AS n FROM s GROUP BY 1),
+stop AS (SELECT question_id, CASE WHEN first <= 6 THEN first WHEN n >= 6 THEN 6 END AS n FROM f)
+SELECT a.question_id, s.row_idx AS stopped_at, CASE WHEN a.n IS NULL THEN 'open' ELSE coalesce(s.why, 'max_steps') END AS reason FROM stop a LEFT JOIN s ON s.question_id = a.question_id AND s.n = a.n
+""")
+def q_stop_loop(spark, d):
+    return trajectory.stopped(views.runs(spark, d), "question_id", "row_idx", "generated_think_tokens", "target_think_tokens", "is_correct", 150, 6)
+
+
+@query("SELECT row_idx, question_id, generated_think_tokens + 1 AS tokens FROM runs")
+def q_run_stream(spark, d):
+    """All runs, worked off as a stream of files in two calls, the second of which finds what came after the first."""
+    at, r = _folder(spark), views.runs(spark, d).select("row_idx", "question_id", "generated_think_tokens")
+    stage = lambda rows: rows.select("row_idx", "question_id", (F.col("generated_think_tokens") + 1).alias("tokens"))
+    for part in (0, 1):
+        r.where(F.pmod(F.xxhash64("row_idx"), F.lit(2)) == part).write.mode("append").parquet(f"{at}/work")
+        tables.run_stream(spark.readStream.schema(r.schema).option("maxFilesPerTrigger", 4).parquet(f"{at}/work"), stage, f"{at}/done", f"{at}/log")
+    return tables.read_stream_results(spark, f"{at}/done")
+
+
 # Vectors.
 
 

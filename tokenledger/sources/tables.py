@@ -107,6 +107,26 @@ def run_resumable(work: DataFrame, stage, path: str, *keys: str, batches: int =
     return spark.read.parquet(path)
 
 
+def run_stream(work: DataFrame, stage, path: str, log: str) -> None:
+    """stage(rows) for all rows of a stream of work that are there and not done yet, then stops; a new call, after an end or a
+    crash, goes on with what came since.
+
+    The stream's log keeps which files or offsets each batch has and which batches are done, so finished keys are never looked
+    up. A batch is written to a folder of its own, batch=<number>: when a crash comes between its writing and its entry in the
+    log, the next call writes the same rows over it, and none comes twice. Read with read_stream_results().
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        stage(rows).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    work.writeStream.foreachBatch(write).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_stream_results(spark: SparkSession, path: str) -> DataFrame:
+    """What run_stream() has written, batch by batch, without the numbers of batches."""
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*").drop("batch")
+
+
 def save_network(spark: SparkSession, layers: list[tuple], folder: str, **about) -> None:
     """Weights and biases as a table, and what is known about them as JSON."""
     rows = [(i, [[float(x) for x in r] for r in w], [float(x) for x in b]) for i, (w, b) in enumerate(layers)]
