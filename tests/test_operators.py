@@ -384,3 +384,22 @@ def test_a_killed_run_goes_on(spark, tmp_path):
     run()
     assert sorted(map(tuple, tables.read_stream_results(spark, f"{at}/done").collect())) == [(i, 2 * i) for i in range(50)]
     assert sum(seen) < 50 + 25  # what was done wasn't done again
+
+
+def test_results_kept_from_run_to_run(spark, tmp_path):
+    seen, at = [], str(tmp_path / "kept")
+
+    def stage(texts):
+        seen.append(sorted(r[0] for r in texts.collect()))
+        return texts.withColumn("n", F.length("t"))
+
+    d = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert rows(joins.cached_per_text(d("a", "bb", "a", None), "t", stage, "kept_texts", at, 4), "id") == [(0, "a", 1), (1, "bb", 2), (2, "a", 1), (3, None, None)]
+    again = joins.cached_per_text(d("bb", "ccc", "", "ccc"), "t", stage, "kept_texts", at, 4)
+    assert rows(again, "id") == [(0, "bb", 2), (1, "ccc", 3), (2, "", 0), (3, "ccc", 3)]
+    spark.sql("DROP TABLE kept_texts")  # as in another session: the files stay
+    assert joins.cached_per_text(d("ccc", "a"), "t", stage, "kept_texts", at, 4).count() == 2
+    assert seen == [["a", "bb"], ["", "ccc"], []]
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 1  # the cache's rows are not shuffled
+    spark.sql("DROP TABLE kept_texts")

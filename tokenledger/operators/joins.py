@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,6 +48,36 @@ def once_per_text(df: DataFrame, column: str, stage) -> DataFrame:
     return df.join(done, column, "left")
 
 
+def _cache_table(spark: SparkSession, table: str, folder: str, column: str, buckets: int) -> bool:
+    """Whether there is a cache in a folder; it is a table of this session afterwards."""
+    if spark.catalog.tableExists(table):
+        return True
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return False
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(folder).schema.fields)
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY (_key, `{column}`) SORTED BY (_key, `{column}`) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return True
+
+
+def cached_per_text(df: DataFrame, column: str, stage, table: str, folder: str, buckets: int = 64) -> DataFrame:
+    """As once_per_text(), with what stage() made kept from run to run: a table in a shared folder, bucketed by the text
+    and a hash of it. Only texts that it lacks go through stage(), whose rows are appended; joins with it read it bucket by bucket, without
+    a shuffle of its rows. Texts are compared whole, not by their hashes; null texts get nulls. One run at a time may write. The
+    number of buckets belongs to the folder and stays as it was at first.
+    """
+    spark = df.sparkSession
+    key = F.xxhash64(F.col(f"`{column}`"))
+    texts = df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull()).distinct().withColumn("_key", key)
+    new = texts
+    if _cache_table(spark, table, folder, column, buckets):
+        new = texts.join(spark.table(table).select("_key", column).hint("merge"), ["_key", column], "left_anti")
+    made = stage(new.select(column)).withColumn("_key", key)
+    made.write.bucketBy(buckets, "_key", column).sortBy("_key", column).option("path", folder).mode("append").saveAsTable(table)
+    found = spark.table(table)
+    return df.withColumn("_key", key).join(found.hint("merge"), ["_key", column], "left").select(*(f"`{c}`" for c in df.columns), *(f"`{c}`" for c in found.columns if c not in (column, "_key")))
+
+
 def keep_members(df: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
     return df.join(other.select(*keys), list(keys), "left_semi")
 

@@ -173,6 +173,15 @@ def q_once_per_text(spark, d):
     return found.select("doc_id", "n", F.count(F.lit(1)).over(Window.partitionBy("call")).alias("sharing"))
 
 
+@query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n, CASE WHEN text IS NULL THEN NULL WHEN text IN (SELECT text FROM documents WHERE lang = 'en') THEN 1 ELSE 2 END AS made_in FROM documents")
+def q_cached_per_text(spark, d):
+    """Documents through a stage whose results are kept: a run over those in English, then one over all, which finds the first one's."""
+    docs, at, table_name = table(spark, d, "documents").select("doc_id", "text", "lang"), _folder(spark), f"cache_{uuid.uuid4().hex}"
+    stage = lambda run: lambda texts: texts.select("text", F.char_length("text").alias("n"), F.lit(run).alias("made_in"))
+    joins.cached_per_text(docs.where("lang = 'en'"), "text", stage(1), table_name, at, buckets=8)
+    return joins.cached_per_text(docs, "text", stage(2), table_name, at, buckets=8).select("doc_id", "n", "made_in")
+
+
 @query("SELECT DISTINCT lang FROM documents")
 def q_unique_values(spark, d):
     return metrics.unique_values(table(spark, d, "documents"), "lang")
