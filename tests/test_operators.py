@@ -403,3 +403,29 @@ def test_results_kept_from_run_to_run(spark, tmp_path):
     plan = again._jdf.queryExecution().executedPlan().toString()
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") <= 1  # the cache's rows are not shuffled
     spark.sql("DROP TABLE kept_texts")
+
+
+def test_questions_close_by_the_watermark(spark, tmp_path):
+    """First verdicts over several batches, late steps, differing verdicts, and a question that comes again."""
+    from datetime import datetime, timedelta
+
+    from tokenledger.streaming.runs import collapse_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = lambda minutes: datetime(2024, 1, 1) + timedelta(minutes=minutes)
+    batches = [
+        [("a", 2, None, at(0)), ("a", 5, True, at(1)), ("b", 1, None, at(2)), ("d", 1, True, at(2))],
+        [("a", 3, True, at(3)), ("b", 9, None, at(3)), ("d", 2, False, at(4))],  # an earlier step with a verdict, in a later batch
+        [("c", 1, False, at(100))],  # the watermark moves to 90: a, b and d close
+        [("a", 1, False, at(20)), ("c", 2, None, at(101)), ("a", 7, False, at(99))],  # one late step of a, and one in time
+        [("z", 1, None, at(1000))],
+        [("z", 2, None, at(1001))],
+    ]
+    kind = "question_id string, step_i long, is_correct boolean, time timestamp"
+    for i, rows_ in enumerate(batches):
+        spark.createDataFrame(rows_, kind).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+        found = spark.readStream.schema(kind).parquet(str(tmp_path / "in/*"))
+        query = collapse_stream(found, late="10 minutes", idle_ms=30 * 60_000).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "log")).outputMode("append").trigger(availableNow=True).start(str(tmp_path / "out"))
+        query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows(got, "question_id", "step_i") == [("a", 3, True, 3, False), ("a", 7, False, 1, False), ("b", 9, None, 2, False), ("c", 1, False, 2, False), ("d", 1, None, 2, True)]
