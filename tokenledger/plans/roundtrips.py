@@ -331,6 +331,17 @@ def q_run_stream(spark, d):
     return tables.read_stream_results(spark, f"{at}/done")
 
 
+_SECOND = " OR ".join(f"contains(lower(token_id), '{w}')" for w in X.SECOND_THOUGHTS)
+
+
+@query(f"SELECT DISTINCT token_id, -100.0::DOUBLE AS bias FROM (SELECT unnest(string_split(text, ' ')) AS token_id FROM documents) WHERE {_SECOND}")
+def q_suppressed_ids(spark, d):
+    """Of all that stands between blanks in documents, as a vocabulary, what generation is kept from, with its bias."""
+    token = F.explode(F.split("text", " ", -1)).alias("token")
+    words = table(spark, d, "documents").select(token).distinct().select("token", F.col("token").alias("token_id"))
+    return lifecycle.suppressed_ids(words).withColumn("bias", F.col("bias").cast("double"))
+
+
 # Vectors.
 
 
