@@ -29,11 +29,16 @@ def autocorrelation(runs: DataFrame, key: str, step: str, value: str, most: int
     v = F.transform("values", lambda x: x.cast("double"))
     centred = trajectories(runs, key, step, value).select(key, v.alias("v")).withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.size("v"))
     centred = centred.select(key, F.transform("v", lambda x: x - F.col("mean")).alias("d"))
-    n = F.size("d")
-    lags = centred.select(key, "d", F.explode(F.sequence(F.lit(0), F.least(F.lit(most), n - 1))).alias("lag"))
     total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cross = total(F.slice("d", 1, n - F.col("lag")), F.slice("d", F.col("lag") + 1, n - F.col("lag")))
-    return lags.select(key, "lag", F.try_divide(cross, F.nullif(total(F.col("d"), F.col("d")), F.lit(0.0))).alias("acf"))
+    centred = centred.select(key, "d", F.size("d").alias("n"), F.nullif(total(F.col("d"), F.col("d")), F.lit(0.0)).alias("whole"))
+
+    def at(lag):
+        cross = total(F.slice("d", F.lit(1), F.col("n") - lag), F.slice("d", lag + 1, F.col("n") - lag))
+        return F.struct(lag.alias("lag"), F.try_divide(cross, F.col("whole")).alias("acf"))
+
+    # a trajectory stays in its row; only results are exploded
+    lags = F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.col("n") - 1)), at)
+    return centred.select(key, F.explode(lags).alias("_at")).select(key, "_at.lag", "_at.acf")
 
 
 def mean_absolute(acf: DataFrame) -> DataFrame:
