@@ -218,8 +218,9 @@ def extract_answer(s: Column, profile: str = "analysis", native: bool = False) -
 
 @written(1)
 def _native_answer(s: Written, profile: str) -> Written:
-    loose = _match(s, r"\\{1,2}boxed\{([^}]*)\}", -1)
-    return W.coalesce(boxed_balanced_native(s), loose, marked_answer(s, profile), last_dollars(s), lone_number(s, profile), W.nullif(s, ""))
+    boxes = W.coalesce(boxed_balanced_native(s), _match(s, r"\\{1,2}boxed\{([^}]*)\}", -1))
+    kinds = ("boxed{", boxes), ("####", marked_answer(s, profile)), ("$", last_dollars(s))
+    return W.coalesce(*(W.when(s.contains(mark), answer) for mark, answer in kinds), lone_number(s, profile), W.nullif(s, ""))
 
 
 def think_text(s: Column) -> Column:
