@@ -192,3 +192,26 @@ def test_components_of_any_graph(spark, monkeypatch, most):
     got = components.smallest_reachable(spark.createDataFrame(list(label.items()), "node long, label long"), spark.createDataFrame(edges, "a long, b long"))
     assert {x["node"]: x["label"] for x in got.collect()} == want
     assert components.smallest_reachable(spark.createDataFrame([], "node long, label long"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_chunk_takes_little_memory():
+    """Arrays at their peak while a chunk's texts lose their windows, by bytes of text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tokenledger.llm import substring_dedup
+
+    r = random.Random(3)
+    texts = [" ".join(f"{r.randint(0, 99_999)}" for _ in range(500)) for _ in range(700)]
+    docs = pa.table({"doc_id": pa.array(range(700), pa.int64()), "text": texts})
+    none = pa.table({"chunk": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+    sketch = substring_dedup._Sketch(13, 4, 1 << 20, 2)
+    parts = substring_dedup._sketches("doc_id", "text", sketch)((pa.scalar(0),), docs)
+    bits = pa.array([bytes(-(-sum(n) // 8)) for n in parts["n"].to_pylist()], pa.binary())
+    replies = pa.concat_tables([none, pa.table({"chunk": parts["chunk"], "kind": pa.array([0] * len(bits), pa.int32()), "block": parts["block"], "bits": bits})])
+    tracemalloc.start()
+    substring_dedup._remove("doc_id", "text", sketch, ["doc_id", "n_removed", "kept_text"])((pa.scalar(0),), docs, replies)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * sum(map(len, texts))

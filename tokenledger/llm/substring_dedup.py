@@ -21,6 +21,7 @@ reused).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _WORD_STEPS, GAP, forget, mix, n_words, unused, utf8, window_hashes, with_fields, with_results, word_hashes, word_spans
+from .common import _WORD_STEPS, GAP, forget, mix, n_words, slices, unused, utf8, window_hashes, with_fields, with_results, word_hashes, word_spans
 
 #: Bytes of text in a chunk at least, and by how many bytes of input the square of a chunk's bytes grows.
 CHUNK_BYTES = 4 << 20
@@ -37,6 +38,8 @@ MESSAGE_BYTES = 430
 #: Rows of the count-min sketch; counters of a row that are added up at once.
 SKETCH_DEPTH = 2
 SKETCH_SLICE = 1 << 22
+#: Words that are hashed at once, in whole documents.
+HASHED_WORDS = 1 << 16
 
 _ROW_STEP = 0x9E3779B97F4A7C15
 _REPLY = "chunk int, kind int, block int, bits binary"
@@ -48,12 +51,12 @@ class _Sketch:
     def __init__(self, size: int, blocks: int, width: int, depth: int):
         self.size, self.blocks, self.width, self.depth = size, blocks, width, depth
 
-    def cells(self, h1: np.ndarray) -> list[np.ndarray]:
+    def cells(self, h1: np.ndarray) -> Iterator[np.ndarray]:
         """The counter of each window in each row: its block, then its place in the block."""
         key = mix(h1)
         block = ((key >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)
         places = (mix(key ^ np.uint64((row + 1) * _ROW_STEP % 2**64)) & np.uint64(self.width - 1) for row in range(self.depth))
-        return [block * np.uint64(self.width) + place for place in places]
+        return (block * np.uint64(self.width) + place for place in places)
 
     def split(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The blocks of distinct cells in order, and the bounds of their runs."""
@@ -81,30 +84,44 @@ class _Chunk:
         self.ids = np.asarray(table.column(id_col).combine_chunks().cast(pa.int64()))
         self.data, self.offsets = utf8(table.column(text_col))
         self.starts, self.ends, self.before = word_spans(self.data, self.offsets)
+        place = np.int32 if len(self.data) < 1 << 31 else np.int64
+        self.starts, self.ends = self.starts.astype(place), self.ends.astype(place)
         counts = np.diff(self.before)
         windows = np.maximum(counts - sketch.size + 1, 0)
-        self.doc = np.repeat(np.arange(len(counts)), windows)
-        skipped = np.cumsum(windows) - windows
-        self.at = np.arange(windows.sum()) - np.repeat(skipped, windows) + np.repeat(self.before[:-1], windows)
+        self.doc = np.repeat(np.arange(len(counts), dtype=place), windows)
+        self.begun = np.r_[0, np.cumsum(windows)]
+        self.at = np.arange(self.begun[-1], dtype=place)
+        self.at += np.repeat((self.before[:-1] - self.begun[:-1]).astype(place), windows)
         self.h1 = self.hashes(0)
 
     def hashes(self, kind: int) -> np.ndarray:
-        return window_hashes(word_hashes(self.data, self.starts, self.ends, kind), _WORD_STEPS[kind], self.at, self.sketch.size)
-
-    def exact(self, of: np.ndarray, h2: np.ndarray):
-        """Windows `of` grouped by all 128 bits: the group of each; of each group its bits, smallest id and block."""
-        h1, h2 = self.h1[of], h2[of]
+        out = np.empty(len(self.at), np.uint64)
+        for first, beyond in slices(self.before, HASHED_WORDS):
+            a, b, low, high = *self.before[[first, beyond]].tolist(), *self.begun[[first, beyond]].tolist()
+            if high > low:
+                begin, end = int(self.starts[a]), int(self.ends[b - 1])
+                words = word_hashes(self.data[begin:end], self.starts[a:b] - begin, self.ends[a:b] - begin, kind)
+                out[low:high] = window_hashes(words, _WORD_STEPS[kind], self.at[low:high] - a, self.sketch.size)
+        return out
+
+    def exact(self, of: np.ndarray | None, h2: np.ndarray):
+        """Windows `of` (None: all) grouped by all 128 bits: the group of each; of each group its bits, smallest id and block."""
+        h1, h2 = (self.h1, h2) if of is None else (self.h1[of], h2[of])
         order = np.argsort(h1, kind="stable")  # rows stand in order of id, so a group's first has its smallest
-        new = np.ones(len(of), bool)
-        new[1:] = h1[order][1:] != h1[order][:-1]
-        if np.any((h2[order][1:] != h2[order][:-1]) & ~new[1:]):
+        new = np.ones(len(h1), bool)
+        one, other = h1[order], h2[order]
+        new[1:] = one[1:] != one[:-1]
+        if np.any((other[1:] != other[:-1]) & ~new[1:]):
             order = np.lexsort((h2, h1))
-            new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
-        group = np.empty(len(of), np.int64)
-        group[order] = np.cumsum(new) - 1
+            one, other = h1[order], h2[order]
+            new[1:] = (one[1:] != one[:-1]) | (other[1:] != other[:-1])
+        del one, other
+        group = np.empty(len(h1), self.at.dtype)
+        group[order] = np.cumsum(new, dtype=group.dtype) - 1
         firsts = order[new]
+        del order, new
         block = ((mix(h2[firsts]) >> np.uint64(32)) * np.uint64(self.sketch.blocks)) >> np.uint64(32)
-        return group, h1[firsts], h2[firsts], self.ids[self.doc[of[firsts]]], block.astype(np.int64)
+        return group, h1[firsts], h2[firsts], self.ids[self.doc[firsts if of is None else of[firsts]]], block.astype(np.int64)
 
 
 def _split(block: np.ndarray):
@@ -216,8 +233,9 @@ def _remove(id_col, text_col, sketch, names):
         if len(c.at):
             h2 = c.hashes(1)
             # within the chunk: a smaller id has the window
-            group, _, _, least, _ = c.exact(np.arange(len(c.at)), h2)
+            group, _, _, least, _ = c.exact(None, h2)
             goes = c.ids[c.doc] > least[group]
+            del group, least
             of = np.flatnonzero(_estimated(c, replies))
             if len(of):
                 group, _, _, _, block = c.exact(of, h2)
@@ -227,7 +245,8 @@ def _remove(id_col, text_col, sketch, names):
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     bits[order[a:b]] = np.unpackbits(np.frombuffer(got[int(block[order[a]])], np.uint8), count=b - a).astype(bool)
                 goes[of] |= bits[group]
-            del h2, group
+                del group, block, order, bits
+            del h2, of
         step = np.zeros(len(c.starts) + 1, np.int64)
         np.add.at(step, c.at[goes], 1)
         np.add.at(step, c.at[goes] + sketch.size, -1)
