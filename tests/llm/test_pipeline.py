@@ -166,3 +166,9 @@ def test_stages_of_nothing(spark, folder):
         for _, stage in corpus_pipeline.STAGES:
             rows = stage(spark, rows, folder)
             assert rows.count() <= 3
+
+
+def test_mixing_leaves_a_short_plan(spark, folder):
+    """What it plans of texts, places and spans is cut: one plan of all takes the driver's memory."""
+    plan = corpus_pipeline.mixing(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 8 and plan.count("Window") <= 4

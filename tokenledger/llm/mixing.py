@@ -185,15 +185,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count_col, where given, is the text's length again. Documents of which nothing is taken, empty ones included, do not
     come. All other columns stay as they are, whatever their names. Nulls and empty tables are as in mix_plan().
     """
-    _, rows, targets, slots = _planned(docs, id_col, text_col, source_col, seed)
+    sizes, rows, targets, slots = _planned(docs, id_col, text_col, source_col, seed)
     passes = F.floor(F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * MOST_PASSES) / F.greatest("source_size", F.lit(1)))
-    place = placed(_sized(docs, id_col, text_col, source_col), targets, rows).where("size > 0").withColumn("passes", passes)
+    # places and spans, short rows, are cut: in one plan, with places in it twice, they take the driver's memory
+    place = cut(placed(sizes, targets, rows).where("size > 0").select("source_no", "bucket", "key", "place", "source", "start", "size", passes.alias("passes")))
     last = slots.join(targets.select("source_no", F.col("target"), F.col("source_size")), "source_no").where(F.col("pass") >= passes).select("source_no", "block", F.col("words").alias("part"))
     spans = block_pieces(place).join(last, ["source_no", "block"]).where("lo < part")
     at = F.col("block") * BLOCK_WORDS - F.col("start")
     keys = ["source_no", "bucket", "key", "place"]
     spans = spans.select(*keys, (F.col("lo") + at).alias("a"), (F.least("hi", "part") + at).alias("b"))
-    spans = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("some"))
+    spans = cut(spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"), F.sum(F.col("b") - F.col("a")).alias("some")))
     plan = place.select(*keys, "source", "passes").join(spans, keys, "left")
     # repeated rows, which have one key, are told apart by their order
     copy = F.row_number().over(Window.partitionBy("key", "source").orderBy("place"))
