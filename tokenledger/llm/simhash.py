@@ -30,13 +30,26 @@ DIRECT = 1024
 TASK_KEYS = 2_000_000
 
 
+def majority_bits(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The 64 majority bits of each text's n hashes, which stand in h one text after the other; 0 for none."""
+    # eight counters in the bytes of a word, over runs of at most 255 hashes
+    begun, low = np.cumsum(n) - n, np.uint64(0x0101010101010101)
+    runs = np.concatenate([np.arange(a, a + k, 255) for a, k in zip(begun.tolist(), n.tolist()) if k] or [np.zeros(0, np.int64)]).astype(np.int64)
+    run_doc = np.repeat(np.arange(len(n)), -(-n // 255))
+    total = np.zeros((len(n), 64), np.int64)
+    for shift in range(8):
+        packed = np.add.reduceat((h >> np.uint64(shift)) & low, runs)
+        eight = packed[:, None].view(np.uint8).reshape(len(runs), 8).astype(np.int64)
+        np.add.at(total, (run_doc[:, None], np.arange(8)[None, :] * 8 + shift), eight)
+    return np.packbits(total * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
 def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed: int) -> np.ndarray:
     """The 64-bit SimHash of each text: majority bits of the XXH64 of its word shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     data = _LOWER[data]
     out = np.zeros(len(offsets) - 1, np.uint64)
-    low = np.uint64(0x0101010101010101)
     for first, beyond in slices(offsets, 1 << 20):
         part = offsets[first : beyond + 1] - offsets[first]
         own = data[offsets[first] : offsets[beyond]]
@@ -56,16 +69,7 @@ def text_fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int, seed:
         head = np.arange(n.sum()) - np.repeat(begun, n) + np.repeat(before[:-1], n)
         tail = head + np.repeat(np.minimum(words, shingle), n) - 1
         h = np.array([xxh64_intdigest(stream[a:b], seed) for a, b in zip(at[head].tolist(), (at[tail] + sizes[tail]).tolist())], np.uint64)
-        # eight counters in the bytes of a word, over runs of at most 255 hashes
-        runs = np.concatenate([np.arange(a, a + k, 255) for a, k in zip(begun.tolist(), n.tolist()) if k] or [np.zeros(0, np.int64)]).astype(np.int64)
-        run_doc = np.repeat(np.arange(len(n)), -(-n // 255))
-        total = np.zeros((len(n), 64), np.int64)
-        for shift in range(8):
-            packed = np.add.reduceat((h >> np.uint64(shift)) & low, runs)
-            eight = packed[:, None].view(np.uint8).reshape(len(runs), 8).astype(np.int64)
-            np.add.at(total, (run_doc[:, None], np.arange(8)[None, :] * 8 + shift), eight)
-        bits = total * 2 > n[:, None]
-        out[first:beyond] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+        out[first:beyond] = majority_bits(h, n)
     return out
 
 
