@@ -309,3 +309,19 @@ def test_written_rules_in_sql(spark):
     for name, make in (("normalize_answer", A.normalize_answer), ("legacy_form", A.legacy_form), ("answer_set", A.answer_set), ("number_value", A.number_value), ("scan_answer", X.extract_answer)):
         assert in_sql(f"{name}(a)") == both(make, 1)
     assert spark.sql("select count(*) from pairs_of_answers group by evaluate(a, b).is_correct").count() == 2
+
+
+def test_roots_of_large_numbers_are_quick():
+    """A square's primes come out at once; others are looked for among primes alone."""
+    import time
+
+    began = time.process_time()
+    for p in range(99_000, 100_000):
+        assert symbolically_equal(f"\\sqrt{{{12 * p * p}}}", f"{2 * p}\\sqrt{{3}}")
+    assert time.process_time() - began < 4
+
+
+def test_pairs_are_dealt_to_tasks(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["q_symbolic_equiv"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 1
